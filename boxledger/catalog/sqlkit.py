@@ -14,6 +14,11 @@ def r6(expr: str, name: str) -> str:
     return f"round({expr}, 6) + {d(0.0)} AS {name}"
 
 
+def r9(expr: str, name: str) -> str:
+    """Nine decimals: for values that have seven or eight and would tie at six."""
+    return f"round({expr}, 9) + {d(0.0)} AS {name}"
+
+
 def area(a: str) -> str:
     return f"({a}w * {a}h)"
 
@@ -59,7 +64,7 @@ def overlap(a0: str, a1: str, b0: str, b1: str) -> str:
 
 
 def gap(a0: str, a1: str, b0: str, b1: str) -> str:
-    return f"(CASE WHEN {a1} < {b0} THEN {b0} - {a1} WHEN {b1} < {a0} THEN {a0} - {b1} ELSE {d(0.0)} END)"
+    return f"(CASE WHEN {a1} < {b0} THEN {b0} - ({a1}) WHEN {b1} < {a0} THEN {a0} - ({b1}) ELSE {d(0.0)} END)"
 
 
 def adjacent(a: str, b: str) -> str:
@@ -126,3 +131,78 @@ def clean_steps(src: str, value: str, keys: str) -> str:
         out.append(f"k{i} AS (SELECT *, {re_replace(inp, pattern, by)} AS {name} FROM {prev})")
         prev = f"k{i}"
     return ",\n".join(out)
+
+
+def greedy_cte(name: str, src: str, keys: str, order: str, cond: str) -> str:
+    """CTEs of an ordered keep-unless-conflict scan over ``src`` (columns keys, object_id, x, y, w, h).
+
+    ``cond`` compares the kept box ``k.`` with the candidate ``o.``. Result: ``{name}_k`` with the kept ids.
+    """
+    ks = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"o.{k} = r.{k}" for k in ks)
+    ok = ", ".join(f"o.{k}" for k in ks)
+    box = "{{'id': {p}object_id, 'x': {p}x, 'y': {p}y, 'w': {p}w, 'h': {p}h}}"
+    return f"""
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM {src}),
+{name}_r AS (SELECT {keys}, rn, [{box.format(p='')}] AS kept FROM {name}_o WHERE rn = 1
+  UNION ALL SELECT {ok}, o.rn, CASE WHEN len(list_filter(r.kept, lambda k: {cond})) > 0 THEN r.kept
+    ELSE list_append(r.kept, {box.format(p='o.')}) END FROM {name}_r r JOIN {name}_o o ON {on} AND o.rn = r.rn + 1),
+{name}_z AS (SELECT {keys}, kept, row_number() OVER (PARTITION BY {keys} ORDER BY rn DESC) AS z FROM {name}_r),
+{name}_u AS (SELECT {keys}, unnest(kept) AS b FROM {name}_z WHERE z = 1),
+{name}_k AS (SELECT {keys}, b.id AS object_id FROM {name}_u)"""
+
+
+def trivial(a: str, b: str) -> str:
+    ar = f"(least({area(a)}, {area(b)}) / greatest({area(a)}, {area(b)}))"
+    return (
+        f"({area(a)} > 0 AND {area(b)} > 0 AND ({contains(a, b)} OR {contains(b, a)}) AND {ar} >= {d(0.95)} AND {iou(a, b)} >= {d(0.95)})"
+    )
+
+
+def parents_cte(name: str, src: str, keys: str = "doc_id, page_index") -> str:
+    """``{name}``: the rows of ``src`` with parent_id by smallest containing other box."""
+    ks = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"a.{k} = b.{k}" for k in ks)
+    ak = ", ".join(f"a.{k}" for k in ks)
+    return f"""
+{name}_c AS (SELECT {ak}, a.object_id, b.object_id AS parent_id,
+   row_number() OVER (PARTITION BY {ak}, a.object_id ORDER BY {area('b.')}, b.input_ord, b.object_id) AS rn
+   FROM {src} a JOIN {src} b ON {on} AND a.object_id <> b.object_id AND {contains('b.', 'a.')}),
+{name} AS (SELECT a.*, b.parent_id FROM {src} a LEFT JOIN {name}_c b ON {on} AND a.object_id = b.object_id AND b.rn = 1)"""
+
+
+def ancestors_cte(name: str, src: str, keys: str = "doc_id, page_index") -> str:
+    ks = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"a.{k} = b.{k}" for k in ks)
+    ak = ", ".join(f"a.{k}" for k in ks)
+    return f"""
+{name} AS (SELECT {keys}, object_id, parent_id AS ancestor_id, 1 AS distance FROM {src} WHERE parent_id IS NOT NULL
+  UNION ALL SELECT {ak}, a.object_id, b.parent_id, a.distance + 1 FROM {name} a JOIN {src} b ON {on} AND a.ancestor_id = b.object_id
+  WHERE b.parent_id IS NOT NULL)"""
+
+
+def hierarchy_cte(src: str, keys: str = "doc_id, page_index") -> str:
+    """CTEs that turn ``src`` into ``tree`` (with parent_id, depth) and ``tree_anc``."""
+    ks = [k.strip() for k in keys.split(",")]
+
+    def on(a, b):
+        return " AND ".join(f"{a}.{k} = {b}.{k}" for k in ks)
+
+    return f"""
+{greedy_cte("triv", src, keys, f"confidence DESC, {area('')} DESC, object_id", trivial("k.", "o."))},
+flat AS (SELECT s.* FROM {src} s JOIN triv_k k ON {on('s', 'k')} AND s.object_id = k.object_id),
+{parents_cte("nest", "flat", keys)},
+sib AS (SELECT *, coalesce(parent_id, '') AS grp FROM nest),
+{greedy_cte("sibd", "sib", keys + ", grp", f"{area('')} DESC, object_id", duplicate("o.", "k."))},
+lost AS (SELECT s.* FROM sib s WHERE NOT EXISTS (SELECT 1 FROM sibd_k k WHERE {on('s', 'k')} AND s.grp = k.grp AND s.object_id = k.object_id)),
+heir AS (SELECT {', '.join('l.' + k for k in ks)}, l.object_id, s.object_id AS heir_id,
+   row_number() OVER (PARTITION BY {', '.join('l.' + k for k in ks)}, l.object_id ORDER BY {area('s.')} DESC, s.object_id) AS rn
+   FROM lost l JOIN sib s ON {on('l', 's')} AND l.grp = s.grp AND {duplicate('l.', 's.')}
+   JOIN sibd_k k ON {on('s', 'k')} AND s.grp = k.grp AND s.object_id = k.object_id
+   WHERE {area('s.')} > {area('l.')} OR ({area('s.')} = {area('l.')} AND s.object_id < l.object_id)),
+tree0 AS (SELECT {', '.join('s.' + k for k in ks)}, s.object_id, s.input_ord, s.x, s.y, s.w, s.h, s.confidence, coalesce(r.heir_id, s.parent_id) AS parent_id FROM sib s
+   JOIN sibd_k k ON {on('s', 'k')} AND s.grp = k.grp AND s.object_id = k.object_id
+   LEFT JOIN heir r ON {on('s', 'r')} AND r.rn = 1 AND s.parent_id = r.object_id),
+{ancestors_cte("tree_anc", "tree0", keys)},
+tree AS (SELECT t.*, coalesce(a.n, 0) AS depth FROM tree0 t LEFT JOIN
+  (SELECT {keys}, object_id, count(*) AS n FROM tree_anc GROUP BY ALL) a ON {on('t', 'a')} AND t.object_id = a.object_id)"""

@@ -4,9 +4,9 @@ Each fixture is one SQL text that both Spark and DuckDB run over the given table
 operator can be checked at every scale. Fixtures use whole tables: row counts grow with the data.
 Coordinates are integers on a 1000 x 1000 surface divided by 1000.
 
-A supplier stands for a form issuer (template): the parts with ``p_partkey % suppliers`` equal to
-its key are the objects of its form page, about 20 each at every scale. A customer stands for a
-filled-in document of template ``c_custkey % suppliers``.
+A supplier stands for a form issuer (template). The tables grow together, 20 parts and 15
+customers per supplier: twenty consecutive parts are the objects of its form page, fifteen
+consecutive customers are filled-in documents of it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ def _norm(expr: str) -> str:
     return f"CAST({expr} AS DOUBLE) / CAST(1000 AS DOUBLE)"
 
 
-N_TEMPLATES = "(SELECT count(*) FROM {supplier})"
-
 SQL: dict[str, str] = {}
 
 SQL["fx_fields"] = """
@@ -69,12 +67,10 @@ SELECT o_orderkey AS doc, concat('doc-', o_orderkey) AS document_id, concat('sca
 FROM r
 """
 
-_SLOT = f"CAST(floor(p_partkey / {N_TEMPLATES}) AS BIGINT)"
-
 # Form page of a template: rows of one panel (slot 0 of 5) with a nested pair and two cells.
 SQL["fx_template_px"] = f"""
 WITH p AS (
- SELECT p_partkey, p_size, p_partkey % {N_TEMPLATES} AS template_id, {_SLOT} AS slot FROM {{part}}),
+ SELECT p_partkey, p_size, CAST(floor(p_partkey / 20) AS BIGINT) AS template_id, p_partkey % 20 AS slot FROM {{part}}),
 q AS (SELECT p.*, slot % 5 AS col, CAST(floor(slot / 5) AS BIGINT) AS line FROM p)
 SELECT template_id, 0 AS page_index, p_partkey, concat('obj_', p_partkey) AS object_id, slot AS input_ord,
  CASE col WHEN 0 THEN 20 WHEN 1 THEN 50 WHEN 2 THEN 70 WHEN 3 THEN 420 ELSE 620 END + (template_id * 7) % 12 AS px,
@@ -99,7 +95,7 @@ SELECT c_custkey AS doc_id, template_id, page_index, p_partkey, concat('r_', p_p
  {_norm("CASE WHEN (p_partkey + c_custkey) % 17 = 0 THEN CAST(floor(pw / 3) AS BIGINT) ELSE pw END")} AS w,
  {_norm("CASE WHEN (p_partkey + c_custkey) % 17 = 0 THEN CAST(floor(ph / 3) AS BIGINT) ELSE ph END")} AS h,
  CAST(conf AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence
-FROM {{customer}} JOIN (__fx_template_px__) AS t ON c_custkey % {N_TEMPLATES} = template_id
+FROM {{customer}} JOIN (__fx_template_px__) AS t ON CAST(floor(c_custkey / 15) AS BIGINT) = template_id
 """
 
 # Same objects side by side: the pairs every rect expression is checked on.
@@ -126,7 +122,7 @@ SELECT c_custkey, 1, 600 + c_nationkey * 40, 800 + c_nationkey * 20, concat('sca
 
 # Raw pixel detections per customer; returned lines give a shifted near copy.
 _DET = """SELECT o_custkey AS doc_id, 0 AS page_index,
- concat('d_', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', __V__) AS object_id,
+ concat('d_', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', CAST(floor(l_extendedprice * 10) AS BIGINT), '_', __V__) AS object_id,
  (l_partkey * 37) % 700 + __V__ AS px, (l_suppkey * 53) % 700 AS py, 2 + (l_partkey * 11) % 250 AS pw,
  2 + (l_suppkey * 13) % 250 AS ph, l_returnflag = 'A' AS confirmed, CAST(l_linenumber AS DOUBLE) / CAST(8 AS DOUBLE) AS fill_ratio
  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""

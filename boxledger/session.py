@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "boxledger")
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -30,18 +32,29 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "boxledger")
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for written intermediate tables: ``spark.checkpoint.dir`` of the session.
+
+    Only where the session names none (local tests) a temporary folder is set.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="boxledger-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder of the session.
+    """Cut lineage by writing the table to the shared folder and reading it back.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the session names none (local tests)
-    a temporary one is set. ``localCheckpoint`` is not used: it would be lost with an executor.
+    The plan runs once, the result survives the loss of executors, and the scan that replaces it
+    knows its real size, which the size-checked broadcasts rely on.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="boxledger-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/boxledger-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int:

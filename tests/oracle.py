@@ -27,7 +27,7 @@ def plain(v):
     if isinstance(v, Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, dict):
         return tuple(plain(x) for x in v.values())
     if isinstance(v, (list, tuple)):
@@ -81,7 +81,7 @@ if __name__ == "__main__":
         try:
             ok, msg = compare(spark, con, sf, fn, ORACLES.get(name))
         except Exception as e:  # report and go on
-            ok, msg = False, f"{type(e).__name__}: {str(e)[:700]}"
+            ok, msg = False, f"{type(e).__name__}: {str(e)[:1500]}"
         bad += not ok
         print("ok " if ok else "BAD", name, msg, flush=True)
     print("failed:", bad)
