@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxledger.session import cut
@@ -32,19 +32,28 @@ def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, lost_parts)
 
 
-def one_to_one(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """M-9: greedy assignment, best pair first, each side used once.
+def by_score(left: str, right: str) -> Column:
+    """Rank of a pair for both sides: higher score, then smaller ids."""
+    return F.struct((-F.col("score")).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
 
-    ``pairs`` carries ``score``; ties go to the smaller ids. Every round takes all pairs that are
-    the best of both their sides, which is what the sequential scan would take, and removes
-    their sides. Best-of-side is an aggregate, so no side is ever collected.
+
+def one_to_one(
+    pairs: DataFrame, keys: list[str], left: str, right: str, left_rank: Column | None = None, right_rank: Column | None = None
+) -> DataFrame:
+    """M-9: one-to-one assignment, each side used once.
+
+    By default the sequential scan "best score first": every round takes all pairs that are the
+    best of both their sides, which is what the scan would take, and removes their sides. With
+    different ranks it is the scan over right-hand priority where each left side takes its best
+    free partner. Best-of-side is an aggregate with map-side partials; no side is collected.
     """
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col(left).alias("l"), F.col(right).alias("r")))
+    lr = by_score(left, right) if left_rank is None else left_rank
+    rr = by_score(left, right) if right_rank is None else right_rank
     pending = cut(pairs)
     taken = []
     while not pending.isEmpty():
-        by_left = pending.groupBy(*keys, left).agg(best.alias("b")).select(*keys, F.col("b.l").alias(left), F.col("b.r").alias(right))
-        by_right = pending.groupBy(*keys, right).agg(best.alias("b")).select(*keys, F.col("b.l").alias(left), F.col("b.r").alias(right))
+        by_left = pending.groupBy(*keys, left).agg(F.min_by(right, lr).alias(right))
+        by_right = pending.groupBy(*keys, right).agg(F.min_by(left, rr).alias(left))
         mutual = by_left.join(by_right, keys + [left, right], "left_semi")
         won = cut(pending.join(mutual, keys + [left, right], "left_semi"))
         taken.append(won)
