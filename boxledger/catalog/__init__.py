@@ -1,6 +1,6 @@
 """All registered queries. Importing this package fills the registry."""
 
-from boxledger.catalog import cells, pages, rects  # noqa: F401
+from boxledger.catalog import cells, forms, pages, rects  # noqa: F401
 from boxledger.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
