@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from boxledger import fixtures
-from boxledger.catalog.registry import add, fx
+from boxledger.catalog.registry import add, fx, rnd
 from boxledger.catalog.sqlkit import clamp01, clean_steps, d, lit, r6, re_replace
 from boxledger.functions import rect, text
 from boxledger.operators import clean, ledger, readings
@@ -316,8 +316,8 @@ add(
 add(
     "R2_attach_readings",
     lambda s, sf: _attached(s, sf).select(
-        "doc_id", "field_id", "text", F.round("confidence", 6).alias("confidence"), "status", "error_message",
-        F.round("bbox_used.w", 6).alias("used_w"), F.round("bbox_used.h", 6).alias("used_h"),
+        "doc_id", "field_id", "text", rnd("confidence").alias("confidence"), "status", "error_message",
+        rnd("bbox_used.w").alias("used_w"), rnd("bbox_used.h").alias("used_h"),
     ),
     f"""WITH {_ATT} SELECT doc_id, field_id, CASE WHEN st = 'read' THEN tidy ELSE '' END AS text,
       {r6("CASE WHEN st = 'read' THEN confidence ELSE " + d(0.0) + " END", "confidence")},
@@ -334,7 +334,7 @@ add(
 add(
     "R4_norm_confidence",
     lambda s, sf: fixtures.table(s, sf, "customer").select(
-        "c_custkey", F.round(text.norm_confidence(F.col("c_acctbal")), 6).alias("confidence")
+        "c_custkey", rnd(text.norm_confidence(F.col("c_acctbal"))).alias("confidence")
     ),
     f"SELECT c_custkey, {r6(clamp01('c_acctbal / ' + d(100.0)), 'confidence')} FROM customer",
 )

@@ -7,12 +7,14 @@ their SQL does not depend on the assignment; the matcher itself is checked by M-
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from boxledger import fixtures
 from boxledger.catalog import pages
 from boxledger.catalog import sqlkit as K
-from boxledger.catalog.registry import add, fx
+from boxledger.catalog.registry import add, fx, rnd
 from boxledger.catalog.sqlkit import clamp01, d, r6
 from boxledger.functions import rect as R
 from boxledger.operators import anchors as A
@@ -25,10 +27,6 @@ from boxledger.session import cut
 TPL, PAGE, KEYS = M.TPL, boxes.PAGE, C.KEYS
 
 
-def rnd(c):
-    return F.round(c, 6) + F.lit(0.0)
-
-
 def rect_cols(prefix, c, names="xywh"):
     return [rnd(c[n]).alias(f"{prefix}{n}") for n in names]
 
@@ -189,6 +187,24 @@ add(
 
 
 # ------------------------------------------------------------------ template and documents
+_STORED: dict = {}
+
+
+def stored(build):
+    """Template artifacts are captured once per session and read back by every query, as a deployed
+    template would be; document data is never kept."""
+
+    @functools.wraps(build)
+    def get(s, sf):
+        key = (s.sparkContext.applicationId, sf, build.__name__)
+        if key not in _STORED:
+            _STORED[key] = cut(build(s, sf))
+        return _STORED[key]
+
+    return get
+
+
+@stored
 def template_tree(s, sf):
     t = fx("fx_template")(s, sf).select(*TPL, "object_id", "input_ord", R.pack().alias("rect"), "confidence")
     return boxes.assign_parents(t, TPL)
@@ -215,6 +231,7 @@ def tmpl_flat(s, sf):
     return fx("fx_template")(s, sf).select(*TPL, F.col("object_id").alias("config_id"), R.pack().alias("c"))
 
 
+@stored
 def tmpl_frames(s, sf):
     f = tmpl_flat(s, sf).groupBy(*TPL).agg(R.union_agg(F.col("c")).alias("c_cv"))
     return f.select(*TPL, F.col("c_cv").alias("c_refined"), "c_cv", F.lit("cv-content").alias("c_source"), R.full_page().alias("c_border"))
@@ -332,17 +349,18 @@ _PARENT_SQL = f"""{PAIRS_SQL}, {K.ancestors_cte('ta', 'tn', 'template_id, page_i
 _FM = ("fx_template", "fx_runtime", "fx_matches")
 
 
+@stored
 def chains_c(s, sf):
     return boxes.ancestors(template_tree(s, sf), TPL)
 
 
 def with_parent(s, sf):
-    tt, rr = cut(template_tree(s, sf)), cut(runtime_tree(s, sf))
+    tt, rr = template_tree(s, sf), cut(runtime_tree(s, sf))
     t = tt.select(*TPL, F.col("object_id").alias("config_id"), F.col("rect").alias("c"), F.col("parent_id").alias("c_parent"))
     r = rr.select("doc_id", *TPL, F.col("object_id").alias("runtime_id"), F.col("rect").alias("r"), F.col("parent_id").alias("r_parent"))
     p = M.sim_components(M.with_frames(M.candidates(t, r), tmpl_frames(s, sf), rt_frames(s, sf)))
     return M.parent_chain(
-        p, boxes.ancestors(tt, TPL).withColumnRenamed("object_id", "config_id"), boxes.ancestors(rr, PAGE).withColumnRenamed("object_id", "runtime_id"), matches(s, sf)
+        p, chains_c(s, sf).withColumnRenamed("object_id", "config_id"), boxes.ancestors(rr, PAGE).withColumnRenamed("object_id", "runtime_id"), matches(s, sf)
     )
 
 
@@ -410,8 +428,8 @@ add(
 
 
 def matched(s, sf, opts=M.MatchOptions()):
-    t, r = cut(tmpl(s, sf)), cut(rt(s, sf))
-    anch = cut(template_anchors(s, sf))
+    t, r = tmpl(s, sf), cut(rt(s, sf))
+    anch = template_anchors(s, sf)
     return M.match_pages(t, r, tmpl_frames(s, sf), rt_frames(s, sf), opts, M.priority_ids(anch))
 
 
@@ -438,10 +456,12 @@ def geometry(s, sf):
     return fx("fx_geometry")(s, sf).select(*TPL, "field_id", F.col("ord").alias("field_ord"), "geometry_id", R.pack().alias("bbox"))
 
 
+@stored
 def template_anchors(s, sf):
     return A.field_anchors(geometry(s, sf), template_tree(s, sf), TPL)
 
 
+@stored
 def template_borders(s, sf):
     f = tmpl_frames(s, sf).select(*TPL, F.col("c_cv").alias("cv_content"), F.col("c_border").alias("border"))
     return A.border_anchors(geometry(s, sf), f, TPL)
@@ -608,7 +628,7 @@ def levels(s, sf):
 
 def ordered(s, sf):
     refined, border = levels(s, sf)
-    anch = cut(template_anchors(s, sf))
+    anch = template_anchors(s, sf)
     return P.field_candidates(docs(s, sf), anch, template_borders(s, sf), chains_c(s, sf), tmpl_flat(s, sf), matches(s, sf), refined, border)
 
 

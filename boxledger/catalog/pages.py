@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from boxledger import fixtures
 from boxledger.catalog import sqlkit as K
-from boxledger.catalog.registry import add, fx
+from boxledger.catalog.registry import add, fx, rnd
 from boxledger.catalog.sqlkit import r6, r9
 from boxledger.functions import rect as R
 from boxledger.operators import boxes
@@ -36,7 +36,7 @@ def tree(s, sf):
 
 
 def flat_rect(df, *cols, col="rect"):
-    return df.select(*cols, *[(F.round(F.col(f"{col}.{k}"), 6) + F.lit(0.0)).alias(k) for k in "xywh"])
+    return df.select(*cols, *[(rnd(F.col(f"{col}.{k}"))).alias(k) for k in "xywh"])
 
 
 def _js_round(e):
@@ -214,7 +214,7 @@ def relations_cte(src: str, keys: str = PAGE) -> str:
 add(
     "D16_relation_graph",
     lambda s, sf: boxes.relation_graph(boxes.assign_parents(objects(s, sf))).select(
-        "doc_id", "from_id", "to_id", "kind", "fallback_order", F.round("distance", 6).alias("distance"), F.round("rel.x", 6).alias("rx"), F.round("rel.h", 6).alias("rh")
+        "doc_id", "from_id", "to_id", "kind", "fallback_order", rnd("distance").alias("distance"), rnd("rel.x").alias("rx"), rnd("rel.h").alias("rh")
     ),
     f"""WITH {K.parents_cte('nest', 'fx_objects')}, {relations_cte('nest')}
       SELECT doc_id, from_id, to_id, kind, fallback_order, {r6('distance', 'distance')}, {r6('rx', 'rx')}, {r6('rh', 'rh')} FROM relg""",
@@ -264,7 +264,7 @@ FRAMES_SQL = f"""{_CONTENT},
 _FR = ("fx_detections", "fx_surfaces", "fx_page_fields")
 add(
     "D19_refined_border",
-    lambda s, sf: flat_rect(frames(s, sf), "doc_id", "page_index", "source", "n_bbox", "contains_all", (F.round("cv_content.w", 6)).alias("cv_w"), col="refined"),
+    lambda s, sf: flat_rect(frames(s, sf), "doc_id", "page_index", "source", "n_bbox", "contains_all", (rnd("cv_content.w")).alias("cv_w"), col="refined"),
     f"WITH {FRAMES_SQL} SELECT doc_id, page_index, source, n_bbox, contains_all, {r6('cw', 'cv_w')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('w', 'w')}, {r6('h', 'h')} FROM frm",
     _FR,
 )

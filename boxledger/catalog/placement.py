@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from boxledger.catalog import forms as G
 from boxledger.catalog import sqlkit as K
-from boxledger.catalog.forms import CAND_FX, CAND_SQL, CONSENSUS_SQL, rnd
-from boxledger.catalog.registry import add, fx
+from boxledger.catalog.forms import CAND_FX, CAND_SQL, CONSENSUS_SQL
+from boxledger.catalog.registry import add, fx, rnd
 from boxledger.catalog.sqlkit import clamp01, r6
 from boxledger.operators import anchors as A
 from boxledger.operators import boxes
@@ -72,13 +72,13 @@ PRED_SQL = f"""{CAND_SQL}, {_CONS},
    FROM co JOIN fx_geometry g USING (template_id, page_index, field_id) LEFT JOIN fx_template t ON t.template_id = co.template_id AND t.object_id = co.config_id),
  cbx AS (SELECT *, {_clip('qx', 'qy', 'qw', 'qh')} FROM cb0),
  pick AS (SELECT * FROM cbx WHERE source IN ('matched-object', 'parent-object') QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, field_id ORDER BY confidence DESC, fallback_order) = 1),
- frame AS (SELECT * FROM cbx WHERE source IN ('refined-border', 'border') QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, field_id ORDER BY fallback_order) = 1),
+ frames AS (SELECT * FROM cbx WHERE source IN ('refined-border', 'border') QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, field_id ORDER BY fallback_order) = 1),
  kb0 AS (SELECT k.*, g.field_id, g.x * msx + mtx AS qx, g.y * msy + mty AS qy, g.w * msx AS qw, g.h * msy AS qh FROM kc k JOIN fx_geometry g ON k.template_id = g.template_id AND k.page_index = g.page_index),
  kb AS (SELECT *, {_clip('qx', 'qy', 'qw', 'qh', 'k')}, kconf >= 0.6::DOUBLE AND (n_matches >= 2 OR kconf >= 0.85::DOUBLE) AS rescue FROM kb0),
  r0 AS (SELECT f.doc_id, f.template_id, f.page_index, f.field_id, CASE WHEN p.doc_id IS NOT NULL THEN 'object' WHEN k.rescue THEN 'page-consensus' ELSE 'frame' END AS kind,
    p.source AS psource, p.label AS plabel, p.fallback_order AS pord, p.confidence AS pconf, p.holds, p.config_id, p.runtime_id, f.source AS fsource, f.fallback_order AS ford, p.boff AS poff, f.boff AS foff,
    p.bx AS px, p.by AS py, p.bw AS pw, p.bh AS ph, f.bx AS fx, f.by AS fy, f.bw AS fw, f.bh AS fh, k.kx, k.ky, k.kw, k.kh, k.koff, k.kconf, k.n_matches
-   FROM frame f LEFT JOIN pick p ON p.doc_id = f.doc_id AND p.page_index = f.page_index AND p.field_id = f.field_id LEFT JOIN kb k ON k.doc_id = f.doc_id AND k.page_index = f.page_index AND k.field_id = f.field_id),
+   FROM frames f LEFT JOIN pick p ON p.doc_id = f.doc_id AND p.page_index = f.page_index AND p.field_id = f.field_id LEFT JOIN kb k ON k.doc_id = f.doc_id AND k.page_index = f.page_index AND k.field_id = f.field_id),
  r1 AS (SELECT *, coalesce(kind = 'object' AND kconf >= 0.7::DOUBLE AND n_matches >= 2, false) AS contest, coalesce(pconf >= 0.85::DOUBLE AND holds, false) AS strong, {K.iou_t('p', 'k')} AS piou FROM r0),
  r2 AS (SELECT *, contest AND strong AS keep, contest AND NOT strong AND piou < 0.6::DOUBLE AS over FROM r1),
  r3 AS (SELECT *, CASE WHEN over THEN 'page-consensus' WHEN kind = 'object' THEN CASE psource WHEN 'matched-object' THEN 'field-object-a' ELSE 'field-object-b' END WHEN kind = 'frame' THEN fsource ELSE kind END AS tier,
@@ -109,7 +109,7 @@ add(
 add(
     "P9_frame_fallback",
     lambda s, sf: _box(packed(s, sf).withColumn("f", L.frame_fallback(F.col("cands"))), "doc_id", "field_id", F.col("f.res.tier").alias("tier"), col="f.res.box"),
-    f"WITH {PRED_SQL} SELECT doc_id, field_id, source AS tier, {r6('bx', 'x')}, {r6('by', 'y')}, {r6('bw', 'w')}, {r6('bh', 'h')} FROM frame",
+    f"WITH {PRED_SQL} SELECT doc_id, field_id, source AS tier, {r6('bx', 'x')}, {r6('by', 'y')}, {r6('bw', 'w')}, {r6('bh', 'h')} FROM frames",
     CAND_FX,
 )
 add(
@@ -148,7 +148,7 @@ add(
 
 # ------------------------------------------------------------------ resolvers without matcher
 def _nodes(s, sf):
-    ct = cut(boxes.depths(cut(G.template_tree(s, sf)), TPL))
+    ct = cut(boxes.depths(G.template_tree(s, sf), TPL, G.chains_c(s, sf)))
     rt = cut(boxes.depths(cut(G.runtime_tree(s, sf)), PAGE))
     # Part numbers are content-derived ids here: a third of the documents keeps the template's ids.
     rt = rt.withColumn("object_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("obj_"), F.expr("substring(object_id, 3)"))).otherwise(F.col("object_id")))
@@ -196,9 +196,9 @@ add("P7_relational_rescue", lambda s, sf: _box(_rescues(s, sf), "doc_id", "field
 
 
 def _legacy(s, sf):
-    tree = cut(G.template_tree(s, sf))
+    tree = G.template_tree(s, sf)
     g = G.geometry(s, sf)
-    ranked = A.rank_anchors(A.field_anchors(g, tree, TPL), tree, boxes.ancestors(tree, TPL), boxes.relation_graph(tree, TPL), A.contained_by(g, tree, TPL), TPL)
+    ranked = A.rank_anchors(A.field_anchors(g, tree, TPL), tree, G.chains_c(s, sf), boxes.relation_graph(tree, TPL), A.contained_by(g, tree, TPL), TPL)
     return L.resolve_legacy(G.docs(s, sf), g, cut(ranked), cut(_resolved(s, sf)), _rescues(s, sf), G.template_borders(s, sf), G.tmpl_frames(s, sf), G.rt_frames(s, sf))
 
 

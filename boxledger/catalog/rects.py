@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxledger.catalog import sqlkit as K
-from boxledger.catalog.registry import add, fx
+from boxledger.catalog.registry import add, fx, rnd
 from boxledger.catalog.sqlkit import clamp01
 from boxledger.functions import rect as R
 
@@ -27,7 +27,7 @@ def pair_query(name, columns, sql_columns):
         c, r = _rects()
         cols = columns(c, r)
         return PAIRS(spark, sf).select(
-            *KEY, *[v.alias(n) if n.startswith("is_") or n.startswith("t_") else (F.round(v, 6) + F.lit(0.0)).alias(n) for n, v in cols.items()]
+            *KEY, *[v.alias(n) if n.startswith("is_") or n.startswith("t_") else rnd(v).alias(n) for n, v in cols.items()]
         )
 
     sql = ", ".join(
@@ -91,7 +91,7 @@ add(
     lambda s, sf: PAIRS(s, sf)
     .groupBy("doc_id")
     .agg(R.union_agg(_rects()[1]).alias("u"))
-    .select("doc_id", *[F.round(F.col(f"u.{k}"), 6).alias(f"u{k}") for k in "xywh"]),
+    .select("doc_id", *[rnd(F.col(f"u.{k}")).alias(f"u{k}") for k in "xywh"]),
     f"""SELECT doc_id, {K.r6('min(rx)', 'ux')}, {K.r6('min(ry)', 'uy')}, {K.r6('max(rx + rw) - min(rx)', 'uw')},
      {K.r6('max(ry + rh) - min(ry)', 'uh')} FROM fx_pairs GROUP BY 1""",
     ("fx_pairs",),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxledger import fixtures
 
@@ -30,5 +31,10 @@ def with_fixtures(sql: str, fx: tuple[str, ...]) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
 
 
+def rnd(c: Column | str) -> Column:
+    """Six decimals as in the oracle texts, see ``sqlkit.r6``."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1.3e-10), 6)
+
+
 def fx(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: fixtures.load(spark, sf, name)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from boxledger.functions import text
 
 
+TIE_BIAS = 1.3e-10
+
+
 def d(v: float) -> str:
     return f"CAST({v!r} AS DOUBLE)"
 
 
 def r6(expr: str, name: str) -> str:
-    """Six decimals, without negative zero."""
-    return f"round({expr}, 6) + {d(0.0)} AS {name}"
+    """Six decimals; the bias moves exact ties and negative zero to one side in both engines."""
+    return f"round({expr} + {d(TIE_BIAS)}, 6) AS {name}"
 
 
 def r9(expr: str, name: str) -> str:

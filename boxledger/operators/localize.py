@@ -272,8 +272,8 @@ def consensus_override(t: DataFrame) -> DataFrame:
         F.lit(f" < {OVERRIDE_IOU:.2f}); consensus confidence "), _f2(F.col("k_confidence")), F.lit(" from "), F.col("k_n").cast("string"),
         F.lit(" contributing match(es) preferred over single-anchor projection"),
     )
-    over = consensus_rescue(F.col("bbox"), F.col("k_affine"), F.col("k_confidence"), F.col("k_n"), OVERRIDE_MIN)
-    over = over.withField("warnings", F.array_append(over["warnings"], note))
+    t = t.withColumn("_ov", consensus_rescue(F.col("bbox"), F.col("k_affine"), F.col("k_confidence"), F.col("k_n"), OVERRIDE_MIN))
+    over = F.col("_ov").withField("warnings", F.array_append("_ov.warnings", note))
     kept = r0.withField("warnings", F.array_append(r0["warnings"], F.lit("local anchor projection retained over consensus (containment + high confidence)")))
     return t.withColumn("_r1", F.when(F.col("_over"), over).when(F.col("_keep"), kept).otherwise(r0)).withColumn(
         "_displaced", F.when(F.col("_over"), F.struct(r0["label"].alias("label"), r0["box"].alias("box")))
