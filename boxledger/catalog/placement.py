@@ -109,7 +109,7 @@ add(
 add(
     "P9_frame_fallback",
     lambda s, sf: _box(packed(s, sf).withColumn("f", L.frame_fallback(F.col("cands"))), "doc_id", "field_id", F.col("f.res.tier").alias("tier"), col="f.res.box"),
-    f"WITH {PRED_SQL} SELECT doc_id, field_id, source AS tier, {r6('bx', 'x')}, {r6('by', 'y')}, {r6('bw', 'w')}, {r6('bh', 'h')} FROM frames",
+    f"WITH {PRED_SQL} SELECT doc_id, field_id, source AS tier, {r6('bx', 'x')}, {r6('frames.by', 'y')}, {r6('bw', 'w')}, {r6('bh', 'h')} FROM frames",
     CAND_FX,
 )
 add(

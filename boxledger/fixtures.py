@@ -140,7 +140,7 @@ FROM (__fx_detections__) AS d
 SQL["fx_points"] = "SELECT DISTINCT user_id AS scanline, event_id % 500 AS pos FROM {events}"
 
 SQL["fx_segments"] = """
-SELECT DISTINCT o_custkey AS doc_id, 0 AS page_index, l_linenumber % 2 AS axis, ((l_partkey * 7) % 8) * 110 + l_suppkey % 3 AS axis_pos,
+SELECT DISTINCT o_custkey AS doc_id, 0 AS page_index, l_linenumber % 2 AS axis, ((l_partkey * 7) % 6) * 150 + l_suppkey % 3 AS axis_pos,
  1 + l_linenumber % 3 AS thickness, (l_suppkey % 4) * 60 AS start_pos, 700 + (l_orderkey % 10) * 20 AS end_pos
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
