@@ -75,7 +75,7 @@ add(
 
 
 def _field_ev(s, sf):
-    return RF.field_evidence(PL.predicted(s, sf), G.geometry(s, sf), G.rt_flat(s, sf))
+    return RF.field_evidence(cut(PL.predicted(s, sf)), G.geometry(s, sf), G.rt_flat(s, sf))
 
 
 FE_SQL = f"""{PL.PRED_SQL},
