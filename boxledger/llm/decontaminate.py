@@ -25,7 +25,7 @@ UNITS = (
     "meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce "
     "ounces liter liters litre litres dollar dollars cent cents euro euros usd eur gbp percent degree degrees kb mb gb tb hz khz mhz ghz w kw mph kmh"
 )
-_UNIT_RULE = "(?<=" + NUMBER + " {0,3})(?:" + "|".join(UNITS.split()) + ")(?![\\p{L}\\p{N}])"
+_UNIT_RULE = "(?i)(?<=" + NUMBER + " {0,3})(?:" + "|".join(UNITS.split()) + ")(?![\\p{L}\\p{N}])"
 
 
 def plain(text: Column) -> Column:

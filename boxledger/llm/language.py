@@ -1,8 +1,8 @@
 """Language ID (operator 5): prediction by partial matching over bytes with frozen statistics.
 
 Every language has a context tree of orders 0 to ``ORDER``. The chance of a byte in the longest seen context is
-count / (total + distinct); the rest of the mass escapes to the next shorter context, where symbols already seen in the
-longer one are excluded; below order 0 all bytes left are equally likely. As the statistics are frozen, the exact code
+count / (total + distinct); the rest of the mass escapes to the next shorter context, whose chances are taken under the
+condition that no symbol seen in the longer one follows (exclusion); below order 0 all bytes are equally likely. As the statistics are frozen, the exact code
 length of a byte depends only on its longest context in the tree, so the trees are flattened into one table of bits per
 (context, byte, language) and a text is scored by array look-ups.
 """

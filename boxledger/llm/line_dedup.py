@@ -28,14 +28,15 @@ def lines_of(text: Column) -> Column:
 
 
 def keyed_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, document_id, position): 128 bits of hash for every line whose key has at least ``min_chars`` code points."""
-    lines = documents.where(F.col("document_id").isNotNull()).select("document_id", F.posexplode(lines_of(F.col("text"))).alias("position", "line"))
-    keys = lines.select("document_id", "position", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "document_id", "position")
+    """(h1, h2, document_id, text_id, position): 128 bits of hash for every line whose key has ``min_chars`` code points."""
+    rows = documents.where(F.col("document_id").isNotNull()).select("document_id", F.xxhash64("text").alias("text_id"), "text")
+    lines = rows.select("document_id", "text_id", F.posexplode(lines_of(F.col("text"))).alias("position", "line"))
+    keys = lines.select("document_id", "text_id", "position", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "document_id", "text_id", "position")
 
 
 def repeated_lines(keyed: DataFrame) -> DataFrame:
-    """(document_id, position) of every line whose key stands in a smaller document.
+    """(document_id, text_id, position) of every line whose key stands in a smaller document.
 
     Hashes are range-partitioned with a secondary sort by document and position, and a window streams through each run:
     a line goes when its document isn't that of the run's first line. A hash with more than a quarter of an average
@@ -53,21 +54,22 @@ def repeated_lines(keyed: DataFrame) -> DataFrame:
     run = Window.partitionBy("h1", "h2").orderBy("document_id", "position")
     streamed = light.repartitionByRange(parts, "h1", "h2").withColumn("first_document", F.first("document_id").over(run))
     of_light = streamed.where(F.col("document_id") > F.col("first_document"))
-    return of_light.select("document_id", "position").unionByName(of_heavy.select("document_id", "position"))
+    place = ["document_id", "text_id", "position"]
+    return of_light.select(*place).unionByName(of_heavy.select(*place))
 
 
 def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(document_id, dropped): the dropped runs (start, length) of every document that loses a line.
+    """(document_id, text_id, dropped): the dropped runs (start, length) of every text that loses a line.
 
     ``documents``: document_id, text (recognised text of a form document; the lines that templates print on every form
     are what goes). Documents without an entry keep all lines, rows without a document_id too. Rows that share a
-    document_id count as one document: a line goes from all of them when it stands at that position in one.
+    document_id are texts of one document and don't drop each other's lines.
     """
     drops = repeated_lines(cut(keyed_lines(documents, min_chars))).distinct()
-    place = Window.partitionBy("document_id").orderBy("position")
+    place = Window.partitionBy("document_id", "text_id").orderBy("position")
     runs = drops.withColumn("run", F.col("position") - F.row_number().over(place))
-    runs = runs.groupBy("document_id", "run").agg(F.min("position").alias("start"), F.count("*").cast("int").alias("length"))
-    return runs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("dropped"))
+    runs = runs.groupBy("document_id", "text_id", "run").agg(F.min("position").alias("start"), F.count("*").cast("int").alias("length"))
+    return runs.groupBy("document_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("dropped"))
 
 
 def run_lengths(dropped: Column, n_lines: Column) -> Column:
@@ -99,7 +101,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def _with_runs(documents: DataFrame, min_chars: int, *more: str) -> DataFrame:
     rows = texts(documents, *more)
     n_lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    joined = rows.withColumn("n_lines", n_lines).join(keep_bitmaps(rows.select("document_id", "text"), min_chars), "document_id", "left")
+    rows = rows.withColumn("n_lines", n_lines).withColumn("text_id", F.xxhash64("text"))
+    joined = rows.join(keep_bitmaps(rows.select("document_id", "text"), min_chars), ["document_id", "text_id"], "left")
     none = F.col("dropped").isNull()
     n_dropped = F.when(none, F.lit(0)).otherwise(F.aggregate("dropped", F.lit(0), lambda a, r: a + r["length"])).cast("long")
     runs = F.when(none, F.array(F.col("n_lines").cast("int"))).otherwise(run_lengths(F.col("dropped"), F.col("n_lines")))
@@ -109,7 +112,7 @@ def _with_runs(documents: DataFrame, min_chars: int, *more: str) -> DataFrame:
 def without_repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every row of ``documents`` with its kept text and the counts: document_id, text, n_lines, n_dropped, others as they are."""
     more = [c for c in documents.columns if c not in ("document_id", "text")]
-    clash = {"n_lines", "n_dropped", "keep_runs", "dropped", "run", "position"} & set(more)
+    clash = {"n_lines", "n_dropped", "keep_runs", "dropped", "text_id"} & set(more)
     source = documents.withColumnsRenamed({c: f"_{c}" for c in clash})
     rows = _with_runs(source, min_chars, *[f"_{c}" if c in clash else c for c in more])
     changed = F.when(F.col("n_dropped") > 0, kept_text(F.col("text"), F.col("keep_runs"))).otherwise(F.col("text"))

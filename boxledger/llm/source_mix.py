@@ -29,6 +29,7 @@ MAX_DOMAINS = 200
 ROUNDS = 60
 TOLERANCE = 1e-4
 RIDGE = 1e-3
+SLOW = 0.5  # a round that leaves more of the error than this is slow
 
 
 def gram_buckets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -157,19 +158,21 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     reached = shares
     if tokens and target.sum() > 0:
         target /= target.sum()
-        ahead, t = shares, 1.0
+        ahead, t, error = shares, 1.0, np.inf
         for _ in range(rounds):
             slope = np.round(np.where(there, (ahead - target) / np.where(there, shares, 1), 0.0), 10)
-            next_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            off = np.abs(ahead - target).max()
+            # Momentum only while plain steps shrink the error slowly (overlapping domains); it starts anew when they don't.
+            next_t = (1 + np.sqrt(1 + 4 * t * t)) / 2 if error * SLOW < off < error else 1.0
             history.append((slope, (t - 1) / next_t))
-            t = next_t
+            t, error = max(next_t, 1.0), off
             ahead = totals(history, True)[0] / tokens
             if np.abs(ahead - target).max() <= tolerance:
-                reached = totals(history, False)[0] / tokens
-                if np.abs(reached - target).max() <= tolerance:
-                    break
-        else:
-            reached = totals(history, False)[0] / tokens
+                break
+        # The look-ahead point that was measured is the last step.
+        if history:
+            history[-1] = (history[-1][0], 0.0)
+        reached = totals(history, False)[0] / tokens
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(domains, object)
