@@ -12,9 +12,12 @@ Equal sets form classes first; one document stands for each class. Two different
 * The boundary between small and large is the size up to which a set's subsets cost no more than its list entries, an
   entry counting ``ENTRY_COST`` subsets because what lists find has to be checked.
 
-Lists give candidates, and each candidate pair is checked on the whole sets. Not all pairs of a list are formed: its
-members meet one pivot; lists whose members are then still in several components meet other pivots, and what is left
-after a few rounds is compared pair by pair across components. So no link is lost that a component depends on.
+Lists give candidates, and each candidate pair is checked on the whole sets. Not all pairs of a list are formed. Its
+members first meet its smallest member. Lists whose members are then still in several components meet a central member,
+the pivot, and what is left is joined on the differences E = A ^ pivot: as ``|A ^ B| = |E_A ^ E_B|``, two members that do
+not both link with the pivot can link only if they share a good part of their differences, so short prefixes of the
+differences are all that has to meet. A crowd of texts that stem from one template and are too far from each other to
+link thus forms no pairs, and no link is lost that a component depends on.
 """
 
 from __future__ import annotations
@@ -38,7 +41,6 @@ SPARE = 1
 ENTRY_COST = 5
 RANGE = 1.35  # ratio of the largest to the smallest size of a size range
 LARGEST_BOUNDARY = 40
-PIVOT_ROUNDS = 4
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -205,23 +207,32 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(near).select("a", "b", nx.alias("nx"), ny.alias("ny"), shared.alias("s")).where(100 * F.col("s") >= percent * (F.col("nx") + F.col("ny") - F.col("s"))).select("a", "b")
 
 
-def pivot_lists(entries: DataFrame) -> DataFrame:
-    """(sig, pivot, member) for the members of each list other than its pivot; ``entries``: sig, member.
+def long_lists(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig) of the lists that a hash sample of the class representatives shows to be long.
 
-    A list streams through a window in order of members; its pivot is the first. Lists that a hash sample of documents
-    shows to be long are dealt over salts, whose own pivots then meet the smallest of them.
+    At most 4 x partitions lists hold the share of the sampled entries that makes a list long, so the result is small.
+    This only decides how lists are dealt over tasks, not what comes out.
     """
-    parts = partitions(entries.sparkSession)
-    sampled = entries.where(F.pmod(F.xxhash64("member"), F.lit(32)) == 0)
-    threshold = max(64, sampled.count() // (4 * parts))
-    # At most 4 x partitions lists hold so many of the sampled entries, hence the broadcast.
-    long_lists = cut(sampled.groupBy("sig").count().where(F.col("count") > threshold).select("sig", F.lit(True).alias("long")))
-    salted = entries.join(F.broadcast(long_lists), "sig", "left").withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("member", F.lit(1)), F.lit(64))).otherwise(F.lit(0)))
+    own = sets.where(F.pmod(F.xxhash64("document_id"), F.lit(32)) == 0)
+    own = own.join(classes, ["f1", "f2"]).where("document_id = class_id").select(F.explode(F.array_distinct("signatures")).alias("sig"))
+    counted = own.groupBy("sig").count()
+    threshold = max(64, (counted.agg(F.sum("count")).first()[0] or 0) // (4 * partitions(sets.sparkSession)))
+    return cut(counted.where(F.col("count") > threshold).select("sig"))
+
+
+def pivot_lists(entries: DataFrame, known_long: DataFrame) -> DataFrame:
+    """(sig, pivot, member) for the members of each list other than its smallest; ``entries``: sig, member.
+
+    A list streams through a window in order of members. Long lists are dealt over salts, whose first members then meet
+    the smallest of them.
+    """
+    salt = F.pmod(F.xxhash64("member", F.lit(1)), F.lit(64))
+    salted = entries.join(F.broadcast(known_long.withColumn("long", F.lit(True))), "sig", "left").withColumn("salt", F.when(F.col("long"), salt).otherwise(F.lit(0)))
     order = Window.partitionBy("sig", "salt").orderBy("member")
     streamed = salted.withColumn("pivot", F.first("member").over(order)).where("member <> pivot").select("sig", "pivot", "member")
-    if long_lists.isEmpty():
+    if known_long.isEmpty():
         return streamed
-    heads = entries.join(F.broadcast(long_lists), "sig").groupBy("sig", F.pmod(F.xxhash64("member", F.lit(1)), F.lit(64)).alias("salt")).agg(F.min("member").alias("member"))
+    heads = entries.join(F.broadcast(known_long), "sig").groupBy("sig", salt.alias("salt")).agg(F.min("member").alias("member"))
     least = heads.groupBy("sig").agg(F.min("member").alias("pivot"))  # at most 64 heads a list
     return streamed.unionByName(heads.join(least, "sig").where("member <> pivot").select("sig", "pivot", "member"))
 
@@ -230,6 +241,51 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("id", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
 
 
+def _split_lists(everyone: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (sig, member, ...) with their component, of lists whose members are in several components."""
+    own = _labelled(everyone, labels)
+    split = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    return cut(own.join(split, "sig"))
+
+
+def _central(own: DataFrame) -> DataFrame:
+    """(sig, pivot): the member of each list that shares most list places with others."""
+    sizes = own.groupBy("sig").agg(F.count("*").alias("size"))
+    scores = own.join(sizes, "sig").groupBy("member").agg(F.sum("size").alias("score"))
+    return own.select("sig", "member").join(scores, "member").groupBy("sig").agg(F.max_by("member", F.struct("score", -F.col("member"))).alias("pivot"))
+
+
+def difference_candidates(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components that may link, from differences to a pivot of their group.
+
+    ``groups``: pivot, member, component, home (the pivot's component). With d = |E| and t = (100 - percent) / (100 +
+    percent): a member x that is not in the pivot's component has d_x > t (|x| + |pivot|). For a link |x ^ y| <=
+    t (|x| + |y|), hence the shared part o of the differences satisfies 2 o >= d_x + d_y - t (|x| + |y|), and
+
+    * seen from y, if x is such a member: 2 o > d_y + t (|pivot| - |y|);
+    * seen from any x: o >= d_x - D_x, where D_x = |x| (100 - percent) / percent is the most that a partner may differ.
+
+    Under one order of the elements (those not in the pivot first) the first d - o + 1 of both must have one in common.
+    """
+    left = sets.select(F.col("document_id").alias("pivot"), F.col("shingles").alias("c"))
+    right = sets.select(F.col("document_id").alias("member"), F.col("shingles").alias("x"))
+    rows = groups.join(left, "pivot").join(right, "member")
+    rows = rows.select("pivot", "member", "component", (F.col("component") != F.col("home")).alias("far"), F.size("x").alias("n"), F.size("c").alias("nc"), F.concat(F.array_sort(F.array_except("x", "c")), F.array_sort(F.array_except("c", "x"))).alias("e"))
+    d = F.size("e")
+    strict = F.floor((d * (100 + percent) + (F.col("nc") - F.col("n")) * (100 - percent)) / F.lit(2 * (100 + percent))) + 1
+    near_enough = d - F.floor(F.col("n") * (100 - percent) / F.lit(percent))
+    one = F.lit(1)
+    short = F.greatest(one, d - F.when(F.col("far"), F.greatest(one, strict, near_enough)).otherwise(F.greatest(one, strict)) + 1)
+    wide = F.greatest(one, d - F.greatest(one, near_enough) + 1)
+    rows = cut(rows.where(d > 0).select("pivot", "member", "component", "far", F.slice("e", one, short.cast("int")).alias("short"), F.when(F.col("far"), F.slice("e", one, wide.cast("int"))).alias("wide")))
+    near = rows.where(~F.col("far")).select("pivot", F.col("member").alias("b"), F.explode("short").alias("e"))
+    probes = rows.where("far").select("pivot", F.col("member").alias("a"), F.explode("wide").alias("e"))
+    far = rows.where("far").select("pivot", F.col("member").alias("a"), F.col("component").alias("ca"), F.explode("short").alias("e"))
+    other = far.select("pivot", F.col("a").alias("b"), F.col("ca").alias("cb"), "e")
+    pairs = probes.join(near, ["pivot", "e"]).select("a", "b").unionByName(far.join(other, ["pivot", "e"]).where("ca < cb").select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(document_id, n_shingles, component_id, class_id) for every row of ``documents``.
 
@@ -242,40 +298,33 @@ def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int
     sets = cut(set_table(documents, shingle, percent))
     real = sets.where((F.col("n_shingles") > 0) & F.col("document_id").isNotNull())
     classes = real.groupBy("f1", "f2").agg(F.min("document_id").alias("class_id"))
-    # Few signatures per set are carried along; only the representative's are unfolded.
     members = real.join(classes, ["f1", "f2"])
     entries = members.where("document_id = class_id").select(F.explode(F.array_distinct("signatures")).alias("sig"), F.col("class_id").alias("member"))
-    lists = cut(pivot_lists(cut(entries)))
+    lists = cut(pivot_lists(entries, long_lists(real, classes)))
 
+    # Only documents on a list with others are read again, for their whole sets.
     ids = lists.select(F.col("pivot").alias("document_id")).unionByName(lists.select(F.col("member").alias("document_id"))).distinct()
-    chosen = texts(documents).join(cut(ids), "document_id", "left_semi")
-    wanted = cut(shingle_table(chosen, shingle))
+    wanted = cut(shingle_table(texts(documents).join(cut(ids), "document_id", "left_semi"), shingle))
 
     tested = cut(lists.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct())
     edges = cut(linked(tested, wanted, percent))
     labels = components(edges)
-    everyone = cut(lists.select("sig", F.col("pivot").alias("member")).unionByName(lists.select("sig", "member")).distinct())
-    for turn in range(PIVOT_ROUNDS + 1):
-        own = _labelled(everyone, labels)
-        split = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        own = cut(own.join(split, "sig"))
-        if own.isEmpty():
-            break
-        everyone = own.select("sig", "member")
-        if turn < PIVOT_ROUNDS:
-            # The first time the largest component of a list is asked by way of one member, then anyone.
-            pivots = own.groupBy("sig").agg(F.min_by(F.struct("member", "component"), F.xxhash64("member", "sig", F.lit(turn))).alias("p"))
-            pairs = own.join(pivots, "sig").where(F.col("component") != F.col("p.component")).select(F.col("p.member").alias("a"), F.col("member").alias("b"))
-        else:
-            other = own.select("sig", F.col("member").alias("b"), F.col("component").alias("other"))
-            pairs = own.select("sig", F.col("member").alias("a"), "component").join(other, "sig").where("component < other").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        more = cut(linked(pairs, wanted, percent))
+    own = _split_lists(lists.select("sig", F.col("pivot").alias("member")).unionByName(lists.select("sig", "member")).distinct(), labels)
+    if not own.isEmpty():
+        pivots = cut(_central(own))
+        met = own.join(pivots, "sig").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+        met = met.where(F.col("component") != F.coalesce("home", "pivot")).select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b")).distinct()
+        met = cut(met.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(met)
+        edges = edges.unionByName(cut(linked(met, wanted, percent)))
+        labels = components(edges)
+        own = _split_lists(own.select("sig", "member"), labels)
+        homes = labels.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
+        groups = own.join(pivots, "sig").select("pivot", "member", "component").distinct().join(homes, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
+        rest = difference_candidates(groups, wanted, percent).join(tested, ["a", "b"], "left_anti")
+        more = cut(linked(cut(rest), wanted, percent))
         if not more.isEmpty():
-            edges = edges.unionByName(more)
-            labels = components(edges)
+            labels = components(edges.unionByName(more))
     found = members.select("f1", "f2", "document_id", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     found = found.groupBy("document_id").agg(F.min("class_id").alias("class_id"), F.min(F.coalesce("component", "class_id")).alias("component_id"))
     out = sets.select("document_id", "n_shingles").join(found, "document_id", "left")
