@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxledger.llm.common import byte_blocks, first_by_hash, texts
@@ -155,18 +155,18 @@ def fit_languages(documents: DataFrame, lang: str = "lang", learn: Column | None
     known = documents if learn is None else documents.where(learn)
     known = texts(known.where(F.col(lang).isNotNull() & F.col("document_id").isNotNull()), F.col(lang).alias("lang"))
     names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGUAGES).collect()]
-    samples: dict[str, list[bytes]] = {}
+    picked = None
     for name in names:
-        own = known.where(F.col("lang") == name)
-        ids = first_by_hash(own.select("document_id").distinct(), "document_id", train_rows, seed=5)
-        # At most train_rows ids, hence the broadcast.
-        rows = own.join(F.broadcast(ids), "document_id").select("document_id", "text").orderBy(F.xxhash64("document_id"), "text").limit(train_rows).toLocalIterator()
-        taken, kept = 0, []
-        for row in rows:
-            if taken < train_bytes:
-                kept.append(row.text.encode())
-                taken += len(kept[-1])
-        samples[name] = kept
+        ids = first_by_hash(known.where(F.col("lang") == name).select("document_id").distinct(), "document_id", train_rows, seed=5).withColumn("lang", F.lit(name))
+        picked = ids if picked is None else picked.unionByName(ids)
+    if picked is None:
+        return None
+    # At most train_rows ids a language, hence the broadcast, and the window over the few rows of each.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("document_id"), "document_id", "text")
+    rows = known.join(F.broadcast(picked), ["document_id", "lang"]).withColumn("_before", F.sum(F.octet_length("text")).over(order) - F.octet_length("text"))
+    samples: dict[str, list[bytes]] = {}
+    for row in rows.where(F.col("_before") < train_bytes).orderBy("lang", "_before", "text").select("lang", "text").toLocalIterator():
+        samples.setdefault(row.lang, []).append(row.text.encode())
     samples = {k: v for k, v in samples.items() if any(v)}
     return build_trees(samples) if samples else None
 
