@@ -90,8 +90,8 @@ add(
 )
 add(
     "L2_readings_to_rows",
-    lambda s, sf: _batch(s, sf, 2).drop("row_batch", "n_results"),
-    f"WITH {_ROWS_SQL} SELECT document_id, source_name, extracted_at_iso, cust_name, total, order_date, priority, row_ord FROM rows_b WHERE batch = 2",
+    lambda s, sf: _batch(s, sf, 1).unionByName(_batch(s, sf, 2)).drop("row_batch", "n_results"),
+    f"WITH {_ROWS_SQL} SELECT document_id, source_name, extracted_at_iso, cust_name, total, order_date, priority, row_ord FROM rows_b",
     _FXR,
 )
 add(
@@ -136,9 +136,9 @@ add(
 add(
     "L6_seed_ledger",
     lambda s, sf: ledger.upsert_ledger(
-        ledger.seed_ledger(s, FLD(s, sf)), _batch(s, sf, 1), ORDER
+        ledger.upsert_ledger(ledger.seed_ledger(s, FLD(s, sf)), _batch(s, sf, 1), ORDER), _batch(s, sf, 2), ORDER
     ).groupBy("extracted_at_iso").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("order_date") == "").alias("n_blank")),
-    f"WITH {_ROWS_SQL} SELECT extracted_at_iso, count(*) AS n_rows, count_if(order_date = '') AS n_blank FROM rows_b WHERE batch = 1 GROUP BY 1",
+    f"WITH {_LEDGER_SQL} SELECT extracted_at_iso, count(*) AS n_rows, count_if(order_date = '') AS n_blank FROM ledger GROUP BY 1",
     _FXR,
 )
 

@@ -298,11 +298,11 @@ add(
     _FRM,
 )
 
-# Matches by equal part number; displaced objects stay in as outliers, badly resized ones are out.
+# Matches by equal part number; displaced and badly resized objects stay in as outliers.
 fixtures.SQL["fx_matches"] = """
 SELECT doc_id, template_id, page_index, config_id, runtime_id, CAST(60 + CAST(floor(cx * 1000 + doc_id) AS BIGINT) % 40 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence,
  CASE WHEN doc_id % 4 = 0 THEN 'object-similarity' ELSE 'parent-chain' END AS tag, cx, cy, cw, ch, rx, ry, rw, rh
-FROM (__fx_pairs__) AS p WHERE rw * 2 >= cw"""
+FROM (__fx_pairs__) AS p"""
 
 
 def matches(s, sf):
@@ -481,13 +481,18 @@ add(
     f"WITH {WEIGHTED_SQL} SELECT doc_id, config_id, runtime_id, {r6('sx', 'sx')}, {r6('sy', 'sy')}, {r6('tx', 'tx')}, {r6('ty', 'ty')} FROM wm",
     _MX,
 )
+def _well_sized(s, sf):
+    """For the unmatched case: badly resized objects have no match."""
+    return matches(s, sf).where(F.col("r.w") * 2 >= F.col("c.w"))
+
+
 add(
     "M15_unmatched",
-    lambda s, sf: M.unmatched_config(tmpl_flat(s, sf), docs(s, sf), matches(s, sf)).select("doc_id", F.lit("config").alias("side"), F.col("config_id").alias("object_id")).union(
-        M.unmatched_runtime(rt_flat(s, sf), matches(s, sf)).select("doc_id", F.lit("runtime"), "runtime_id")
+    lambda s, sf: M.unmatched_config(tmpl_flat(s, sf), docs(s, sf), _well_sized(s, sf)).select("doc_id", F.lit("config").alias("side"), F.col("config_id").alias("object_id")).union(
+        M.unmatched_runtime(rt_flat(s, sf), _well_sized(s, sf)).select("doc_id", F.lit("runtime"), "runtime_id")
     ),
-    """SELECT p.doc_id, 'config' AS side, p.config_id AS object_id FROM fx_pairs p WHERE NOT EXISTS (SELECT 1 FROM fx_matches m WHERE m.doc_id = p.doc_id AND m.config_id = p.config_id)
-      UNION ALL SELECT r.doc_id, 'runtime', r.object_id FROM fx_runtime r WHERE NOT EXISTS (SELECT 1 FROM fx_matches m WHERE m.doc_id = r.doc_id AND m.runtime_id = r.object_id)""",
+    """SELECT p.doc_id, 'config' AS side, p.config_id AS object_id FROM fx_pairs p WHERE NOT EXISTS (SELECT 1 FROM fx_matches m WHERE m.doc_id = p.doc_id AND m.config_id = p.config_id AND m.rw * 2 >= m.cw)
+      UNION ALL SELECT r.doc_id, 'runtime', r.object_id FROM fx_runtime r WHERE NOT EXISTS (SELECT 1 FROM fx_matches m WHERE m.doc_id = r.doc_id AND m.runtime_id = r.object_id AND m.rw * 2 >= m.cw)""",
     ("fx_pairs", "fx_matches", "fx_runtime"),
 )
 

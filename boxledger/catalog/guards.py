@@ -7,6 +7,7 @@ missing for others, and some texts do not parse.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from boxledger.catalog.registry import add, fx
 from boxledger.functions import rect as R
 from boxledger.operators import validate as V
 from boxledger.sources import contracts as C
+from boxledger.session import shared_dir
 from boxledger.sources import intake
 
 _RECT = {"xNorm": 0.1, "yNorm": 0.2, "wNorm": 0.3, "hNorm": 0.1}
@@ -64,6 +66,15 @@ DOCS = {
 IDS = {k: f"V{i}" for i, k in enumerate(DOCS, 1)}
 
 
+def _wrong(good: str) -> str:
+    """A JSON value of another type than ``good``."""
+    return "7" if good.startswith('"') else "[1]" if good.startswith("{") else '"x"'
+
+
+# Rules that tell a wrong type from a missing part only by the type itself.
+TYPE_ONLY = ("geometry", "masterdb")
+
+
 def _artifact_sql(kind: str) -> str:
     body, good, _ = DOCS[kind]
     name, version = C.TAGS[kind]
@@ -75,7 +86,7 @@ def _artifact_sql(kind: str) -> str:
         return "'" + t.replace("{", "{{").replace("}", "}}") + "'"
 
     tag = f"CASE WHEN o_orderkey % 9 = 0 THEN 'other/tag' ELSE 'boxledger/{name}' END"
-    hole = f"CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE {q(good)} END"
+    hole = f"CASE WHEN o_orderkey % 7 = 0 THEN 'null' WHEN o_orderkey % 11 = 0 THEN {q(_wrong(good))} ELSE {q(good)} END"
     return (
         f"SELECT concat('{kind}-', o_orderkey) AS artifact_id, concat(CASE WHEN o_orderkey % 23 = 0 THEN 'broken ' ELSE '' END, {q(head)}, {tag}, {q(mid)}, {hole}, {q(tail)}) AS text FROM {{orders}}"
     )
@@ -87,8 +98,9 @@ for _kind in DOCS:
     add(
         f"{IDS[_kind]}_validate_{_kind}",
         lambda s, sf, k=_kind: C.violations(fx(f"fx_art_{k}")(s, sf), k),
-        f"""SELECT concat('{_kind}-', o_orderkey) AS artifact_id, r.rule FROM orders JOIN (VALUES ('parse'), ('tag'), ('{_rule}')) AS r(rule)
-          ON (o_orderkey % 23 = 0 AND r.rule = 'parse') OR (o_orderkey % 23 <> 0 AND ((o_orderkey % 9 = 0 AND r.rule = 'tag') OR (o_orderkey % 7 = 0 AND r.rule = '{_rule}')))""",
+        f"""SELECT concat('{_kind}-', o_orderkey) AS artifact_id, r.rule FROM orders JOIN (VALUES ('parse'), ('tag'), ('types'), ('{_rule}')) AS r(rule)
+          ON (o_orderkey % 23 = 0 AND r.rule = 'parse') OR (o_orderkey % 23 <> 0 AND ((o_orderkey % 9 = 0 AND r.rule = 'tag') OR (o_orderkey % 7 = 0 AND r.rule = '{_rule}')
+            OR (o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 AND r.rule IN ('types', {"''" if _kind in TYPE_ONLY else f"'{_rule}'"}))))""",
     )
 
 
@@ -100,7 +112,7 @@ def _split(s, sf):
 add(
     "S1_read_artifacts",
     _split,
-    """SELECT concat('wizard-', o_orderkey) AS artifact_id, CASE WHEN o_orderkey % 23 = 0 THEN 'could not parse' WHEN o_orderkey % 9 = 0 OR o_orderkey % 7 = 0 THEN 'invalid schema' ELSE 'valid' END AS outcome FROM orders""",
+    """SELECT concat('wizard-', o_orderkey) AS artifact_id, CASE WHEN o_orderkey % 23 = 0 THEN 'could not parse' WHEN o_orderkey % 9 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'invalid schema' ELSE 'valid' END AS outcome FROM orders""",
 )
 
 
@@ -114,7 +126,25 @@ add(
     "S2_write_artifacts",
     _rewritten,
     """SELECT concat('wizard-', o_orderkey) AS artifact_id, '{"schema":"boxledger/wizard-file","version":"1.0","wizardName":"w","fields":[{"fieldId":"a","label":"A","type":"text","required":true}]}' AS text
-      FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 7 <> 0""",
+      FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0""",
+)
+
+
+def _written(s, sf):
+    """Valid artifacts written to a folder and read back from it, the texts counted."""
+    valid, _ = C.split_artifacts(fx("fx_art_wizard")(s, sf), "wizard")
+    path = f"{shared_dir(s)}/artifacts-{uuid.uuid4().hex}"
+    C.write_artifacts(valid, path, "wizard")
+    again, rejected = C.read_artifact_lines(s, path, "wizard")
+    texts = C.artifact_json(again, "wizard").select("text").unionByName(rejected.select("text"))
+    return texts.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+add(
+    "S1_S2_artifact_files",
+    _written,
+    """SELECT '{"schema":"boxledger/wizard-file","version":"1.0","wizardName":"w","fields":[{"fieldId":"a","label":"A","type":"text","required":true}]}' AS text, count(*) AS n
+      FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0""",
 )
 add(
     "S6_intake_manifest",

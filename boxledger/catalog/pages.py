@@ -202,22 +202,30 @@ def relations_cte(src: str, keys: str = PAGE) -> str:
     ks = [k.strip() for k in keys.split(",")]
     on = " AND ".join(f"a.{k} = b.{k}" for k in ks)
     ak = ", ".join(f"a.{k}" for k in ks)
-    return f"""top12 AS (SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY confidence DESC, {K.area('')} DESC, object_id) <= 12),
- rel0 AS (SELECT {ak}, a.object_id AS from_id, b.object_id AS to_id, CASE WHEN {K.contains('a.', 'b.')} THEN 'container'
+    return f"""rel0 AS (SELECT {ak}, a.object_id AS from_id, b.object_id AS to_id, CASE WHEN {K.contains('a.', 'b.')} THEN 'container'
    WHEN a.parent_id = b.parent_id THEN 'sibling' WHEN {K.adjacent('a.', 'b.')} THEN 'adjacent' WHEN {K.cdist('a.', 'b.')} <= 0.35::DOUBLE THEN 'near' END AS kind,
    {K.cdist('a.', 'b.')} AS distance, (b.x - a.x) / greatest(a.w, 1e-6) AS rx, (b.y - a.y) / greatest(a.h, 1e-6) AS ry, b.w / greatest(a.w, 1e-6) AS rw, b.h / greatest(a.h, 1e-6) AS rh
-   FROM top12 a JOIN top12 b ON {on} AND a.object_id <> b.object_id),
+   FROM {src} a JOIN {src} b ON {on} AND a.object_id <> b.object_id),
  relg AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY CASE kind WHEN 'container' THEN 0 WHEN 'sibling' THEN 1 WHEN 'adjacent' THEN 2 ELSE 3 END,
    distance, from_id, to_id) - 1 AS fallback_order FROM rel0 WHERE kind IS NOT NULL)"""
 
 
+KINDS = ("container", "sibling", "adjacent", "near")
+
+
+def _relation_summary(graph):
+    """All relations of an object in one row; the order sum pins the order of every one."""
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS]
+    sums = [F.sum("fallback_order").alias("order_sum"), rnd(F.sum("distance")).alias("distance_sum"), rnd(F.min("rel.x")).alias("rx_min"), rnd(F.max("rel.h")).alias("rh_max")]
+    return graph.groupBy("doc_id", "from_id").agg(*counts, *sums)
+
+
 add(
     "D16_relation_graph",
-    lambda s, sf: boxes.relation_graph(boxes.assign_parents(objects(s, sf))).select(
-        "doc_id", "from_id", "to_id", "kind", "fallback_order", rnd("distance").alias("distance"), rnd("rel.x").alias("rx"), rnd("rel.h").alias("rh")
-    ),
+    lambda s, sf: _relation_summary(boxes.relation_graph(boxes.assign_parents(objects(s, sf)))),
     f"""WITH {K.parents_cte('nest', 'fx_objects')}, {relations_cte('nest')}
-      SELECT doc_id, from_id, to_id, kind, fallback_order, {r6('distance', 'distance')}, {r6('rx', 'rx')}, {r6('rh', 'rh')} FROM relg""",
+      SELECT doc_id, from_id, {", ".join(f"count_if(kind = '{k}') AS n_{k}" for k in KINDS)}, sum(fallback_order)::BIGINT AS order_sum, {r6('sum(distance)', 'distance_sum')}, {r6('min(rx)', 'rx_min')}, {r6('max(rh)', 'rh_max')}
+      FROM relg GROUP BY doc_id, from_id""",
     _FXO,
 )
 
@@ -225,7 +233,7 @@ add(
 fixtures.SQL["fx_page_fields"] = """
 SELECT c_custkey AS doc_id, 0 AS page_index, concat('f', n) AS field_id, CAST(n * 230 + c_nationkey AS DOUBLE) / CAST(1000 AS DOUBLE) AS x,
  CAST(100 + c_nationkey * 30 AS DOUBLE) / CAST(1000 AS DOUBLE) AS y, CAST(60 AS DOUBLE) / CAST(1000 AS DOUBLE) AS w, CAST(25 AS DOUBLE) / CAST(1000 AS DOUBLE) AS h
-FROM {customer} JOIN (VALUES (1), (2), (3), (4)) AS t(n) ON n > 0 WHERE c_mktsegment <> 'BUILDING'"""
+FROM {customer} JOIN (VALUES (1), (2), (3), (4)) AS t(n) ON n > 0"""
 
 
 def page_fields(s, sf):
@@ -233,14 +241,14 @@ def page_fields(s, sf):
 
 
 def _content(s, sf):
-    return boxes.content_rect(_det(s, sf).where(F.col("confirmed")), surfaces(s, sf))
+    return boxes.content_rect(_det(s, sf), surfaces(s, sf))
 
 
 def frames(s, sf):
     return boxes.refined_border(_content(s, sf), page_fields(s, sf))
 
 
-_CONTENT = """u AS (SELECT doc_id, page_index, min(px) AS l, min(py) AS t, max(px + pw) AS r, max(py + ph) AS b FROM fx_detections WHERE confirmed GROUP BY 1, 2),
+_CONTENT = """u AS (SELECT doc_id, page_index, min(px) AS l, min(py) AS t, max(px + pw) AS r, max(py + ph) AS b FROM fx_detections GROUP BY 1, 2),
  content AS (SELECT s.doc_id, s.page_index, width, height, l IS NOT NULL AND least(width, r) - l >= 4 AND least(height, b) - t >= 4 AS ok,
    l, t, least(width, r) AS r, least(height, b) AS b FROM fx_surfaces s LEFT JOIN u ON s.doc_id = u.doc_id AND s.page_index = u.page_index),
  cr AS (SELECT doc_id, page_index, width, height, CAST(CASE WHEN ok THEN l ELSE 0 END AS DOUBLE) AS x, CAST(CASE WHEN ok THEN t ELSE 0 END AS DOUBLE) AS y,
@@ -308,7 +316,7 @@ def density(s, sf, least_confidence=0.0):
 
 
 def density_sql(where="true"):
-    return f"""SELECT f.doc_id, f.page_index, f.field_id, least(2, count(o.object_id)) AS n_near, count(o.object_id) >= 2 AS passes FROM fx_page_fields f
+    return f"""SELECT f.doc_id, f.page_index, f.field_id, count(o.object_id) AS n_near, count(o.object_id) >= 2 AS passes FROM fx_page_fields f
       LEFT JOIN fx_objects o ON f.doc_id = o.doc_id AND f.page_index = o.page_index AND o.confidence >= 0.7::DOUBLE AND {where} AND {K.cdist('f.', 'o.')} <= 2.0::DOUBLE * greatest(f.w, f.h)
       GROUP BY 1, 2, 3"""
 

@@ -19,7 +19,7 @@ from boxledger.operators.spatial import (
     containment_pairs,
     lookalike_pairs,
 )
-from boxledger.session import cut, small_side
+from boxledger.session import cut
 
 PAGE = ["doc_id", "page_index"]
 
@@ -27,7 +27,7 @@ PAGE = ["doc_id", "page_index"]
 DUPLICATE_MIN = 0.85
 TRIVIAL_MIN = 0.95
 NEAR_DISTANCE = 0.35
-RELATION_OBJECTS = 12
+TOUCH_CELL = 0.125  # side of the grid in which adjacent boxes meet; any value gives the same pairs
 MIN_CONTENT_SIDE = 4
 CONFIRMED_BASE = 0.78
 DENSITY_OBJECTS, DENSITY_RADIUS, DENSITY_CONFIDENCE = 2, 2.0, 0.7
@@ -244,7 +244,7 @@ def dedup_siblings(objects: DataFrame, keys: list[str] = PAGE) -> DataFrame:
         .withColumnRenamed("loser", "parent_id")
     )
     kept = _drop(tagged, lost.select(*keys, "loser"), keys).drop("_group")
-    moved = kept.join(small_side(heirs), keys + ["parent_id"], "left")
+    moved = kept.join(heirs, keys + ["parent_id"], "left")
     return moved.withColumn("parent_id", F.coalesce("_heir", "parent_id")).select(*objects.columns)
 
 
@@ -314,36 +314,44 @@ def hierarchy_counts(raw: DataFrame, built: DataFrame, keys: list[str] = PAGE) -
 
 
 # ------------------------------------------------------------------ relations and frames
-def relation_graph(objects: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """D-16: labelled ordered pairs among the best objects of a page.
+def _related(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidate pairs (``_a``, ``_b``) of D-16: contained, of one parent, close to each other or with close centres."""
+    node = F.struct("object_id", "parent_id", "rect")
+    a, b = objects.select(*keys, node.alias("_a")), objects.select(*keys, node.alias("_b"))
+    ra, rb = F.col("_a.rect"), F.col("_b.rect")
+    inside = containment_pairs(b, a, keys, rb, ra, R.EPS_HIERARCHY)
+    siblings = a.withColumn("_p", F.col("_a.parent_id")).join(b.withColumn("_p", F.col("_b.parent_id")), [*keys, "_p"]).drop("_p")
+
+    def cell(v: Column, side: float) -> Column:
+        return F.floor(v / F.lit(side)).cast("long")
+
+    def covered(df: DataFrame, r: Column, grow: float) -> DataFrame:
+        low, high, side = F.lit(grow), F.lit(grow), TOUCH_CELL
+        df = df.withColumn("_cx", F.explode(F.sequence(cell(r["x"] - low, side), cell(R.right(r) + high, side))))
+        return df.withColumn("_cy", F.explode(F.sequence(cell(r["y"] - low, side), cell(R.bottom(r) + high, side))))
+
+    touching = covered(a, ra, 1.01 * R.ADJACENT_GAP).join(covered(b, rb, 0.0), [*keys, "_cx", "_cy"]).where(R.adjacent(ra, rb)).drop("_cx", "_cy")
+    side = 1.01 * NEAR_DISTANCE
+    there = b.withColumn("_cx", cell(R.center_x(rb), side)).withColumn("_cy", cell(R.center_y(rb), side))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    here = a.withColumn("_d", F.explode(around)).withColumn("_cx", cell(R.center_x(ra), side) + F.col("_d.i")).withColumn("_cy", cell(R.center_y(ra), side) + F.col("_d.j")).drop("_d")
+    near = here.join(there, [*keys, "_cx", "_cy"]).where(R.center_distance(ra, rb) <= F.lit(NEAR_DISTANCE)).drop("_cx", "_cy")
+    found = inside.where(R.contains(ra, rb)).unionByName(siblings).unionByName(touching).unionByName(near)
+    return found.where(F.col("_a.object_id") != F.col("_b.object_id")).distinct()
 
-    The twelve best are ranked first (a rank filter Spark pushes below the shuffle), then packed
-    into one short array per page, so pairing needs no further exchange.
-    """
-    r = F.col("rect")
-    w = Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), R.area(r).desc(), F.col("object_id"))
-    top = objects.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= RELATION_OBJECTS)
-    packed = top.groupBy(*keys).agg(F.collect_list(F.struct("object_id", "parent_id", "rect")).alias("_all"))
-    pairs = packed.withColumn("a", F.explode("_all")).withColumn("b", F.explode("_all"))
-    a, b = F.col("a.rect"), F.col("b.rect")
+
+def relation_graph(objects: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """D-16: labelled ordered pairs of all related objects of a page, found by grid and parent joins."""
+    a, b = F.col("_a.rect"), F.col("_b.rect")
     dist = R.center_distance(a, b)
     kind = (
         F.when(R.contains(a, b), F.lit("container"))
-        .when(F.col("a.parent_id").isNotNull() & (F.col("a.parent_id") == F.col("b.parent_id")), F.lit("sibling"))
+        .when(F.col("_a.parent_id").isNotNull() & (F.col("_a.parent_id") == F.col("_b.parent_id")), F.lit("sibling"))
         .when(R.adjacent(a, b), F.lit("adjacent"))
         .when(dist <= F.lit(NEAR_DISTANCE), F.lit("near"))
     )
-    rel = (
-        pairs.where(F.col("a.object_id") != F.col("b.object_id"))
-        .select(
-            *keys,
-            F.col("a.object_id").alias("from_id"),
-            F.col("b.object_id").alias("to_id"),
-            kind.alias("kind"),
-            R.relative(b, a).alias("rel"),
-            dist.alias("distance"),
-        )
-        .where(F.col("kind").isNotNull())
+    rel = _related(objects, keys).select(
+        *keys, F.col("_a.object_id").alias("from_id"), F.col("_b.object_id").alias("to_id"), kind.alias("kind"), R.relative(b, a).alias("rel"), dist.alias("distance")
     )
     prio = F.array_position(F.array(*[F.lit(k) for k in ("container", "sibling", "adjacent", "near")]), F.col("kind"))
     order = Window.partitionBy(*keys).orderBy(prio, "distance", "from_id", "to_id")
@@ -433,14 +441,13 @@ def blobs_to_decompose(det: DataFrame, surfaces: DataFrame) -> DataFrame:
 
 
 def density_check(fields: DataFrame, objects: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """D-21: enough confident objects near each field? The reported count stops at two."""
+    """D-21: enough confident objects near each field, and how many."""
     f = fields.select(*keys, "field_id", F.col("bbox").alias("_f"))
     o = objects.where(F.col("confidence") >= F.lit(DENSITY_CONFIDENCE)).select(*keys, F.col("rect").alias("_o"))
     radius = F.lit(DENSITY_RADIUS) * F.greatest(F.col("_f.w"), F.col("_f.h"))
     near = R.center_distance(F.col("_f"), F.col("_o")) <= radius
     counted = f.join(o, keys, "left").groupBy(*keys, "field_id").agg(F.count_if(near).alias("_c"))
-    n = F.least(F.col("_c"), F.lit(DENSITY_OBJECTS)).cast("int")
-    return counted.select(*keys, "field_id", n.alias("n_near"), (n >= DENSITY_OBJECTS).alias("passes"))
+    return counted.select(*keys, "field_id", F.col("_c").alias("n_near"), (F.col("_c") >= DENSITY_OBJECTS).alias("passes"))
 
 
 def accept_alternative(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

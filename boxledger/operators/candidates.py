@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from boxledger.functions import rect as R
 from boxledger.operators.consensus import KEYS
 from boxledger.operators.matching import TPL
-from boxledger.session import small_side
 
 RANK_FACTOR = {"primary": 1.0, "secondary": 0.85, "tertiary": 0.7}
 PARENT_PENALTY = 0.85
@@ -37,7 +36,7 @@ def rank_factor(rank: Column) -> Column:
 
 
 def _anchor_matches(anchors: DataFrame, matches: DataFrame) -> DataFrame:
-    a = small_side(anchors.select(*TPL, "field_id", "pos", "rank", F.col("object_id").alias("config_id"), "rel"))
+    a = anchors.select(*TPL, "field_id", "pos", "rank", F.col("object_id").alias("config_id"), "rel")
     m = matches.select(*KEYS, "config_id", "runtime_id", "affine", F.col("confidence").alias("match_confidence"))
     return m.join(a, TPL + ["config_id"])
 
@@ -61,7 +60,7 @@ def _ancestor_matches(anchors: DataFrame, chains: DataFrame, matches: DataFrame)
         *TPL, "field_id", F.col("object_id").alias("primary_id"), F.col("rel").alias("primary_rel")
     )
     up = chains.select(*TPL, F.col("object_id").alias("primary_id"), F.col("ancestor_id").alias("config_id"), "distance")
-    ladder = small_side(primary.join(up, TPL + ["primary_id"]))
+    ladder = primary.join(up, TPL + ["primary_id"])
     m = matches.select(*KEYS, "config_id", "runtime_id", "affine", F.col("confidence").alias("match_confidence"))
     return m.join(ladder, TPL + ["config_id"])
 
@@ -72,8 +71,8 @@ def cand_parent(anchors: DataFrame, chains: DataFrame, tmpl: DataFrame, matches:
     pick = F.min_by(F.struct("primary_id", "primary_rel", "config_id", "runtime_id", "affine", "match_confidence"), "distance")
     near = t.groupBy(*KEYS, "field_id").agg(pick.alias("_p")).select(*KEYS, "field_id", "_p.*")
     rects = tmpl.select(*TPL, "config_id", "c")
-    old = small_side(rects.select(*TPL, F.col("config_id").alias("primary_id"), F.col("c").alias("_old")))
-    new = small_side(rects.select(*TPL, "config_id", F.col("c").alias("_new")))
+    old = rects.select(*TPL, F.col("config_id").alias("primary_id"), F.col("c").alias("_old"))
+    new = rects.select(*TPL, "config_id", F.col("c").alias("_new"))
     t = near.join(old, TPL + ["primary_id"]).join(new, TPL + ["config_id"])
     notes = F.array(
         F.concat(F.lit("primary anchor "), "primary_id", F.lit(" did not match — falling back to ancestor "), "config_id"),
@@ -88,7 +87,7 @@ def cand_parent(anchors: DataFrame, chains: DataFrame, tmpl: DataFrame, matches:
 
 def cand_frames(docs: DataFrame, border_anchors: DataFrame, refined: DataFrame, border: DataFrame) -> DataFrame:
     """P-3: refined-border and border candidates; without a border summary an identity one at 0.4."""
-    b = small_side(border_anchors.select(*TPL, "field_id", "refined_rel", "border_rel"))
+    b = border_anchors.select(*TPL, "field_id", "refined_rel", "border_rel")
     base = docs.select(*KEYS).join(b, TPL)
     none = F.lit(None).cast("string")
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from boxledger.functions import rect as R
 from boxledger.operators.boxes import PAGE
 from boxledger.operators.matching import TPL
-from boxledger.session import small_side
 
 SCALE_TOLERANCE, TRANSLATE_TOLERANCE = 0.1, 0.06
 MIN_MATCHES = 1
@@ -26,7 +25,7 @@ KEYS = ["doc_id", *TPL]
 
 def weigh(matches: DataFrame, tmpl: DataFrame, rt: DataFrame) -> DataFrame:
     """C-1: squared confidence as weight; only matches whose objects exist on both sides."""
-    c = small_side(tmpl.select(*TPL, "config_id", "c"))
+    c = tmpl.select(*TPL, "config_id", "c")
     r = rt.select(*PAGE, "runtime_id", "r")
     base = matches.drop("c", "r").join(c, TPL + ["config_id"]).join(r, PAGE + ["runtime_id"])
     return with_weight(base)
@@ -188,7 +187,7 @@ def regional_transforms(
 # ------------------------------------------------------------------ level summaries
 def level_border(docs: DataFrame, tmpl_frames: DataFrame, rt_frames: DataFrame) -> DataFrame:
     """C-9: page borders are a certain pair."""
-    t = docs.select(*KEYS).join(small_side(tmpl_frames.select(*TPL, "c_border")), TPL).join(rt_frames.select(*PAGE, "r_border"), PAGE)
+    t = docs.select(*KEYS).join(tmpl_frames.select(*TPL, "c_border"), TPL).join(rt_frames.select(*PAGE, "r_border"), PAGE)
     return t.select(
         *KEYS, F.lit("border").alias("level"), R.affine_from_rects(F.col("c_border"), F.col("r_border")).alias("affine"),
         R.lit(1).alias("confidence"), F.lit(1).cast("long").alias("n_matches"), F.array().cast("array<string>").alias("warnings"),
@@ -204,7 +203,7 @@ def _frame_confidence(source: Column) -> Column:
 
 def level_refined(docs: DataFrame, tmpl_frames: DataFrame, rt_frames: DataFrame) -> DataFrame:
     """C-10: content rects against each other, confidence by the weaker side's source."""
-    t = docs.select(*KEYS).join(small_side(tmpl_frames.select(*TPL, "c_cv", "c_source")), TPL).join(
+    t = docs.select(*KEYS).join(tmpl_frames.select(*TPL, "c_cv", "c_source"), TPL).join(
         rt_frames.select(*PAGE, "r_cv", "r_source"), PAGE
     )
     fallback = (F.col("c_source") == "full-page-fallback") | (F.col("r_source") == "full-page-fallback")

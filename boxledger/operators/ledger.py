@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxledger.session import small_side
 
 FIXED = ["document_id", "source_name", "extracted_at_iso"]
 POSITION = ["row_batch", "row_ord"]
@@ -86,24 +85,17 @@ def batch_rows(readings: DataFrame, order: list[str], batch_no: int) -> DataFram
 def upsert_ledger(ledger: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     """L-3: rows replace whole existing rows in place, new documents are appended.
 
-    The existing ledger is only read through an anti join (broadcast when the batch is small by
-    size estimate), so a small batch never shuffles a large ledger.
+    One full outer join on the document key gives kept, replaced and new rows, so both sides are computed once.
     """
     old_cols = ledger_fields(ledger)
-    old = ledger.select(
-        *FIXED, *[F.col(f) if f in old_cols else F.lit("").alias(f) for f in order], *POSITION
+    old = ledger.select("document_id", F.struct(*FIXED, *[F.col(f) if f in old_cols else F.lit("").alias(f) for f in order], *POSITION).alias("_old"))
+    new = rows.select("document_id", F.struct(*FIXED, *order, *POSITION).alias("_new"))
+    both = old.join(new, "document_id", "full")
+    replaced = F.col("_new").isNotNull()
+    return both.select(
+        *[F.when(replaced, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in [*FIXED, *order]],
+        *[F.coalesce(f"_old.{c}", f"_new.{c}").alias(c) for c in POSITION],
     )
-    places = old.select("document_id", F.struct(*POSITION).alias("_old"))
-    batch = small_side(rows)
-    kept = old.join(batch.select("document_id"), "document_id", "left_anti")
-    found = places.join(batch.select("document_id"), "document_id", "left_semi")
-    new = rows.join(found, "document_id", "left").select(
-        *FIXED,
-        *order,
-        F.coalesce(F.col("_old.row_batch"), F.col("row_batch")).alias("row_batch"),
-        F.coalesce(F.col("_old.row_ord"), F.col("row_ord")).alias("row_ord"),
-    )
-    return kept.unionByName(new)
 
 
 def upsert_outcome(ledger: DataFrame, rows: DataFrame) -> DataFrame:
@@ -136,7 +128,7 @@ def apply_edits(ledger: DataFrame, edits: DataFrame) -> DataFrame:
         )
         for f in order
     ]
-    per_doc = small_side(edits.groupBy("document_id").agg(*cells))
+    per_doc = edits.groupBy("document_id").agg(*cells)
     joined = ledger.join(per_doc, "document_id", "left")
     new = {f: F.coalesce(F.col(f"_e_{f}"), F.col(f)).alias(f) for f in order}
     return joined.select(*[new.get(c, F.col(c)) for c in ledger.columns])

@@ -17,7 +17,6 @@ from boxledger.operators.boxes import PAGE
 from boxledger.operators.candidates import OBJECT_SOURCES
 from boxledger.operators.consensus import KEYS
 from boxledger.operators.matching import TPL
-from boxledger.session import small_side
 
 # Fixed values.
 RESCUE_MIN, SINGLE_MIN = 0.6, 0.85
@@ -90,9 +89,7 @@ def resolve_object(config: DataFrame, runtime: DataFrame, docs: DataFrame, cross
     Otherwise the template object must be alone at its depth: the best runtime object of that
     depth by role and distance (strict: the only one) is taken if it is close and similar enough.
     """
-    c = small_side(
-        config.select(*TPL, "config_id", F.col("rect").alias("c"), "depth", F.col("has_children").alias("_ck"), F.col("has_parent").alias("_cp"), F.col("peers").alias("_cn"))
-    )
+    c = config.select(*TPL, "config_id", F.col("rect").alias("c"), "depth", F.col("has_children").alias("_ck"), F.col("has_parent").alias("_cp"), F.col("peers").alias("_cn"))
     wanted = docs.select(*KEYS).join(c, TPL)
     r = runtime.select(*PAGE, "runtime_id", F.col("rect").alias("r"), "depth", F.col("has_children").alias("_rk"), F.col("has_parent").alias("_rp"), F.col("peers").alias("_rn"))
     same = wanted.join(r.select(*PAGE, F.col("runtime_id").alias("config_id"), "r"), PAGE + ["config_id"])
@@ -131,7 +128,7 @@ def relational_rescue(anchors: DataFrame, relations: DataFrame, tmpl: DataFrame,
     plan = a.join(b, TPL + ["field_id"]).where(F.col("_rid") != F.col("config_id")).join(hold, TPL + ["_rid", "config_id"])
     plan = plan.join(tmpl.select(*TPL, "config_id", F.col("c").alias("_cm")), TPL + ["config_id"])
     found = strict.select(*KEYS, F.col("config_id").alias("_rid"), F.col("r").alias("_rr"), F.col("strategy").alias("_st"))
-    t = found.join(small_side(plan), TPL + ["_rid"])
+    t = found.join(plan, TPL + ["_rid"])
     first = F.min_by(F.struct("_label", "_frel", "_orel", "_cm", "_rr", "_st"), "_rpos")
     t = t.groupBy(*KEYS, "field_id", "config_id").agg(first.alias("_p")).select(*KEYS, "field_id", "config_id", "_p.*")
     t = t.withColumn("_v", R.project_relative(F.col("_orel"), F.col("_rr")))
@@ -151,8 +148,8 @@ def resolve_legacy(docs: DataFrame, fields: DataFrame, ranked: DataFrame, resolv
     Anchors in priority order, each directly (P-11) or by rescue (P-7); then the refined border;
     a field without anchors uses the refined-border affine.
     """
-    base = docs.select(*KEYS).join(small_side(fields.select(*TPL, "field_id", "bbox")), TPL)
-    turn = small_side(ranked.select(*TPL, "field_id", "label", "rel", "resolve_ord", F.col("object_id").alias("config_id")))
+    base = docs.select(*KEYS).join(fields.select(*TPL, "field_id", "bbox"), TPL)
+    turn = ranked.select(*TPL, "field_id", "label", "rel", "resolve_ord", F.col("object_id").alias("config_id"))
     d = resolved.join(turn, TPL + ["config_id"]).withColumn("_q", R.project_relative(F.col("rel"), F.col("r")))
     tier = label_tier(F.col("label"))
     direct = d.select(
@@ -165,8 +162,8 @@ def resolve_legacy(docs: DataFrame, fields: DataFrame, ranked: DataFrame, resolv
         F.col("rescue").withField("label", F.concat(F.lit("legacy-"), "rescue.tier")).alias("_r"),
     )
     first = direct.unionByName(saved).groupBy(*KEYS, "field_id").agg(F.min_by("_r", "_o").alias("_r"))
-    frames = base.join(small_side(tmpl_frames.select(*TPL, "c_cv")), TPL).join(rt_frames.select(*PAGE, "r_cv"), PAGE)
-    b = small_side(border_anchors.select(*TPL, "field_id", "refined_rel"))
+    frames = base.join(tmpl_frames.select(*TPL, "c_cv"), TPL).join(rt_frames.select(*PAGE, "r_cv"), PAGE)
+    b = border_anchors.select(*TPL, "field_id", "refined_rel")
     t = frames.join(b, TPL + ["field_id"], "left").join(first, KEYS + ["field_id"], "left")
     affine = R.affine_from_rects_floored(F.col("c_cv"), F.col("r_cv"))
     rel = R.project_relative(F.col("refined_rel"), F.col("r_cv"))
@@ -179,10 +176,10 @@ def resolve_legacy(docs: DataFrame, fields: DataFrame, ranked: DataFrame, resolv
 # ------------------------------------------------------------------ candidate rows
 def packed_candidates(ordered: DataFrame, fields: DataFrame, tmpl: DataFrame, rt: DataFrame, tmpl_frames: DataFrame, rt_frames: DataFrame) -> DataFrame:
     """Candidates of a field in order with source rects and projected boxes, one array per field."""
-    f = small_side(fields.select(*TPL, "field_id", "bbox"))
-    c = small_side(tmpl.select(*TPL, "config_id", "c"))
+    f = fields.select(*TPL, "field_id", "bbox")
+    c = tmpl.select(*TPL, "config_id", "c")
     r = rt.select(*PAGE, "runtime_id", "r")
-    cf = small_side(tmpl_frames.select(*TPL, "c_cv", "c_border"))
+    cf = tmpl_frames.select(*TPL, "c_cv", "c_border")
     rf = rt_frames.select(*PAGE, "r_cv", "r_border")
     t = ordered.join(f, TPL + ["field_id"]).join(c, TPL + ["config_id"], "left").join(r, PAGE + ["runtime_id"], "left").join(cf, TPL).join(rf, PAGE)
     is_obj = F.col("source").isin(*OBJECT_SOURCES)
@@ -322,7 +319,7 @@ def agreement_warnings(t: DataFrame) -> DataFrame:
 
 def mode_mismatch(tmpl_modes: DataFrame, rt_modes: DataFrame) -> DataFrame:
     """V-14: pages whose detector mode differs between template and document, with the warning text."""
-    t = rt_modes.join(small_side(tmpl_modes.select(*TPL, F.col("cv_mode").alias("_c"))), TPL).where(F.col("_c") != F.col("cv_mode"))
+    t = rt_modes.join(tmpl_modes.select(*TPL, F.col("cv_mode").alias("_c")), TPL).where(F.col("_c") != F.col("cv_mode"))
     text = F.concat(
         F.lit("cvExecutionMode mismatch on page "), F.col("page_index").cast("string"), F.lit(": config="), "_c", F.lit(" runtime="), "cv_mode",
         F.lit(" (object detection thresholds may differ between Config and Runtime)"),
@@ -337,7 +334,7 @@ def localize(surfaces: DataFrame, fields: DataFrame, cands: DataFrame, consensus
     ``surfaces``: KEYS, width, height (pages that exist at runtime); ``fields``: TPL, field_id, bbox;
     ``cands``: :func:`packed_candidates`; ``rescues``, ``legacy``, ``modes`` are optional tables.
     """
-    base = surfaces.select(*KEYS, "width", "height").join(small_side(fields), TPL)
+    base = surfaces.select(*KEYS, "width", "height").join(fields, TPL)
     k = consensus.select(*KEYS, F.col("affine").alias("k_affine"), F.col("confidence").alias("k_confidence"), F.col("n_matches").alias("k_n"))
     t = base.join(cands, KEYS + ["field_id"], "left").join(k, KEYS, "left")
     item_t = cands.schema["cands"].dataType.simpleString()
@@ -365,9 +362,9 @@ def localize(surfaces: DataFrame, fields: DataFrame, cands: DataFrame, consensus
 
 def project_template(docs: DataFrame, tmpl: DataFrame, chains: DataFrame, matches: DataFrame, consensus: DataFrame, refined: DataFrame, border: DataFrame) -> DataFrame:
     """P-16: every template object on every document: own match, matched ancestor, consensus, refined, border, identity."""
-    base = docs.select(*KEYS).join(small_side(tmpl.select(*TPL, "config_id", "c")), TPL)
+    base = docs.select(*KEYS).join(tmpl.select(*TPL, "config_id", "c"), TPL)
     own = matches.select(*PAGE, "config_id", F.col("affine").alias("_m"), F.col("confidence").alias("_mc"))
-    up = small_side(chains.select(*TPL, F.col("object_id").alias("config_id"), "ancestor_id", "distance"))
+    up = chains.select(*TPL, F.col("object_id").alias("config_id"), "ancestor_id", "distance")
     anc = (
         matches.select(*KEYS, F.col("config_id").alias("ancestor_id"), F.col("affine").alias("_a"), F.col("confidence").alias("_ac"))
         .join(up, TPL + ["ancestor_id"])
@@ -390,6 +387,6 @@ def project_template(docs: DataFrame, tmpl: DataFrame, chains: DataFrame, matche
 
 def project_template_raw(docs: DataFrame, tmpl: DataFrame) -> DataFrame:
     """P-16: template objects where the template has them."""
-    return docs.select(*KEYS).join(small_side(tmpl.select(*TPL, "config_id", "c")), TPL).select(
+    return docs.select(*KEYS).join(tmpl.select(*TPL, "config_id", "c"), TPL).select(
         *KEYS, "config_id", F.col("c").alias("rect"), F.lit("identity").alias("source"), R.lit(0).alias("confidence"), F.lit(False).alias("matched")
     )

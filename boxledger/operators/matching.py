@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from boxledger.functions import rect as R
 from boxledger.operators.boxes import PAGE, ancestors
 from boxledger.operators.greedy import one_to_one
-from boxledger.session import cut, small_side
+from boxledger.session import cut
 
 TPL = ["template_id", "page_index"]
 
@@ -42,7 +42,6 @@ class MatchOptions:
 
     min_hierarchical: float = 0.75
     min_global: float = 0.80
-    pool_threshold: int = 4
     ambiguity_margin: float = 0.02
     recovery_margin: float = 0.05
     weights: dict | None = None
@@ -51,11 +50,11 @@ class MatchOptions:
 
 def candidates(tmpl: DataFrame, rt: DataFrame) -> DataFrame:
     """M-1: template objects beside runtime objects of the same page."""
-    return rt.join(small_side(tmpl), TPL)
+    return rt.join(tmpl, TPL)
 
 
 def with_frames(pairs: DataFrame, tmpl_frames: DataFrame, rt_frames: DataFrame) -> DataFrame:
-    return pairs.join(small_side(tmpl_frames.select(*TPL, "c_refined")), TPL).join(
+    return pairs.join(tmpl_frames.select(*TPL, "c_refined"), TPL).join(
         rt_frames.select(*PAGE, "r_refined"), PAGE
     )
 
@@ -191,7 +190,7 @@ def parent_chain(pairs: DataFrame, anc_c: DataFrame, anc_r: DataFrame, matches:
     gap = F.abs(F.col("_dc") - F.col("_dr"))
     value = F.when(gap == 0, R.lit(1)).otherwise(R.clamp01(R.lit(1) - gap / F.greatest("_dc", "_dr")))
     evidence = (
-        m.join(small_side(below_c), TPL + ["_ca"])
+        m.join(below_c, TPL + ["_ca"])
         .join(below_r, PAGE + ["_ra"])
         .where(gap <= MAX_DEPTH_GAP)
         .groupBy(*PAGE, "config_id", "runtime_id")
@@ -282,32 +281,20 @@ def assign_greedy(pairs: DataFrame, group: list[str], min_score: float) -> DataF
     return one_to_one(ok.select(*group, "config_id", "runtime_id", "score"), group, "config_id", "runtime_id")
 
 
-def assign(pairs: DataFrame, group: list[str], min_score: float, pool_threshold: int) -> DataFrame:
-    """M-9/M-10 by pool size.
+def assign(pairs: DataFrame, group: list[str], min_score: float) -> DataFrame:
+    """M-10 for every group, whatever its size.
 
-    Where the best partners of all template objects of a group differ, both methods give just
-    them, so the common case is one aggregate; only contested groups go to the rounds (small
-    pools) or to the solver.
+    Where the best partners of all template objects of a group differ, they are the optimum, so the common case is one
+    aggregate; only contested groups go to the solver.
     """
-    ok = cut(pairs.select(*group, "config_id", "runtime_id", "score"))
-    pool = ok.groupBy(*group).agg(F.count_distinct("config_id").alias("_nc"), F.count_distinct("runtime_id").alias("_nr"))
-    good = ok.where((F.col("score") > 0) & (F.col("score") >= R.lit(min_score)))
+    good = cut(pairs.select(*group, "config_id", "runtime_id", "score")).where((F.col("score") > 0) & (F.col("score") >= R.lit(min_score)))
     best = good.groupBy(*group, "config_id").agg(
         F.min_by(F.struct("runtime_id", "score"), F.struct((-F.col("score")).alias("s"), F.col("runtime_id"))).alias("_b")
     ).select(*group, "config_id", "_b.runtime_id", "_b.score")
-    contested = best.groupBy(*group, "runtime_id").count().where(F.col("count") > 1).select(*group).distinct()
-    contested = cut(contested.join(pool, group))
-    easy = best.join(small_side(contested.select(*group)), group, "left_anti")
-    parts = [easy]
-    large = (F.col("_nc") >= pool_threshold) & (F.col("_nr") >= pool_threshold)
-    flags = contested.agg(F.count_if(large).alias("large"), F.count_if(~large).alias("small")).first()
-    if flags["small"]:
-        hard = good.join(small_side(contested.where(~large).select(*group)), group, "left_semi")
-        parts.append(assign_greedy(hard, group, min_score))
-    if flags["large"]:
-        hard = good.join(small_side(contested.where(large).select(*group)), group, "left_semi")
-        parts.append(assign_optimal(hard, group, min_score))
-    return reduce(DataFrame.unionByName, [p.select(*group, "config_id", "runtime_id", "score") for p in parts])
+    contested = cut(best.groupBy(*group, "runtime_id").count().where(F.col("count") > 1).select(*group).distinct())
+    easy = best.join(contested, group, "left_anti")
+    hard = assign_optimal(good.join(contested, group, "left_semi"), group, min_score)
+    return easy.unionByName(hard.select(*easy.columns))
 
 
 def priority_ids(anchors: DataFrame) -> DataFrame:
@@ -399,7 +386,7 @@ def match_pages(
     base = sim_components(with_frames(candidates(tmpl, rt), tmpl_frames, rt_frames)).where(passes_floors())
     bonus = R.lit(0)
     if priority is not None:
-        base = base.join(small_side(priority), TPL + ["config_id"], "left")
+        base = base.join(priority, TPL + ["config_id"], "left")
         bonus = F.when(F.col("priority"), R.lit(PRIORITY_BONUS)).otherwise(R.lit(0))
     base = cut(base.withColumn("bonus", bonus).drop("c_refined", "r_refined"))
 
@@ -409,7 +396,7 @@ def match_pages(
     def chosen(pairs: DataFrame, group: list[str], threshold: float) -> DataFrame:
         # The bonus helps a pair in the contest; whether it is good enough is decided without it.
         ranked = pairs.where(F.col("score") >= R.lit(threshold)).withColumn("score", F.col("score") + F.col("bonus"))
-        return assign(ranked, group, threshold, opts.pool_threshold)
+        return assign(ranked, group, threshold)
 
     roots = scored(base.where(F.col("c_parent").isNull() & F.col("r_parent").isNull()).withColumn("s_parent", R.lit(1)))
     level = cut(_finish(chosen(roots, PAGE, opts.min_hierarchical), roots, opts, "hierarchy"))
@@ -461,7 +448,7 @@ def recover_pairs(left: DataFrame, opts: MatchOptions) -> DataFrame:
 
 def unmatched_config(tmpl: DataFrame, docs: DataFrame, matches: DataFrame) -> DataFrame:
     """M-15: template objects without partner per document page. ``docs``: doc_id, template_id, page_index."""
-    all_c = docs.join(small_side(tmpl.select(*TPL, "config_id")), TPL)
+    all_c = docs.join(tmpl.select(*TPL, "config_id"), TPL)
     return all_c.join(matches.select(*PAGE, "config_id"), PAGE + ["config_id"], "left_anti")
 
 
@@ -484,7 +471,7 @@ def recover_anchors(anchors: DataFrame, tmpl: DataFrame, free_runtime: DataFrame
     )
     want = first.join(tmpl.select(*TPL, "config_id", "c"), TPL + ["config_id"])
     pages = consensus.where(F.col("affine").isNotNull()).select("doc_id", *TPL, F.col("affine").alias("_a"))
-    open_anchors = pages.join(small_side(want), TPL).join(
+    open_anchors = pages.join(want, TPL).join(
         matches.select(*PAGE, "config_id"), PAGE + ["config_id"], "left_anti"
     )
     pairs = open_anchors.join(free_runtime.select(*PAGE, "runtime_id", "r"), PAGE)
@@ -509,7 +496,7 @@ def page_coverage(tmpl_pages: DataFrame, rt_pages: DataFrame) -> DataFrame:
     ``tmpl_pages``: template_id, page_index; ``rt_pages``: doc_id, template_id, page_index.
     """
     docs = rt_pages.select("doc_id", "template_id").distinct()
-    want = docs.join(small_side(tmpl_pages.select(*TPL)), "template_id").withColumn("_t", F.lit(True))
+    want = docs.join(tmpl_pages.select(*TPL), "template_id").withColumn("_t", F.lit(True))
     have = rt_pages.select("doc_id", *TPL).withColumn("_r", F.lit(True))
     both = want.join(have, ["doc_id", *TPL], "full_outer").where(F.col("_t").isNull() | F.col("_r").isNull())
     page = F.col("page_index").cast("string")
@@ -527,7 +514,7 @@ def empty_report(tmpl: DataFrame, rt: DataFrame, docs: DataFrame) -> DataFrame:
     r = rt.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_unmatched_runtime"))
     return (
         docs.select("doc_id", "template_id").distinct()
-        .join(small_side(c), "template_id")
+        .join(c, "template_id")
         .join(r, PAGE, "left")
         .select(
             "doc_id", *TPL, "n_unmatched_config", F.coalesce("n_unmatched_runtime", F.lit(0)).alias("n_unmatched_runtime"),

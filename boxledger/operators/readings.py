@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from boxledger.functions import rect
 from boxledger.functions.text import norm_confidence, tidy_text
-from boxledger.session import small_side
 
 DEFAULT_PADDING = 0.004
 MIN_CROP_PIXELS = 0.5
@@ -83,7 +82,7 @@ def with_reader(requests: DataFrame, reader: Callable, percent_confidence: bool
 
 def readings_report(readings: DataFrame, fields: DataFrame) -> DataFrame:
     """R-6: display listing with labels, 1-based page and two-decimal confidence."""
-    labels = small_side(fields.select("field_id", "label"))
+    labels = fields.select("field_id", "label")
     return readings.join(labels, "field_id", "left").select(
         "doc_id",
         "field_id",

@@ -19,7 +19,6 @@ from boxledger.operators import boxes
 from boxledger.operators.boxes import PAGE
 from boxledger.operators.consensus import KEYS
 from boxledger.operators.matching import TPL
-from boxledger.session import small_side
 
 AFFINE = ("sx", "sy", "tx", "ty")
 RECT = ("x", "y", "w", "h")
@@ -78,7 +77,7 @@ def evidence_tier(tier: Column) -> Column:
 
 def field_evidence(predicted: DataFrame, fields: DataFrame, rt: DataFrame) -> DataFrame:
     """F-4: predicted fields of the geometry with tier and IoU with the matched runtime object."""
-    known = small_side(fields.select(*TPL, "field_id"))
+    known = fields.select(*TPL, "field_id")
     r = rt.select(*PAGE, "runtime_id", "r")
     t = predicted.join(known, TPL + ["field_id"], "left_semi").join(r, PAGE + ["runtime_id"], "left")
     return t.select(
@@ -237,7 +236,7 @@ def reliability(appearances: Column, documents: Column, iou: Column, outliers: C
 
 
 def with_reliability(a: Analytics) -> DataFrame:
-    docs = small_side(a.totals.select("template_id", "documents"))
+    docs = a.totals.select("template_id", "documents")
     t = a.objects.join(docs, "template_id", "left")
     n = F.coalesce(F.col("documents"), F.lit(0))
     return t.withColumn("reliability", reliability(F.col("appearances"), n, F.col("iou"), F.col("outliers"))).drop("documents")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxledger.functions import rect as R
-from boxledger.session import small_side
 
 SURFACE_TOLERANCE = 1
 
@@ -19,7 +18,7 @@ def validate_geometry(geometry: DataFrame, wizards: DataFrame, fields: DataFrame
     empty geometries). ``fields``: wizard fields field_id, required. ``pages``: geometry_id,
     page_index, width, height. A wizard is a form definition, so its required ids are read once.
     """
-    known = small_side(fields.select("field_id", F.lit(True).alias("_known")))
+    known = fields.select("field_id", F.lit(True).alias("_known"))
     p = pages.select("geometry_id", "page_index", "width", "height", F.lit(True).alias("_page"))
     t = geometry.join(known, "field_id", "left").join(p, ["geometry_id", "page_index"], "left")
     on_page = F.col("_page").isNotNull()

@@ -1,4 +1,4 @@
-"""Session helpers shared by every operator: lineage cuts and size-checked broadcasts."""
+"""Session helpers shared by every operator; join strategies are left to adaptive execution."""
 
 from __future__ import annotations
 
@@ -7,10 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A side is broadcast only when its optimizer statistics prove it smaller than this.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+_LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "boxledger") -> SparkSession:
@@ -35,12 +33,16 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "boxledger")
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    On a cluster the setting is required, as driver and executors must share the folder. In local mode, where it names
+    none, a folder that ends with the process is set.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="boxledger-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="boxledger-", ignore_cleanup_errors=True))
+        named = _LOCAL[-1].name
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -49,24 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by writing the table to the shared folder and reading it back.
 
     The plan runs once, the result survives the loss of executors, and the scan that replaces it
-    knows its real size, which the size-checked broadcasts rely on.
+    knows its real size, from which Spark chooses join strategies.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/boxledger-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Upper size estimate of the optimized plan in bytes; nothing is executed."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint when the plan's size bound proves the side small, otherwise unchanged.
-
-    Without the hint Spark shuffles both sides and AQE still handles skew, so results never
-    depend on the check.
-    """
-    return F.broadcast(df) if plan_bytes(df) <= limit else df

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the contracts.
 FIELD_TYPES = ("text", "numeric", "any")
@@ -92,6 +93,31 @@ def _prefix_of(items: Column, names: tuple[str, ...]) -> Column:
     return (n >= 1) & (n <= len(names)) & (items == F.slice(F.array(*[F.lit(x) for x in names]), F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(len(names)))))
 
 
+def _typed(value: Column, wanted: T.DataType, path: str = "") -> Column:
+    """Whether a JSON value (variant) has exactly the wanted type all the way down; JSON null and missing parts pass,
+    as other rules decide what may be missing. An extracted value may be any scalar."""
+    name = F.schema_of_variant(value)
+    if path == "fields[].value":
+        fits = ~(name.startswith("OBJECT") | name.startswith("ARRAY"))
+    elif isinstance(wanted, T.StringType):
+        fits = name == "STRING"
+    elif isinstance(wanted, T.BooleanType):
+        fits = name == "BOOLEAN"
+    elif isinstance(wanted, T.DoubleType):
+        fits = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+    elif isinstance(wanted, T.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        fits = name.startswith("ARRAY") & F.forall(items, lambda x: _typed(x, wanted.elementType, f"{path}[]"))
+    elif isinstance(wanted, T.MapType):
+        items = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+        fits = name.startswith("OBJECT") & F.forall(items, lambda x: _typed(x, wanted.valueType, f"{path}{{}}"))
+    else:
+        fits = name.startswith("OBJECT")
+        for f in wanted.fields:
+            fits = fits & _typed(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType, f"{path}.{f.name}".lstrip("."))
+    return value.isNull() | F.is_variant_null(value) | F.coalesce(fits, F.lit(False))
+
+
 def rules(kind: str, namespace: str = NAMESPACE) -> dict[str, Column]:
     """Rule name to condition over the parsed columns."""
     schema, version = TAGS[kind]
@@ -161,19 +187,22 @@ def rules(kind: str, namespace: str = NAMESPACE) -> dict[str, Column]:
 
 
 def parse(raw: DataFrame, kind: str) -> DataFrame:
-    """``raw``: artifact_id, text. Adds ``doc`` (typed struct) and ``parsed`` (is it a JSON object at all)."""
+    """``raw``: artifact_id, text. Adds ``doc`` (typed struct), ``parsed`` (is it a JSON object at all) and ``typed`` (has
+    every part the JSON type of the contract, which the struct alone can't tell as it turns numbers into strings)."""
     doc = F.from_json("text", SCHEMAS[kind])
-    generic = F.get_json_object("text", "$")
-    return raw.withColumn("doc", doc).withColumn("parsed", generic.isNotNull() & F.ltrim("text").startswith("{"))
+    json = raw.withColumn("doc", doc).withColumn("_json", F.try_parse_json("text"))
+    parsed = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
+    typed = _typed(F.col("_json"), json.schema["doc"].dataType)
+    return json.withColumn("parsed", parsed).withColumn("typed", typed).drop("_json")
 
 
 def violations(raw: DataFrame, kind: str, namespace: str = NAMESPACE) -> DataFrame:
     """V-1..V-11: (artifact_id, rule). ``parse`` stands for text that is not JSON."""
     t = parse(raw, kind)
-    checks = rules(kind, namespace)
+    checks = rules(kind, namespace) | {"types": F.col("typed")}
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in checks.items()]))
     cols = t.schema["doc"].dataType.names
-    flat = t.select("artifact_id", "parsed", *[F.col(f"doc.{c}").alias(c) for c in cols])
+    flat = t.select("artifact_id", "parsed", "typed", *[F.col(f"doc.{c}").alias(c) for c in cols])
     found = F.when(F.col("parsed"), broken).otherwise(F.array(F.lit("parse")))
     return flat.select("artifact_id", F.explode(found).alias("rule"))
 
@@ -182,13 +211,13 @@ def split_artifacts(raw: DataFrame, kind: str, namespace: str = NAMESPACE) -> tu
     """S-1: (valid artifacts with typed columns, rejected ones with raw text and reason)."""
     t = parse(raw, kind)
     cols = t.schema["doc"].dataType.names
-    flat = t.select("artifact_id", "text", "parsed", *[F.col(f"doc.{c}").alias(c) for c in cols])
-    ok = F.lit(True)
+    flat = t.select("artifact_id", "text", "parsed", "typed", *[F.col(f"doc.{c}").alias(c) for c in cols])
+    ok = F.col("typed")
     for cond in rules(kind, namespace).values():
         ok = ok & F.coalesce(cond, F.lit(False))
     reason = F.when(~F.col("parsed"), F.lit("could not parse")).when(~ok, F.lit("invalid schema"))
     checked = flat.withColumn("reason", reason)
-    return checked.where(F.col("reason").isNull()).drop("text", "parsed", "reason"), checked.where(F.col("reason").isNotNull()).select("artifact_id", "text", "reason")
+    return checked.where(F.col("reason").isNull()).drop("text", "parsed", "typed", "reason"), checked.where(F.col("reason").isNotNull()).select("artifact_id", "text", "reason")
 
 
 def read_artifacts(spark: SparkSession, path: str, kind: str, namespace: str = NAMESPACE) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,10 @@
+import functools
 import itertools
 import random
 
 from pyspark.sql import functions as F
 
 from boxledger.operators import boxes, lines
-from boxledger.operators.lines import leaves_of_page
 
 RECT = "struct<x:double,y:double,w:double,h:double>"
 
@@ -49,8 +49,70 @@ def grid(nx, ny, step=50):
     return [(a, c, b + 1, d + 1) for a, b in itertools.combinations(xs, 2) for c, d in itertools.combinations(ys, 2)]
 
 
-def test_leaves_of_ruled_grids():
-    assert [(len(grid(x, y)), len(leaves_of_page(grid(x, y), 5))) for x, y in ((5, 3), (6, 3), (3, 4))] == [(90, 16), (126, 19), (60, 13)]
+def brute_leaves(rects, tol):
+    """Leaves are what no straight cut divides into covered parts; found by trying every cut of every area."""
+    area = lambda a: max(0, a[2] - a[0]) * max(0, a[3] - a[1])
+    bins = lambda a: tuple(int((v / tol + 0.5) // 1) for v in a)
+    known = {bins(r) for r in rects}
+    xs, ys = sorted({v for r in rects for v in (r[0], r[2])}), sorted({v for r in rects for v in (r[1], r[3])})
+
+    @functools.cache
+    def covered(a):
+        return bins(a) in known or divides(a)
+
+    @functools.cache
+    def divides(a):
+        x0, y0, x1, y1 = a
+        return any(covered((x0, y0, x1, y)) and covered((x0, y, x1, y1)) for y in ys if y0 + tol < y < y1 - tol) or any(
+            covered((x0, y0, x, y1)) and covered((x, y0, x1, y1)) for x in xs if x0 + tol < x < x1 - tol
+        )
+
+    joins = [r for r in rects if divides(r)]
+    near = [r for r in joins if not any(0 < area(b) < area(r) and area(b) >= 0.85 * area(r) and within(r, b, tol) for b in rects)]
+
+    def framed(r):
+        for f in near:
+            bands = [(f[0], f[1], f[2], r[1]), (f[0], r[3], f[2], f[3]), (f[0], r[1], r[0], r[3]), (r[2], r[1], f[2], r[3])]
+            bands = [b for b, w in zip(bands, (r[1] - f[1], f[3] - r[3], r[0] - f[0], f[2] - r[2]), strict=True) if w > tol]
+            if area(f) > area(r) and area(f) >= 1.05 * area(r) and within(f, r, tol) and all(covered(b) for b in bands):
+                return True
+        return False
+
+    return {r for r in rects if r not in joins or not framed(r)}
+
+
+def within(outer, inner, tol):
+    return outer[0] <= inner[0] + tol and outer[1] <= inner[1] + tol and outer[2] + tol >= inner[2] and outer[3] + tol >= inner[3]
+
+
+def test_leaves_equal_exhaustive_cuts(spark):
+    rng = random.Random(4)
+    pages = {0: grid(5, 3), 1: grid(1, 1), 2: grid(2, 1)} | {k: [r for r in grid(4, 4) if rng.random() < 0.7] for k in range(3, 7)}
+    rows = [(1, k, *r) for k, rects in pages.items() for r in rects]
+    df = spark.createDataFrame(rows, "doc_id int, page_index int, left long, top long, right long, bottom long")
+    got = {}
+    for r in lines.leaves_and_outermost(df, boxes.PAGE, F.lit(5)).collect():
+        got.setdefault(r.page_index, set()).add((r.left, r.top, r.right, r.bottom))
+    assert got == {k: brute_leaves(rects, 5) for k, rects in pages.items()}
+    assert len(got[0]) == 5 * 3 + 1
+
+
+def test_runs_of_neighbouring_scanlines_form_stripes(spark):
+    runs = [(0, y, x, x + 40) for y in (3, 4, 5) for x in (0, 100)] + [(0, 7, 0, 40), (0, 8, 25, 65), (0, 20, 5, 6)] + [(0, y, 200, 300) for y in range(3, 12)]
+    df = spark.createDataFrame(runs, "axis int, scan long, start_pos long, end_pos long")
+    got = {(r.axis_pos, r.thickness, r.start_pos, r.end_pos) for r in lines.stripes_to_segments(df, ["axis"], F.lit(4)).collect()}
+    assert got == {(4, 3, 0, 40), (4, 3, 100, 140), (7, 1, 0, 40), (8, 1, 25, 65), (20, 1, 5, 6)}
+
+
+def test_no_rule_and_no_object_is_left_out(spark):
+    """A page with more than two hundred rules keeps all, one with forty objects relates all."""
+    seg = [(1, 0, 0, 10 * i, 1, 0, 500 + i % 7) for i in range(210)]
+    df = spark.createDataFrame(seg, "doc_id int, page_index int, axis int, axis_pos int, thickness int, start_pos int, end_pos int")
+    assert lines.rank_segments(df, boxes.PAGE).count() == 210
+    rows = [(f"o{i:02d}", (0.02 * (i % 10), 0.05 * (i // 10), 0.015, 0.03), 0.9) for i in range(40)]
+    graph = boxes.relation_graph(boxes.assign_parents(objects(spark, rows))).select("from_id", "to_id").distinct().collect()
+    want = {(a, b) for a, ra, _ in rows for b, rb, _ in rows if a != b and ((ra[0] - rb[0]) ** 2 + (ra[1] - rb[1]) ** 2) ** 0.5 <= 0.35}
+    assert {(r.from_id, r.to_id) for r in graph} >= want and len({r.from_id for r in graph}) == 40
 
 
 def test_points_to_boxes_of_a_grid(spark):
