@@ -70,15 +70,10 @@ class ContextTrees:
         return total
 
 
-def _flatten(trees: list[list[np.ndarray]], s: int, alphabet_left: int) -> tuple[np.ndarray, np.ndarray]:
-    """State table and bits of all contexts that any language has seen; ``trees[l][o]`` counts (context..., symbol)."""
+def _flatten(trees: list[list[tuple[np.ndarray, np.ndarray]]], s: int, alphabet_left: int) -> tuple[np.ndarray, np.ndarray]:
+    """State table and bits of all contexts that any language has seen; ``trees[l][o]``: keys (context, symbol) and counts."""
     k = len(trees)
-    seen: list[np.ndarray] = [np.array([0])]
-    for order in range(1, ORDER + 1):
-        hit = np.zeros(s**order, bool)
-        for tree in trees:
-            hit |= tree[order].reshape(-1, s).any(1)
-        seen.append(np.flatnonzero(hit))
+    seen = [np.unique(np.concatenate([tree[order][0] // s for tree in trees])) if order else np.array([0]) for order in range(ORDER + 1)]
     offset = np.cumsum([0] + [len(x) for x in seen])
     row_at = [np.full(s**order, -1, np.int32) for order in range(ORDER + 1)]
     for order in range(ORDER + 1):
@@ -87,7 +82,9 @@ def _flatten(trees: list[list[np.ndarray]], s: int, alphabet_left: int) -> tuple
     for lang, tree in enumerate(trees):
         probs: list[np.ndarray] = []
         for order in range(ORDER + 1):
-            counts = tree[order].reshape(-1, s)[seen[order]].astype(np.float64)
+            keys, n_seen = tree[order]
+            counts = np.zeros((len(seen[order]), s))
+            counts[np.searchsorted(seen[order], keys // s), keys % s] = n_seen
             if order == 0:
                 below = np.full((1, s), 1.0 / 256)
                 below[0, 0] = alphabet_left / 256  # all unseen bytes together; the share of one is taken at the end
@@ -132,16 +129,15 @@ def build_trees(samples: dict[str, list[bytes]]) -> ContextTrees:
     s = len(used) + 1
     trees = []
     for language in languages:
-        counts = [np.zeros(s ** (order + 1), np.int32) for order in range(ORDER + 1)]
+        keys: list[list[np.ndarray]] = [[] for _ in range(ORDER + 1)]
         for text in samples[language]:
             ids = np.concatenate([np.full(ORDER, alphabet[10], np.int64), alphabet[np.frombuffer(text, np.uint8)].astype(np.int64)])
             key = np.zeros(len(ids) - ORDER, np.int64)
             for order in range(ORDER + 1):
                 # context of `order` symbols before each byte, then the byte itself
                 key = ids[ORDER:].copy() if order == 0 else key + ids[ORDER - order : len(ids) - order] * s**order
-                found, n = np.unique(key, return_counts=True)
-                counts[order][found] += n.astype(np.int32)
-        trees.append(counts)
+                keys[order].append(key)
+        trees.append([np.unique(np.concatenate(x), return_counts=True) for x in keys])
     state, bits = _flatten(trees, s, 256 - len(used))
     return ContextTrees(languages, alphabet, s, state, bits)
 
