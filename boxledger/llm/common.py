@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxledger.session import cut, shared_dir  # noqa: F401
+from boxledger.session import cut  # noqa: F401
 
 # Bytes of text that one vectorised block takes; the arrays of a block need about 60 times as much.
 BLOCK_BYTES = 1_500_000

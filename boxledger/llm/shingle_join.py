@@ -5,19 +5,23 @@ Equal sets form classes first; one document stands for each class. Two different
 
 * Small sets enumerate fixed-size subsets: for every size m that a partner may have, all subsets of the c elements that
   the two must share. Small linked sets have such a subset in common.
-* Large sets go into inverted lists and scan them. A list belongs to a block of elements: in the size range of a set the
-  hash space is cut into so many blocks that two linked sets agree in at least ``SPARE + 1`` of them. A list is keyed by
-  its block's whole content, so that a common shingle alone puts nobody on a list. A block with fewer than two elements
-  is skipped unless a set has more than ``SPARE`` of them.
+* Large sets go into inverted lists and scan them. Shingles of five words and more hardly recur by chance, so their lists
+  hold single shingles: under one order of all shingles, two linked sets have one in common among the first
+  ``n - ceil(percent n / 100) + 1`` of each. The order puts heavy shingles last: those that a bounded sample of documents
+  (``ORDER_SAMPLE``) shows in several of them; any choice of them finds every link. Shorter shingles recur, so their lists
+  hold blocks: in the size range of a set the hash space is cut into so many blocks that two linked sets agree in at least
+  ``SPARE + 1`` of them, and a list is keyed by its block's whole content. A block with fewer than two elements is skipped
+  unless a set has more than ``SPARE`` of them.
 * The boundary between small and large is the size up to which a set's subsets cost no more than its list entries, an
-  entry counting ``ENTRY_COST`` subsets because what lists find has to be checked.
-
-Lists give candidates, and each candidate pair is checked on the whole sets. Not all pairs of a list are formed. Its
-members first meet its smallest member. Lists whose members are then still in several components meet a central member,
-the pivot, and what is left is joined on the differences E = A ^ pivot: as ``|A ^ B| = |E_A ^ E_B|``, two members that do
-not both link with the pivot can link only if they share a good part of their differences, so short prefixes of the
-differences are all that has to meet. A crowd of texts that stem from one template and are too far from each other to
-link thus forms no pairs, and no link is lost that a component depends on.
+  entry counting ``ENTRY_COST`` subsets because what lists find has to be checked on whole sets.
+
+Lists give candidates. A candidate pair first meets a bitmap of both sets, each bit the parity of the elements that fall on
+it: linked sets differ in no more bits than elements. What passes is checked on the whole sets. Short lists give all their
+pairs. The members of a long list first meet its smallest member; lists whose members are then still in several components
+meet a central member, the pivot, and what is left is joined on the differences E = A ^ pivot: as ``|A ^ B| = |E_A ^ E_B|``,
+two members that do not both link with the pivot can link only if they share a good part of their differences, so short
+prefixes of the differences are all that has to meet. A crowd of texts that stem from one template and are too far from
+each other to link thus forms no pairs, and no link is lost that a component depends on.
 """
 
 from __future__ import annotations
@@ -31,16 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxledger.llm.common import byte_blocks, cut, partitions, texts
+from boxledger.llm.common import byte_blocks, cut, first_by_hash, partitions, texts
 from boxledger.llm.components import components
 from boxledger.llm.textarrays import Texts, U, mix, row_of, windows
 
 SHINGLE = 3
 PERCENT = 90
+ENTRY_COST = 10
+SINGLE_FROM = 5  # words of a shingle from which on lists hold single shingles
 SPARE = 1
-ENTRY_COST = 5
 RANGE = 1.35  # ratio of the largest to the smallest size of a size range
+SHORT_LIST = 8  # members of a list that gives all its pairs
+BITMAP = 1024  # bits
 LARGEST_BOUNDARY = 40
+ORDER_SAMPLE = 32_000  # documents
+HEAVY_DOCUMENTS = 2  # sampled documents that make a shingle heavy
+HEAVY_SHINGLES = 300_000  # at most; those in most documents
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -62,13 +72,17 @@ def differing(total: int, percent: int) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """List entries of sets of n shingles."""
+    return n + (-percent * n) // 100 + 1
+
+
 def boundary(percent: int) -> int:
     """Largest size of a small set: up to it, enumerating subsets costs no more than list entries."""
     best = 0
     for n in range(1, LARGEST_BOUNDARY + 1):
         subsets = sum(math.comb(n, c) for c in subset_sizes(n, percent))
-        entries = 2 * (differing(2 * int(n * RANGE), percent) + 1 + SPARE)
-        if subsets > ENTRY_COST * entries:
+        if subsets > ENTRY_COST * int(prefix_size(np.array(n), percent)):
             break
         best = n
     return best
@@ -102,14 +116,68 @@ def shingle_sets(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(row, np.arange(t.rows + 1))
 
 
-def signatures(grams: np.ndarray, borders: np.ndarray, percent: int, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row): subsets of small sets and block lists of large ones, and of small ones that may link to large."""
+def block_entries(grams: np.ndarray, borders: np.ndarray, percent: int, lowest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of the blocks of sets with at least ``lowest`` elements."""
+    sizes = np.diff(borders)
+    weights = mix(grams)
+    largest = int(sizes.max(initial=0))
+    out_sig, out_row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if largest < lowest:
+        return out_sig[0], out_row[0]
+    row = row_of(borders)
+    for place, (lo, hi) in enumerate(size_ranges(lowest, int(largest * RANGE) + 2)):
+        # A set is in its own range, and in the next one where a partner there may be.
+        inside = (sizes >= min(lo, -(-percent * lo // 100))) & (sizes <= hi)
+        if not inside.any():
+            continue
+        blocks = differing(2 * hi, percent) + 1 + SPARE
+        mine = inside[row]
+        g, r = grams[mine], row[mine]
+        salt = mix(np.array([place + 1], np.uint64))
+        block = (mix(g ^ salt) % U(blocks)).astype(np.int64)
+        key = r * blocks + block
+        order = np.argsort(key, kind="stable")
+        key, w = key[order], weights[mine][order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        content = np.add.reduceat(w, first) if len(first) else np.zeros(0, np.uint64)
+        count = np.diff(np.append(first, len(key)))
+        owner, block = key[first] // blocks, key[first] % blocks
+        strong = count > 1
+        weak = blocks - np.bincount(owner[strong], minlength=len(sizes))
+        kept = strong | (weak[owner] > SPARE)
+        sig = mix(content ^ mix(np.uint64(place << 32) + block.astype(np.uint64) + salt))
+        out_sig.append(sig[kept])
+        out_row.append(owner[kept])
+        for i in np.flatnonzero(inside & (weak > SPARE)):  # their empty blocks agree, too
+            empty = np.setdiff1d(np.arange(blocks), block[owner == i])
+            out_sig.append(mix(np.uint64(place << 32) + empty.astype(np.uint64) + salt))
+            out_row.append(np.full(len(empty), i))
+    return np.concatenate(out_sig), np.concatenate(out_row)
+
+
+def is_heavy(grams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Membership in the sorted array ``heavy``; a small table of low bits turns most shingles away at once."""
+    mask = U((1 << 20) - 1)
+    table = np.zeros(1 << 20, bool)
+    table[(heavy & mask).astype(np.int64)] = True
+    out = table[(grams & mask).astype(np.int64)]
+    maybe = np.flatnonzero(out)
+    if len(maybe):
+        at = np.minimum(np.searchsorted(heavy, grams[maybe]), len(heavy) - 1)
+        out[maybe] = heavy[at] == grams[maybe]
+    return out
+
+
+def signatures(grams: np.ndarray, borders: np.ndarray, percent: int, small: int, heavy: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row): subsets of small sets, list entries of large ones and of small ones that may link to large.
+
+    Without ``heavy`` lists are keyed by blocks, else by single shingles with the heavy ones last.
+    """
     sizes = np.diff(borders)
     out_sig: list[np.ndarray] = []
     out_row: list[np.ndarray] = []
-    weights = mix(grams)
     for i in np.flatnonzero((sizes > 1) & (sizes <= small)):
-        own, n = weights[borders[i] : borders[i + 1]], int(sizes[i])
+        own, n = mix(grams[borders[i] : borders[i + 1]]), int(sizes[i])
         sums: list[np.ndarray] = []
         for c in subset_sizes(n, percent):
             if c == n:
@@ -122,48 +190,50 @@ def signatures(grams: np.ndarray, borders: np.ndarray, percent: int, small: int)
             out_sig.append(np.concatenate(sums))
             out_row.append(np.full(len(out_sig[-1]), i))
     lowest = -(-percent * (small + 1) // 100)
-    largest = int(sizes.max(initial=0))
-    if largest >= lowest:
-        row = row_of(borders)
-        for place, (lo, hi) in enumerate(size_ranges(lowest, int(largest * RANGE) + 2)):
-            # A set is in its own range, and in the next one where a partner there may be.
-            inside = (sizes >= min(lo, -(-percent * lo // 100))) & (sizes <= hi)
-            if not inside.any():
-                continue
-            blocks = differing(2 * hi, percent) + 1 + SPARE
-            mine = inside[row]
-            g, r = grams[mine], row[mine]
-            salt = mix(np.array([place + 1], np.uint64))
-            block = (mix(g ^ salt) % U(blocks)).astype(np.int64)
-            key = r * blocks + block
-            order = np.argsort(key, kind="stable")
-            key, w = key[order], weights[mine][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            content = np.add.reduceat(w, first) if len(first) else np.zeros(0, np.uint64)
-            count = np.diff(np.append(first, len(key)))
-            owner, block = key[first] // blocks, key[first] % blocks
-            strong = count > 1
-            weak = blocks - np.bincount(owner[strong], minlength=len(sizes))
-            kept = strong | (weak[owner] > SPARE)
-            sig = mix(content ^ mix(np.uint64(place << 32) + block.astype(np.uint64) + salt))
-            out_sig.append(sig[kept])
-            out_row.append(owner[kept])
-            for i in np.flatnonzero(inside & (weak > SPARE)):  # their empty blocks agree, too
-                empty = np.setdiff1d(np.arange(blocks), block[owner == i])
-                out_sig.append(mix(np.uint64(place << 32) + empty.astype(np.uint64) + salt))
-                out_row.append(np.full(len(empty), i))
-    if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if heavy is None:
+        sig, row = block_entries(grams, borders, percent, lowest)
+        return np.concatenate([*out_sig, sig]), np.concatenate([*out_row, row])
+    listed = sizes >= lowest
+    row = row_of(borders)
+    mine = np.flatnonzero(listed[row])
+    g, r = grams[mine], row[mine]
+    order = np.lexsort((g, is_heavy(g, heavy), r))
+    g, r = g[order], r[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    first = place < prefix_size(sizes, percent)[r]
+    out_sig.append(g[first])
+    out_row.append(r[first])
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
+def heavy_shingles(documents: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of at most ``HEAVY_SHINGLES`` shingles that several of ``ORDER_SAMPLE`` documents have.
+
+    Only the lowest quarter of the hashes is looked at: prefixes hardly reach beyond.
+    """
+    ids = first_by_hash(documents.where(F.col("document_id").isNotNull()).select("document_id").distinct(), "document_id", ORDER_SAMPLE, seed=2)
+    sampled = texts(documents).join(F.broadcast(ids), "document_id")  # bounded by ORDER_SAMPLE
+    counted = shingle_table(sampled, shingle).select(F.explode(F.filter("shingles", lambda h: (h >= 0) & (h < 2**62))).alias("h")).groupBy("h").count().where(F.col("count") >= HEAVY_DOCUMENTS)
+    found = counted.orderBy(F.desc("count"), "h").limit(HEAVY_SHINGLES).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.view(np.uint64)) if len(found) else np.zeros(1, np.uint64)
+
+
+def bitmaps(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the sets, rows x BITMAP / 64."""
+    rows = len(borders) - 1
+    bit = (mix(grams ^ U(0x5BD1E995)) & U(BITMAP - 1)).astype(np.int64)
+    odd = np.bincount(row_of(borders) * BITMAP + bit, minlength=rows * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, BITMAP), axis=1).view(np.uint64)
+
+
 def _lists(values: np.ndarray, borders: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(borders.astype(np.int32), values.view(np.int64))
 
 
 def set_table(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(document_id, n_shingles, f1, f2, signatures): size, 128-bit fingerprint of the set, and where it is looked for."""
+    """(document_id, n_shingles, f1, f2, bits, signatures): size, 128-bit fingerprint and bitmap of the set, and its lists."""
     small = boundary(percent)
+    heavy = documents.sparkSession.sparkContext.broadcast(heavy_shingles(documents, shingle) if shingle >= SINGLE_FROM else None)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_blocks(batches):
@@ -172,16 +242,17 @@ def set_table(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
             np.cumsum(mix(grams), out=sums[0, 1:])
             np.cumsum(mix(grams + U(0x1234567)), out=sums[1, 1:])
             f = sums[:, borders[1:]] - sums[:, borders[:-1]]
-            sig, row = signatures(grams, borders, percent, small)
+            sig, row = signatures(grams, borders, percent, small, heavy.value)
             order = np.argsort(row, kind="stable")
             sig_borders = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            bits = bitmaps(grams, borders)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(borders)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), _lists(sig[order], sig_borders)],
-                names=["document_id", "n_shingles", "f1", "f2", "signatures"],
+                [batch.column(0), pa.array(np.diff(borders)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), _lists(bits.ravel(), np.arange(batch.num_rows + 1) * bits.shape[1]), _lists(sig[order], sig_borders)],
+                names=["document_id", "n_shingles", "f1", "f2", "bits", "signatures"],
             )
 
     ids = texts(documents).withColumn("document_id", F.col("document_id").cast("bigint"))
-    return ids.mapInArrow(describe, "document_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signatures array<bigint>")
+    return ids.mapInArrow(describe, "document_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bits array<bigint>, signatures array<bigint>")
 
 
 def shingle_table(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -196,6 +267,22 @@ def shingle_table(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return ids.mapInArrow(spell, "document_id bigint, shingles array<bigint>")
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow to link."""
+    left = sets.select(F.col("document_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("x"))
+    right = sets.select(F.col("document_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y"))
+    near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    return near.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
+def short_and_long(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists (sig, pivot, member) of at most ``SHORT_LIST`` members, and the others."""
+    sizes = lists.groupBy("sig").agg((F.count("*") + 1).alias("size"))
+    sized = cut(lists.join(sizes, "sig"))
+    return sized.where(F.col("size") <= SHORT_LIST).drop("size"), sized.where(F.col("size") > SHORT_LIST).drop("size")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, checked on the whole sets."""
     left = sets.select(F.col("document_id").alias("a"), F.col("shingles").alias("x"))
@@ -302,19 +389,28 @@ def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int
     entries = members.where("document_id = class_id").select(F.explode(F.array_distinct("signatures")).alias("sig"), F.col("class_id").alias("member"))
     lists = cut(pivot_lists(entries, long_lists(real, classes)))
 
-    # Only documents on a list with others are read again, for their whole sets.
-    ids = lists.select(F.col("pivot").alias("document_id")).unionByName(lists.select(F.col("member").alias("document_id"))).distinct()
+    short, crowded = short_and_long(lists)
+    narrow = real.select("document_id", "n_shingles", "bits")
+    others = short.select("sig", F.col("pivot").alias("a"), F.col("member").alias("b"))
+    within = others.select("sig", F.col("b").alias("a")).join(others.select("sig", "b"), "sig").where("a < b").select("a", "b")
+    stars = lists.select(F.col("pivot").alias("a"), F.col("member").alias("b"))
+    pairs = cut(plausible(stars.unionByName(within).distinct(), narrow, percent))
+
+    # Only documents of such pairs and of crowded lists are read again, for their whole sets.
+    everyone = crowded.select("sig", F.col("pivot").alias("member")).unionByName(crowded.select("sig", "member")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("document_id"))
+    ids = ids.unionByName(everyone.select(F.col("member").alias("document_id"))).distinct()
     wanted = cut(shingle_table(texts(documents).join(cut(ids), "document_id", "left_semi"), shingle))
 
-    tested = cut(lists.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct())
+    tested = pairs
     edges = cut(linked(tested, wanted, percent))
     labels = components(edges)
-    own = _split_lists(lists.select("sig", F.col("pivot").alias("member")).unionByName(lists.select("sig", "member")).distinct(), labels)
+    own = _split_lists(everyone, labels)
     if not own.isEmpty():
         pivots = cut(_central(own))
         met = own.join(pivots, "sig").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
         met = met.where(F.col("component") != F.coalesce("home", "pivot")).select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b")).distinct()
-        met = cut(met.join(tested, ["a", "b"], "left_anti"))
+        met = cut(plausible(met.join(tested, ["a", "b"], "left_anti"), narrow, percent))
         tested = tested.unionByName(met)
         edges = edges.unionByName(cut(linked(met, wanted, percent)))
         labels = components(edges)
@@ -322,7 +418,7 @@ def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int
         homes = labels.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
         groups = own.join(pivots, "sig").select("pivot", "member", "component").distinct().join(homes, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
         rest = difference_candidates(groups, wanted, percent).join(tested, ["a", "b"], "left_anti")
-        more = cut(linked(cut(rest), wanted, percent))
+        more = cut(linked(cut(plausible(rest, narrow, percent)), wanted, percent))
         if not more.isEmpty():
             labels = components(edges.unionByName(more))
     found = members.select("f1", "f2", "document_id", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")

@@ -94,8 +94,12 @@ def test_linked_sets_share_a_signature():
             b = np.unique(np.concatenate([np.delete(a, rng.choice(len(a), cut, False)), rng.integers(0, 2**63, int(rng.integers(0, cut + 2))).astype(np.uint64)]))
             both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             if 100 * both >= percent * union and both < union:
-                sig, row = shingle_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent, small)
-                assert np.intersect1d(sig[row == 0], sig[row == 1]).size
+                grams, borders = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+                for heavy in (None, np.sort(np.concatenate([a[::3], b[::2]]))):
+                    sig, row = shingle_join.signatures(grams, borders, percent, small, heavy)
+                    assert np.intersect1d(sig[row == 0], sig[row == 1]).size
+                x, y = shingle_join.bitmaps(grams, borders)
+                assert int(np.bitwise_count(x ^ y).sum()) <= union - both
 
 
 def test_empty_table_has_no_components(spark):
