@@ -17,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from boxledger.llm.common import byte_blocks, cut, first_by_hash, texts
 from boxledger.llm.textarrays import Texts, U, mix, per_row, row_of
@@ -95,19 +96,31 @@ def fit_domains(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DomainMode
     return DomainModel(names, weights.astype(np.float32), bias)
 
 
-def domain_members(documents: DataFrame, model: DomainModel) -> DataFrame:
-    """(document_id, n_tokens, posteriors): words and domain posteriors of every text; repeated rows stay."""
+def domain_members(documents: DataFrame, model: DomainModel, keep: bool = False) -> DataFrame:
+    """(document_id, n_tokens, posteriors): words and domain posteriors of every text; repeated rows stay.
+
+    ``keep`` adds ``text`` as it was given and the other columns of ``documents`` as the struct ``kept``.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_blocks(batches):
-            t = Texts(batch.column(1))
+            t = Texts(batch.column(1).fill_null(""))
             p = sent.value.posteriors(t)
             values = pa.ListArray.from_arrays(np.arange(t.rows + 1, dtype=np.int32) * p.shape[1], p.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(t.words()[2])), values], names=["document_id", "n_tokens", "posteriors"])
+            more = batch.columns[1:] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(t.words()[2])), values, *more], names=["document_id", "n_tokens", "posteriors", *batch.schema.names[1 : 1 + len(more)]])
+
+    rows = documents.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("text").cast("string").alias("text"), *_kept(documents, keep))
+    schema = StructType().add("document_id", LongType()).add("n_tokens", LongType()).add("posteriors", ArrayType(DoubleType()))
+    for field in rows.schema.fields[1:] if keep else []:
+        schema = schema.add(field)
+    return rows.mapInArrow(score, schema)
+
 
-    ids = texts(documents).withColumn("document_id", F.col("document_id").cast("bigint"))
-    return ids.mapInArrow(score, "document_id bigint, n_tokens bigint, posteriors array<double>")
+def _kept(documents: DataFrame, keep: bool) -> list[Column]:
+    others = [F.col(c) for c in documents.columns if c not in ("document_id", "text")]
+    return [F.struct(*others).alias("kept")] if keep and others else []
 
 
 def replay(p: np.ndarray, history: list[tuple[np.ndarray, float]], ridge: float) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +143,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
 
     ``weights``: target share of tokens per domain, in any unit; the total number of tokens is kept. Domains without any
     tokens are left out of the targets. Rounds end when no domain's share is further than ``tolerance`` from its target.
+    Every row has ``target_share`` and ``reached_share`` of its domain and ``largest_gap``, the distance of the domain that
+    is furthest from its target: targets that no rates reach show there. Other columns of ``members`` stay.
     """
     k = len(domains)
 
@@ -155,9 +170,9 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     shares = now / max(tokens, 1.0)
     there = shares > 1e-12
     target = np.array([max(0.0, float(weights.get(d, 0.0))) for d in domains]) * there
-    reached = shares
+    reached, goal = shares, shares
     if tokens and target.sum() > 0:
-        target /= target.sum()
+        goal = target = target / target.sum()
         ahead, t, error = shares, 1.0, np.inf
         for _ in range(rounds):
             slope = np.round(np.where(there, (ahead - target) / np.where(there, shares, 1), 0.0), 10)
@@ -173,6 +188,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
         if history:
             history[-1] = (history[-1][0], 0.0)
         reached = totals(history, False)[0] / tokens
+    gap = float(np.abs(reached - goal).max(initial=0))
+    more = [f for f in members.schema.fields if f.name not in ("document_id", "n_tokens", "posteriors")]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(domains, object)
@@ -180,23 +197,31 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             if batch.num_rows:
                 p = _posteriors(batch, k)
                 best = p.argmax(1)
+                numbers = [replay(p, history, ridge)[0], goal[best], reached[best], np.full(len(p), gap)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(p.max(1)), batch.column(2), pa.array(replay(p, history, ridge)[0])],
-                    names=["document_id", "n_tokens", "domain", "p_domain", "posteriors", "rate"],
+                    [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(p.max(1)), batch.column(2), *map(pa.array, numbers), *batch.columns[3:]],
+                    names=[*schema.names[:9], *batch.schema.names[3:]],
                 )
 
-    rates = members.select("document_id", "n_tokens", "posteriors").mapInArrow(rate, "document_id bigint, n_tokens bigint, domain string, p_domain double, posteriors array<double>, rate double")
+    schema = StructType().add("document_id", LongType()).add("n_tokens", LongType()).add("domain", StringType()).add("p_domain", DoubleType()).add("posteriors", ArrayType(DoubleType()))
+    for name in ("rate", "target_share", "reached_share", "largest_gap"):
+        schema = schema.add(name, DoubleType())
+    for field in more:
+        schema = schema.add(field)
+    rates = members.select("document_id", "n_tokens", "posteriors", *[f.name for f in more]).mapInArrow(rate, schema)
     return rates, dict(zip(domains, reached.tolist(), strict=True))
 
 
-def mix_sources(documents: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(document_id, n_tokens, domain, p_domain, posteriors, rate) for every row of ``documents``.
+def mix_sources(documents: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
+    """(document_id, n_tokens, domain, p_domain, posteriors, rate, target_share, reached_share, largest_gap) for every row.
 
     ``documents``: document_id, text (recognised text of a form document); ``labelled``: document_id, text, domain (the
     form family, supplier or language). ``rate`` says how often a document should be seen so that the expected tokens of
     each domain meet ``weights`` (default: equal shares) at the present total. Null texts have no tokens and the prior
-    as posterior. A null document_id stays null.
+    as posterior. A null document_id stays null. A rate can be 0: where posteriors are weak or a target is far from the
+    present share, equal targets may need that; ``largest_gap`` tells how far the reached shares are off. ``keep`` adds
+    ``text`` and the other columns of ``documents`` as the struct ``kept``.
     """
     model = fit_domains(labelled)
-    members = cut(domain_members(documents, model))
+    members = cut(domain_members(documents, model, keep))
     return fit_rates(members, model.domains, weights or dict.fromkeys(model.domains, 1.0))[0]

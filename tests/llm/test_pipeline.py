@@ -1,7 +1,11 @@
 """The corpus pipeline against the same stages in plain Python."""
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from boxledger.llm import queries
+from boxledger.llm import queries, source_mix
+from boxledger.llm.textarrays import Texts
 from tests.llm.test_joins import brute_components, brute_dedup, brute_windows
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +32,18 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_mix_keeps_documents_of_rate_zero_and_without_id(spark, monkeypatch):
+    """Weak posteriors of a rare language push the others to rate 0; they stay, and the missed targets show."""
+    chances = {"aaaa": [0.98, 0.01, 0.01], "bbbb": [0.01, 0.98, 0.01], "cccc": [0.4, 0.3, 0.3]}
+    weights = np.zeros((source_mix.BUCKETS, 3))
+    for text, p in chances.items():
+        weights[source_mix.gram_buckets(Texts(pa.array([text])))[0]] = np.log(p)
+    monkeypatch.setattr(source_mix, "fit_domains", lambda labelled: source_mix.DomainModel(["a", "b", "c"], weights, np.zeros(3)))
+    rows = [(i, t, t[0], "s", 4) for i, t in enumerate(["aaaa"] * 70 + ["bbbb"] * 30 + ["cccc"])] + [(None, "aaaa", "a", "s", 4), (500, None, "b", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = corpus_pipeline.mix(spark, docs, SF).collect()
+    assert sorted((str(tuple(r)[:5]) for r in got)) == sorted(str(r) for r in rows)
+    assert any(r.rate == 0 for r in got)
+    assert all(r.largest_gap > 0.02 and abs(r.target_share - 1 / 3) < 1e-6 for r in got)
