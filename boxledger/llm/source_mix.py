@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from boxledger.llm.common import byte_blocks, cut, first_by_hash, texts
+from boxledger.llm.common import byte_blocks, cut, texts
 from boxledger.llm.textarrays import Texts, U, mix, per_row, row_of
 
 BUCKETS = 1 << 15
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 2000  # of all domains together
+LEAST_ROWS = 20  # of each domain, or all that it has
 MAX_DOMAINS = 200
 ROUNDS = 60
 TOLERANCE = 1e-4
@@ -60,17 +61,25 @@ class DomainModel:
 
 
 def fit_domains(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DomainModel:
-    """Softmax regression on trigram shares from at most ``train_rows`` rows of ``labelled`` (document_id, text, domain).
+    """Softmax regression on trigram shares of a sample of ``labelled`` (document_id, text, domain).
 
-    The sample are the rows of the smallest id hashes. Null ids and domains are left out; beyond ``MAX_DOMAINS`` names an
-    error is raised. Without any labelled row there is one domain, ``all``.
+    The domains are those of all labelled rows. ``train_rows`` are shared out equally among them, at least
+    ``LEAST_ROWS`` each: a domain's sample are the ids whose hashes lie below the share that gives this number on average,
+    all ids of a domain that has no more; of a repeated id the first text. The bias then holds the shares of all labelled
+    rows. Null ids and domains are left out; beyond ``MAX_DOMAINS`` names an error is raised. Without any labelled row
+    there is one domain, ``all``.
     """
     known = texts(labelled.where(F.col("domain").isNotNull() & F.col("document_id").isNotNull()), F.col("domain").cast("string").alias("domain"))
-    picked = F.broadcast(first_by_hash(known.select("document_id").distinct(), "document_id", train_rows, seed=1))  # bounded by train_rows
-    rows = known.join(picked, "document_id").orderBy("document_id", "domain", "text").toArrow()
-    names = sorted(set(rows.column("domain").to_pylist())) or ["all"]
-    if len(names) > MAX_DOMAINS:
-        raise ValueError(f"{len(names)} domains; at most {MAX_DOMAINS}")
+    per_id = known.groupBy("domain", "document_id").agg(F.count("*").alias("n"))
+    counts = per_id.groupBy("domain").agg(F.count("*").alias("ids"), F.sum("n").alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()
+    if len(counts) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    names = [r["domain"] for r in counts] or ["all"]
+    each = max(LEAST_ROWS, train_rows // len(names))
+    bounds = [(r["domain"], int(-(2**63) + min(1.0, each / r["ids"]) * (2**64 - 1)) if each < r["ids"] else 2**63 - 1) for r in counts]
+    sampled = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "domain string, bound bigint"))  # at most MAX_DOMAINS rows
+    inside = known.join(sampled, "domain").where(F.xxhash64(F.lit(1), "document_id") <= F.col("bound"))
+    rows = inside.groupBy("domain", "document_id").agg(F.min("text").alias("text")).orderBy("document_id", "domain").toArrow()
     k, n = len(names), rows.num_rows
     weights, bias = np.zeros((BUCKETS, k)), np.zeros(k)
     if n and k > 1:
@@ -84,7 +93,7 @@ def fit_domains(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DomainMode
             done += batch.num_rows
         row, col, val = (np.concatenate(x) for x in zip(*cells, strict=True))
         onehot = np.eye(k)[y]
-        bias = np.log(onehot.mean(0))
+        bias = np.log(np.maximum(onehot.mean(0), 1e-12))
         m, v = np.zeros_like(weights), np.zeros_like(weights)
         for step in range(1, 61):
             z = np.stack([np.bincount(row, val * weights[col, d], minlength=n) for d in range(k)], 1) + bias
@@ -93,6 +102,8 @@ def fit_domains(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DomainMode
             grad = np.stack([np.bincount(col, val * err[row, d], minlength=BUCKETS) for d in range(k)], 1) + 1e-7 * weights
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             weights = weights - 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+        share = np.array([r["n"] for r in counts], float)
+        bias = np.log(share / share.sum())
     return DomainModel(names, weights.astype(np.float32), bias)
 
 
@@ -147,6 +158,9 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     is furthest from its target: targets that no rates reach show there. Other columns of ``members`` stay.
     """
     k = len(domains)
+    unknown = sorted(str(d) for d, w in weights.items() if w > 0 and d not in domains)
+    if unknown:
+        raise ValueError(f"no rows of the weighted domains {', '.join(unknown)}")
 
     def totals(history: list[tuple[np.ndarray, float]], ahead: bool) -> tuple[np.ndarray, float]:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +231,8 @@ def mix_sources(documents: DataFrame, labelled: DataFrame, weights: dict[str, fl
 
     ``documents``: document_id, text (recognised text of a form document); ``labelled``: document_id, text, domain (the
     form family, supplier or language). ``rate`` says how often a document should be seen so that the expected tokens of
-    each domain meet ``weights`` (default: equal shares) at the present total. Null texts have no tokens and the prior
+    each domain meet ``weights`` (default: equal shares) at the present total; a weight whose domain has no labelled row is
+    an error. Null texts have no tokens and the prior
     as posterior. A null document_id stays null. A rate can be 0: where posteriors are weak or a target is far from the
     present share, equal targets may need that; ``largest_gap`` tells how far the reached shares are off. ``keep`` adds
     ``text`` and the other columns of ``documents`` as the struct ``kept``.

@@ -196,3 +196,12 @@ def test_mix_query_and_awkward_rows(spark, given):
         assert len(out) == len(AWKWARD) and all(r.rate >= 0 for r in out)
     empty = documents(spark, [])
     assert source_mix.mix_sources(empty, empty.withColumn("domain", F.lit("x"))).count() == 0
+
+
+def test_rare_domains_are_learnt_and_missing_ones_raise(spark):
+    rows = [(i, f"the common words of row {i}", "a") for i in range(3000)] + [(3000 + i, f"zyx wvu {i} qqq", "rare") for i in range(2)]
+    docs = spark.createDataFrame(rows, "document_id bigint, text string, domain string").repartition(4)
+    model = source_mix.fit_domains(docs, train_rows=40)
+    assert model.domains == ["a", "rare"] and np.exp(model.bias) == pytest.approx([3000 / 3002, 2 / 3002])
+    with pytest.raises(ValueError, match="gone"):
+        source_mix.mix_sources(docs.limit(20), docs, {"a": 1.0, "gone": 1.0})
