@@ -207,6 +207,21 @@ def test_decontamination_query_on_given_tables(spark):
     assert got == brute_windows(rows, items)
 
 
+LONG = "we saw that Tom keeps all of his old books in a large box under the bed at home"
+PLAIN = "every small boat on this quiet river carries bread and fruit from one green village down to another"
+
+
+def found_in(spark, item, *rows):
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    return {r.document_id for r in decontaminate.contaminated(documents(spark, list(enumerate(rows))), items).collect()}
+
+
+def test_decontamination_follows_edits_that_move_the_diagonal(spark):
+    w = PLAIN.split()
+    assert found_in(spark, LONG, LONG.replace("Tom", "Mary Ann"), "all of his old books are in a box") == {0}
+    assert found_in(spark, PLAIN, " ".join([*w[:9], "new", *w[9:]]), " ".join(w[:8] + w[9:]), " ".join(w[9:] + w[:9]), " ".join(w[:9])) == {0, 1}
+
+
 def test_join_query_on_given_tables(spark):
     from boxledger.llm import queries
 
