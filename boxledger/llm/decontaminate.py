@@ -41,7 +41,7 @@ def plain(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Placeholders in place of numbers, of units after them, and of capitalised words inside a sentence; word by word."""
-    text = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;] )\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])", NAME)
+    text = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;]\\s)\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])", NAME)
     text = F.regexp_replace(text, "(?<=" + NAME + "\\s)" + NAME, MORE)
     text = F.regexp_replace(text, "\\p{Nd}+", NUMBER)
     return F.regexp_replace(text, _UNIT_RULE, UNIT)

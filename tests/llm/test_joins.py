@@ -222,6 +222,12 @@ def test_decontamination_follows_edits_that_move_the_diagonal(spark):
     assert found_in(spark, PLAIN, " ".join([*w[:9], "new", *w[9:]]), " ".join(w[:8] + w[9:]), " ".join(w[9:] + w[:9]), " ".join(w[:9])) == {0, 1}
 
 
+def test_decontamination_finds_exact_copies_in_any_case_and_context(spark):
+    item = "What is the capital city of France?"
+    assert found_in(spark, item, f"text 12 {item} more", item.lower(), item.upper(), "What is the capital of France?") == {0, 1, 2}
+    assert found_in(spark, LONG, LONG.lower(), LONG.replace(" Tom", "\nTom"), LONG.replace(" Tom", "\nMax")) == {0, 1, 2}
+
+
 def test_join_query_on_given_tables(spark):
     from boxledger.llm import queries
 
