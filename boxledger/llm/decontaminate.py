@@ -197,7 +197,7 @@ def contaminated(
     def clash(a: Column, b: Column) -> Column:
         return (a["kind"] == b["kind"]) & (a["item"] == b["item"]) & ~a["doc"].contains(b["doc"]) & ~b["doc"].contains(a["doc"])
 
-    consistent = checked.where(~F.exists("maps", lambda a: F.exists("maps", lambda b: clash(a, b))))
+    consistent = checked.where(F.col("unchanged") | ~F.exists("maps", lambda a: F.exists("maps", lambda b: clash(a, b))))
     changed = F.size(F.array_distinct(F.transform(F.filter("slots", lambda s: ~s["item"].eqNullSafe(s["doc"])), lambda s: s["i"])))
     count = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     best = F.max(F.struct(F.col("n"), (-changed).alias("kept"), count.alias("slots")))

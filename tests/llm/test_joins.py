@@ -228,6 +228,14 @@ def test_decontamination_finds_exact_copies_in_any_case_and_context(spark):
     assert found_in(spark, LONG, LONG.lower(), LONG.replace(" Tom", "\nTom"), LONG.replace(" Tom", "\nMax")) == {0, 1, 2}
 
 
+def test_decontamination_checks_slots_of_matched_windows_only(spark):
+    half = "Tom walked down the long road to the old mill and sat there for one whole day until the rain was over"
+    item = f"we know that {half} and so we think that Tom never came home again in all these years of war"
+    kept = item.replace("that Tom never", "that he never")  # no match there, so no slot
+    other = item.replace("that Tom never", "that Max never")  # unchanged windows are enough
+    assert found_in(spark, item, kept, other) == {0, 1}
+
+
 def test_join_query_on_given_tables(spark):
     from boxledger.llm import queries
 
