@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxledger.llm.common import byte_blocks, first_by_hash, texts
@@ -22,8 +22,8 @@ from boxledger.llm.textarrays import Texts
 
 ORDER = 3
 TRAIN_ROWS = 250  # documents per language
-TRAIN_BYTES = 500_000  # bytes per language that enter the trees; whole documents, the last one may pass the bound
-TRAIN_LANGUAGES = 200  # languages that a model may have
+TRAIN_BYTES = 500_000  # bytes per language that enter the trees, spread over its documents
+TRAIN_LANGUAGES = 200  # languages that a model may have; more are an error
 UNKNOWN = "und"
 
 
@@ -142,27 +142,46 @@ def build_trees(samples: dict[str, list[bytes]]) -> ContextTrees:
     return ContextTrees(languages, alphabet, s, state, bits)
 
 
+def _level(lengths: list[int], budget: int) -> int:
+    """The length to which texts are cut so that all together have at most ``budget`` bytes."""
+    left, rest = budget, sorted(lengths)
+    for i, n in enumerate(rest):
+        if n * (len(rest) - i) > left:
+            return left // (len(rest) - i)
+        left -= n
+    return max(rest, default=0)
+
+
 def fit_languages(documents: DataFrame, lang: str = "lang", learn: Column | None = None, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> ContextTrees | None:
     """Trees from the rows of ``documents`` (document_id, text, ``lang``) with a language, and where ``learn`` holds.
 
-    The sample is bounded by ``train_rows`` and ``train_bytes`` per language: the rows of the smallest id hashes. Returns
-    None when no row can be learnt from.
+    The sample is bounded by ``train_rows`` and ``train_bytes`` per language: the rows of the smallest id hashes. Where
+    their bytes are more than ``train_bytes``, the longest texts are cut to one length that fits, the shorter ones stay
+    whole. Every language is learnt; more than ``TRAIN_LANGUAGES`` raise an error. Returns None when no row can be learnt
+    from.
     """
     known = documents if learn is None else documents.where(learn)
     known = texts(known.where(F.col(lang).isNotNull() & F.col("document_id").isNotNull()), F.col(lang).alias("lang"))
-    names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGUAGES).collect()]
+    names = [r[0] for r in known.select("lang").distinct().orderBy("lang").limit(TRAIN_LANGUAGES + 1).collect()]
+    if len(names) > TRAIN_LANGUAGES:
+        raise ValueError(f"more than {TRAIN_LANGUAGES} languages")
     picked = None
     for name in names:
         ids = first_by_hash(known.where(F.col("lang") == name).select("document_id").distinct(), "document_id", train_rows, seed=5).withColumn("lang", F.lit(name))
         picked = ids if picked is None else picked.unionByName(ids)
     if picked is None:
         return None
-    # At most train_rows ids a language, hence the broadcast, and the window over the few rows of each.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("document_id"), "document_id", "text")
-    rows = known.join(F.broadcast(picked), ["document_id", "lang"]).withColumn("_before", F.sum(F.octet_length("text")).over(order) - F.octet_length("text"))
+    # At most train_rows ids a language, hence the broadcast, and their lengths on the driver.
+    rows = known.join(F.broadcast(picked), ["document_id", "lang"])
+    lengths: dict[str, list[int]] = {}
+    for row in rows.select("lang", F.octet_length("text").alias("n")).toLocalIterator():
+        lengths.setdefault(row.lang, []).append(row.n)
+    levels = [(lang, _level(n, train_bytes)) for lang, n in lengths.items()]
+    cuts = F.broadcast(documents.sparkSession.createDataFrame(levels, "lang string, level int"))  # at most TRAIN_LANGUAGES rows
+    heads = rows.join(cuts, "lang").select("lang", F.xxhash64("document_id").alias("_h"), "document_id", F.expr("substring(encode(text, 'UTF-8'), 1, level)").alias("head"))
     samples: dict[str, list[bytes]] = {}
-    for row in rows.where(F.col("_before") < train_bytes).orderBy("lang", "_before", "text").select("lang", "text").toLocalIterator():
-        samples.setdefault(row.lang, []).append(row.text.encode())
+    for row in heads.orderBy("lang", "_h", "document_id", "head").select("lang", "head").toLocalIterator():
+        samples.setdefault(row.lang, []).append(bytes(row["head"]).decode(errors="ignore").encode())
     samples = {k: v for k, v in samples.items() if any(v)}
     return build_trees(samples) if samples else None
 

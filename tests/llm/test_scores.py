@@ -81,6 +81,19 @@ def test_language_of_awkward_rows(spark):
     assert language.identify_language(documents(spark, []), trees).count() == 0
 
 
+def test_every_language_and_document_is_learnt_from(spark, monkeypatch):
+    rows = [(i, "é" * 5000 if i == 3 else f"short text {i}", "en") for i in range(8)] + [(i, "x" * 3000, "de") for i in range(10, 13)]
+    docs = spark.createDataFrame(rows, "document_id bigint, text string, lang string").repartition(3)
+    monkeypatch.setattr(language, "build_trees", lambda samples: samples)
+    got = language.fit_languages(docs, train_bytes=1000)
+    assert {k: len(v) for k, v in got.items()} == {"en": 8, "de": 3}
+    assert all(990 <= sum(map(len, v)) <= 1000 for v in got.values()) and {len(x) for x in got["de"]} == {333}
+    assert {t.encode() for i, t, lang in rows if lang == "en" and i != 3} < set(got["en"])
+    monkeypatch.setattr(language, "TRAIN_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language.fit_languages(docs)
+
+
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
