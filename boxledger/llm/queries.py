@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxledger.llm import chat_format, decontaminate, html_text, language, line_dedup, quality_rules, reading_quality, shingle_join, source_mix, token_counts
+from boxledger.llm import chat_format, decontaminate, html_text, language, line_dedup, packing, quality_rules, reading_quality, shingle_join, source_mix, token_counts
 from boxledger.llm.common import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -91,9 +91,17 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    packed = packing.pack_pieces(pieces.select("document_id", "row", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return by_doc(packed.drop("row"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mix, op2_shingle_join, op3_line_dedup, op4_chat_format, op5_language, op6_token_counts, op7_reading_quality, op8_decontaminate, op9_quality_rules, op10_html_text)
+    for f in (op1_source_mix, op2_shingle_join, op3_line_dedup, op4_chat_format, op5_language, op6_token_counts, op7_reading_quality, op8_decontaminate, op9_quality_rules, op10_html_text, op12_packing)
 }
 
 ORACLES: dict[str, str] = {

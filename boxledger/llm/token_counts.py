@@ -1,91 +1,22 @@
 """Token counts (operator 6): batch encoding in Arrow functions that return lengths only.
 
-Rows are cut into batches of about equal bytes. A text is split at safe boundaries: before a single space that stands
-between two characters that are no white space. The pre-tokenizers of byte-level BPE start a new piece there, so the
-counts of the parts add up to that of the whole text; each different part of a batch is encoded once.
+Rows are cut into batches of about equal bytes, and long texts into windows of them. Both are split at safe boundaries, so
+that the counts of the pieces add up to that of the whole text (``llm.encode``); each different piece is encoded once.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxledger.llm.common import byte_blocks, texts
-from boxledger.llm.textarrays import per_row
+from boxledger.llm.encode import encoder
 
 LIMIT = 512
-MEMO = 400_000  # parts whose counts a worker remembers
-# A space beside other white space: no safe boundary.
-UNSAFE = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\p{Z}] | [\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\p{Z}]"
-
-_LOADED: dict[str, "Counter"] = {}
-
-
-class Counter:
-    """Counts of one tokenizer file in one worker process."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.memo: dict[str, int] = {}
-        if path.endswith(".model"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.splits, self.encode = False, lambda xs: [len(x) for x in model.encode(xs, num_threads=1)]
-        else:
-            from tokenizers import Tokenizer, pre_tokenizers
-
-            model = Tokenizer.from_file(path)
-            kind = model.pre_tokenizer
-            # Only byte-level BPE without a normalizer is known to start a piece at every safe boundary.
-            self.splits = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space and model.normalizer is None
-            self.encode = lambda xs: [len(x) for x in model.encode_batch_fast(xs, add_special_tokens=False)]
-
-    def parts(self, found: list[str]) -> np.ndarray:
-        memo = self.memo
-        out = np.fromiter((memo.get(x, -1) for x in found), np.int64, len(found))
-        new = np.flatnonzero(out < 0)
-        for at in range(0, len(new), 4096):
-            some = [found[i] for i in new[at : at + 4096]]
-            counts = self.encode(some)
-            out[new[at : at + 4096]] = counts
-            if len(memo) < MEMO:
-                memo.update(zip(some, counts, strict=True))
-        return out
-
-    def count(self, column: pa.Array) -> np.ndarray:
-        total = np.zeros(len(column), np.int64)
-        if not len(column):
-            return total
-        whole = np.ones(len(column), bool)
-        if self.splits:
-            whole = pc.match_substring_regex(column, UNSAFE).to_numpy(zero_copy_only=False)
-        rest = np.flatnonzero(whole)
-        for at in range(0, len(rest), 64):
-            total[rest[at : at + 64]] = self.encode(column.take(pa.array(rest[at : at + 64])).to_pylist())
-        plain = np.flatnonzero(~whole)
-        if len(plain):
-            pieces = pc.split_pattern(column.take(pa.array(plain)), " ")
-            borders = pieces.offsets.to_numpy()
-            words = pieces.values
-            if len(borders) and borders[0]:
-                words, borders = words.slice(borders[0]), borders - borders[0]
-            words = words.slice(0, borders[-1])
-            coded = words.dictionary_encode()
-            index = coded.indices.to_numpy(zero_copy_only=False)
-            found = coded.dictionary.to_pylist()
-            counts = self.parts([" " + x for x in found])[index]
-            first = borders[:-1]  # the first part of a text has no space before it
-            opening = words.take(pa.array(first)).dictionary_encode()
-            counts[first] = self.parts(opening.dictionary.to_pylist())[opening.indices.to_numpy(zero_copy_only=False)]
-            total[plain] = per_row(counts, borders)
-        return total
 
 
 def token_counts(documents: DataFrame, tokenizer_file: str, limit: int = LIMIT) -> DataFrame:
@@ -94,13 +25,11 @@ def token_counts(documents: DataFrame, tokenizer_file: str, limit: int = LIMIT)
     ``documents``: document_id, text (recognised text of a form document). ``tokenizer_file``: a ``.json`` of the
     tokenizers library or a ``.model`` of sentencepiece, at a path that every executor has. Nothing is truncated, no
     begin or end token is added, special strings inside texts count as the library has it by default. Null and empty
-    texts have no token; repeated rows stay.
+    texts have no token; repeated rows stay. Texts of any length are counted whole, a window at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _LOADED:
-            _LOADED[tokenizer_file] = Counter(tokenizer_file)
-        counter = _LOADED[tokenizer_file]
+        counter = encoder(tokenizer_file)
         for batch in byte_blocks(batches):
             n = counter.count(batch.column(1))
             size = pc.cast(pc.binary_length(batch.column(1)), pa.int64())
