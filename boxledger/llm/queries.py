@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxledger.llm import chat_format, decontaminate, html_text, language, line_dedup, packing, quality_rules, reading_quality, shingle_join, source_mix, token_counts
+from boxledger.llm import centroids, chat_format, decontaminate, html_text, language, line_dedup, packing, quality_rules, reading_quality, shingle_join, source_mix, token_counts
 from boxledger.llm.common import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -91,6 +91,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object_id"), F.col("embedding").alias("features"))
+    found = centroids.cluster_objects(vectors, dimensions=64)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select(F.col("object_id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,12 +106,43 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_doc(packed.drop("row"))
 
 
+def centroid_rounds(rounds: int, clusters: int) -> str:
+    """DuckDB text of op11: an assignment and an update for each round, as common table expressions."""
+    out = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {clusters})
+)"""
+    ]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, n, v, best.cluster AS cluster, best.d AS d FROM (
+    SELECT k.vec_id, k.n, any_value(k.v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cluster := c.cluster)) AS best
+    FROM kept k CROSS JOIN c{r} c GROUP BY k.vec_id, k.n)
+)""")
+        if r < rounds:
+            out.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % q) + q) % q) // q AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT cluster, i, sum(x) AS s, count(*) AS q FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i)
+    GROUP BY cluster) m ON m.cluster = c.cluster
+)""")
+    return ",\n".join(out) + f"""
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mix, op2_shingle_join, op3_line_dedup, op4_chat_format, op5_language, op6_token_counts, op7_reading_quality, op8_decontaminate, op9_quality_rules, op10_html_text, op12_packing)
+    for f in (op1_source_mix, op2_shingle_join, op3_line_dedup, op4_chat_format, op5_language, op6_token_counts, op7_reading_quality, op8_decontaminate, op9_quality_rules, op10_html_text, op11_centroid_clusters, op12_packing)
 }
 
 ORACLES: dict[str, str] = {
+    "op11_centroid_clusters": centroid_rounds(centroids.ROUNDS, centroids.CLUSTERS),
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
