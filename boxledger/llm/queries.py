@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxledger.llm import centroids, chat_format, decontaminate, html_text, language, line_dedup, packing, quality_rules, reading_quality, shingle_join, source_mix, token_counts
+from boxledger.llm import centroids, chat_format, decontaminate, html_text, language, line_dedup, packing, prefix_trie, quality_rules, reading_quality, shingle_join, source_mix, token_counts
 from boxledger.llm.common import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -106,6 +106,13 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_doc(packed.drop("row"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("position"), F.col("role").alias("field_id"), "text")
+    nodes = prefix_trie.prefix_trie(prefix_trie.shared_heads(prefix_trie.reading_sequences(turns), batch=100, heads=6))
+    names = {"document_id": "conv_id", "parent_document_id": "parent_conv_id", "n_documents": "n_convs", "saved_chars": "saved_tokens"}
+    return nodes.withColumnsRenamed(names)
+
+
 def centroid_rounds(rounds: int, clusters: int) -> str:
     """DuckDB text of op11: an assignment and an update for each round, as common table expressions."""
     out = [
@@ -138,7 +145,7 @@ FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mix, op2_shingle_join, op3_line_dedup, op4_chat_format, op5_language, op6_token_counts, op7_reading_quality, op8_decontaminate, op9_quality_rules, op10_html_text, op11_centroid_clusters, op12_packing)
+    for f in (op1_source_mix, op2_shingle_join, op3_line_dedup, op4_chat_format, op5_language, op6_token_counts, op7_reading_quality, op8_decontaminate, op9_quality_rules, op10_html_text, op11_centroid_clusters, op12_packing, op13_prefix_trie)
 }
 
 ORACLES: dict[str, str] = {
@@ -186,4 +193,39 @@ SELECT conv_id, CAST(max(k) AS BIGINT) AS n_prompt_turns,
   CAST(coalesce(sum(nr) FILTER (WHERE i > k AND role = 'assistant'), 0) AS BIGINT) AS rejected_learnt,
   bool_or(decided) AS decided
 FROM drawn GROUP BY conv_id""",
+    "op13_prefix_trie": r"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))
+), own AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own) CROSS JOIN tab
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.i, o.k, o.n FROM ids c JOIN own o ON o.conv_id = c.base AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.i, o.k, o.n FROM ids c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h
+), steps AS (
+  SELECT conv_id, row_number() OVER w AS d, string_agg(k, '') OVER w AS prefix, n, count(*) OVER (PARTITION BY conv_id) AS size
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), pre AS (
+  SELECT * FROM steps UNION ALL SELECT c.conv_id, 0, '', 0, (SELECT count(*) FROM rebuilt r WHERE r.conv_id = c.conv_id) FROM ids c
+), nodes AS MATERIALIZED (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS q, any_value(n) AS n,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends
+  FROM pre GROUP BY prefix, d
+), kids AS (
+  SELECT left(prefix, 32 * (d - 1)) AS up, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), marked AS (
+  SELECT x.*, coalesce(k.n_children, 0) AS n_children FROM nodes x LEFT JOIN kids k ON k.up = x.prefix
+), sums AS (
+  SELECT left(prefix, 32 * a) AS prefix, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((q - 1) * n) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM marked) GROUP BY 1
+)
+SELECT m.conv_id, m.d AS depth, CASE WHEN m.d > 0 THEN p.conv_id END AS parent_conv_id, m.q AS n_convs, m.n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM marked m JOIN sums s ON s.prefix = m.prefix LEFT JOIN nodes p ON p.prefix = left(m.prefix, 32 * (m.d - 1)) AND p.d = m.d - 1""",
 }
