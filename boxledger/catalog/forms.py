@@ -8,6 +8,7 @@ their SQL does not depend on the assignment; the matcher itself is checked by M-
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import functions as F
 
@@ -583,10 +584,28 @@ def _regional(s, sf):
     i = inliers(s, sf)
     own = i.withColumn("affine", R.make_affine(F.col("affine.sx"), F.col("affine.sy"), F.col("affine.tx") - F.col("mean_affine.tx"), F.col("affine.ty") - F.col("mean_affine.ty")))
     w = cut(own.select(*KEYS, "config_id", "runtime_id", "confidence", "basis", "affine", "c", "r", "weight"))
-    return C.regional_transforms(w, C.max_inlier(w)).select("doc_id", F.explode("regional").alias("_a")).select("doc_id", *[rnd(F.col(f"_a.{k}")).alias(k) for k in AFF])
-
-
-add("C8_regional_transforms", _regional)
+    return C.regional_transforms(w, C.max_inlier(w)).select("doc_id", "seed_id", "n_kept", *[rnd(F.col(f"affine.{k}")).alias(k) for k in AFF])
+
+
+# The consensus steps once more, over affines that have lost the page's mean shift.
+_OWN_STEPS = re.sub(r"\b(wm|sd|sr|inl|mn|proj|agg|cons)\b", r"\1_own", CONSENSUS_SQL[len(WEIGHTED_SQL) + 1 :])
+_STILL = " AND ".join(f"abs({a} - {b}) <= 0.005::DOUBLE" for a, b in (("{p}sx", "1"), ("{p}sy", "1"), ("{p}tx", "0"), ("{p}ty", "0")))
+_REFINED = ", ".join(f"sum(a.weight * a.{k}) / sum(a.weight) AS r{k}" for k in AFF)
+add(
+    "C8_regional_transforms",
+    _regional,
+    f"""WITH {CONSENSUS_SQL},
+     wm_own AS (SELECT w.* EXCLUDE (tx, ty), w.tx - m.mtx AS tx, w.ty - m.mty AS ty FROM wm w JOIN mn m ON w.doc_id = m.doc_id AND w.page_index = m.page_index), {_OWN_STEPS},
+     cl AS MATERIALIZED (SELECT b.doc_id, b.page_index, b.seed_rank, b.seed_id AS object_id, b.n_kept, b.sx AS x, b.sy AS y, b.tx AS w, b.ty AS h, {_REFINED}
+       FROM sr_own b JOIN mn_own m ON b.doc_id = m.doc_id AND b.page_index = m.page_index AND {_STILL.format(p="m.m")}
+       JOIN wm_own a ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND {_DIST_S} <= 0.1::DOUBLE AND {_DIST_T} <= 0.06::DOUBLE
+       WHERE b.seed_rank > 1 AND b.n_kept >= 2 GROUP BY ALL),
+     cz AS MATERIALIZED (SELECT * FROM cl WHERE NOT ({_STILL.format(p="r")})),
+     {K.greedy_cte("gz", "cz", "doc_id, page_index", "seed_rank", "greatest(abs(k.x - o.x), abs(k.y - o.y)) <= 0.1::DOUBLE AND greatest(abs(k.w - o.w), abs(k.h - o.h)) <= 0.06::DOUBLE")}
+     SELECT c.doc_id, c.object_id AS seed_id, c.n_kept, {r6('rsx', 'sx')}, {r6('rsy', 'sy')}, {r6('rtx', 'tx')}, {r6('rty', 'ty')}
+     FROM cz c JOIN gz_k k ON c.doc_id = k.doc_id AND c.page_index = k.page_index AND c.object_id = k.object_id""",
+    _MX,
+)
 _LV = "n_matches, doc_id, level"
 add(
     "C9_level_border",

@@ -210,12 +210,9 @@ def relations_cte(src: str, keys: str = PAGE) -> str:
    distance, from_id, to_id) - 1 AS fallback_order FROM rel0 WHERE kind IS NOT NULL)"""
 
 
-KINDS = ("container", "sibling", "adjacent", "near")
-
-
 def _relation_summary(graph):
     """All relations of an object in one row; the order sum pins the order of every one."""
-    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS]
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in boxes.KINDS]
     sums = [F.sum("fallback_order").alias("order_sum"), rnd(F.sum("distance")).alias("distance_sum"), rnd(F.min("rel.x")).alias("rx_min"), rnd(F.max("rel.h")).alias("rh_max")]
     return graph.groupBy("doc_id", "from_id").agg(*counts, *sums)
 
@@ -224,11 +221,21 @@ add(
     "D16_relation_graph",
     lambda s, sf: _relation_summary(boxes.relation_graph(boxes.assign_parents(objects(s, sf)))),
     f"""WITH {K.parents_cte('nest', 'fx_objects')}, {relations_cte('nest')}
-      SELECT doc_id, from_id, {", ".join(f"count_if(kind = '{k}') AS n_{k}" for k in KINDS)}, sum(fallback_order)::BIGINT AS order_sum, {r6('sum(distance)', 'distance_sum')}, {r6('min(rx)', 'rx_min')}, {r6('max(rh)', 'rh_max')}
+      SELECT doc_id, from_id, {", ".join(f"count_if(kind = '{k}') AS n_{k}" for k in boxes.KINDS)}, sum(fallback_order)::BIGINT AS order_sum, {r6('sum(distance)', 'distance_sum')}, {r6('min(rx)', 'rx_min')}, {r6('max(rh)', 'rh_max')}
       FROM relg GROUP BY doc_id, from_id""",
     _FXO,
 )
 
+add(
+    "D16_sibling_classes",
+    lambda s, sf: boxes.sibling_classes(boxes.assign_parents(objects(s, sf))).select("doc_id", "parent_id", "n_members", "n_links"),
+    f"""WITH {K.parents_cte('nest', 'fx_objects')}, {relations_cte('nest')},
+      m AS (SELECT doc_id, page_index, parent_id, count(*) AS n_members FROM nest WHERE parent_id IS NOT NULL GROUP BY 1, 2, 3),
+      l AS (SELECT g.doc_id, n.parent_id, count(*) AS n_links FROM relg g JOIN nest n ON n.doc_id = g.doc_id AND n.object_id = g.from_id WHERE g.kind = 'sibling' GROUP BY 1, 2)
+      SELECT m.doc_id, m.parent_id, n_members, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN l ON l.doc_id = m.doc_id AND l.parent_id = m.parent_id""",
+    _FXO,
+)
+
 # Field boxes per customer page, some of them reaching out of the content.
 fixtures.SQL["fx_page_fields"] = """
 SELECT c_custkey AS doc_id, 0 AS page_index, concat('f', n) AS field_id, CAST(n * 230 + c_nationkey AS DOUBLE) / CAST(1000 AS DOUBLE) AS x,

@@ -314,48 +314,111 @@ def hierarchy_counts(raw: DataFrame, built: DataFrame, keys: list[str] = PAGE) -
 
 
 # ------------------------------------------------------------------ relations and frames
+KINDS = ("container", "sibling", "adjacent", "near")  # in order of fallback
+CROWDED, DISTANCE_BINS = 2000, 64  # objects of a page; bins per page unit: any numbers give the same order
+
+
+def _kind(a: Column, b: Column, pa: Column, pb: Column) -> Column:
+    """Place in ``KINDS`` of the relation from rect ``a`` to ``b`` with parents ``pa`` and ``pb``; NULL for none."""
+    same = pa.isNotNull() & (pa == pb)
+    near = R.center_distance(a, b) <= F.lit(NEAR_DISTANCE)
+    return F.when(R.contains(a, b), 0).when(same, 1).when(R.adjacent(a, b), 2).when(near, 3)
+
+
+def _node(objects: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Objects with their columns prefixed and the rect flat: plain numbers keep the pair conditions small and compiled."""
+    return objects.select(*keys, F.col("object_id").alias(f"{n}object_id"), F.col("parent_id").alias(f"{n}parent_id"), *[F.col(f"rect.{c}").alias(f"{n}{c}") for c in "xywh"])
+
+
 def _related(objects: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidate pairs (``_a``, ``_b``) of D-16: contained, of one parent, close to each other or with close centres."""
-    node = F.struct("object_id", "parent_id", "rect")
-    a, b = objects.select(*keys, node.alias("_a")), objects.select(*keys, node.alias("_b"))
-    ra, rb = F.col("_a.rect"), F.col("_b.rect")
+    """Ordered pairs (``_a_``, ``_b_`` columns, see ``_node``) of D-16 with their kind ``_k``, each once.
+
+    Every kind has its own join: containment and touching through grids, siblings on the parent, near ones on cells of the
+    centres. A join yields a pair once and drops it if an earlier kind holds, so nothing has to be made distinct. Boxes that
+    touch share several cells; the pair counts in the lowest one that both have.
+    """
+    a, b, ra, rb = _node(objects, keys, "_a_"), _node(objects, keys, "_b_"), R.pack("_a_"), R.pack("_b_")
+    out = [f"{n}{c}" for n in ("_a_", "_b_") for c in ("object_id", *"xywh")]
+
+    def of_kind(pairs: DataFrame, k: int) -> DataFrame:
+        kind = _kind(ra, rb, F.col("_a_parent_id"), F.col("_b_parent_id"))
+        return pairs.where((F.col("_a_object_id") != F.col("_b_object_id")) & (kind == k)).select(*keys, *out, F.lit(k).alias("_k"))
+
     inside = containment_pairs(b, a, keys, rb, ra, R.EPS_HIERARCHY)
-    siblings = a.withColumn("_p", F.col("_a.parent_id")).join(b.withColumn("_p", F.col("_b.parent_id")), [*keys, "_p"]).drop("_p")
+    child = lambda df, n: df.where(F.col(f"{n}parent_id").isNotNull()).withColumn("_p", F.col(f"{n}parent_id"))
+    siblings = child(a, "_a_").join(child(b, "_b_"), [*keys, "_p"])
 
     def cell(v: Column, side: float) -> Column:
         return F.floor(v / F.lit(side)).cast("long")
 
-    def covered(df: DataFrame, r: Column, grow: float) -> DataFrame:
-        low, high, side = F.lit(grow), F.lit(grow), TOUCH_CELL
-        df = df.withColumn("_cx", F.explode(F.sequence(cell(r["x"] - low, side), cell(R.right(r) + high, side))))
-        return df.withColumn("_cy", F.explode(F.sequence(cell(r["y"] - low, side), cell(R.bottom(r) + high, side))))
+    def covered(df: DataFrame, r: Column, grow: float, n: str) -> DataFrame:
+        g, side = F.lit(grow), TOUCH_CELL
+        df = df.withColumns({f"{n}x": cell(r["x"] - g, side), f"{n}y": cell(r["y"] - g, side)})
+        df = df.withColumn("_cx", F.explode(F.sequence(f"{n}x", cell(R.right(r) + g, side))))
+        return df.withColumn("_cy", F.explode(F.sequence(f"{n}y", cell(R.bottom(r) + g, side))))
 
-    touching = covered(a, ra, 1.01 * R.ADJACENT_GAP).join(covered(b, rb, 0.0), [*keys, "_cx", "_cy"]).where(R.adjacent(ra, rb)).drop("_cx", "_cy")
+    touching = covered(a, ra, 1.01 * R.ADJACENT_GAP, "_l").join(covered(b, rb, 0.0, "_m"), [*keys, "_cx", "_cy"])
+    touching = touching.where((F.col("_cx") == F.greatest("_lx", "_mx")) & (F.col("_cy") == F.greatest("_ly", "_my")))
     side = 1.01 * NEAR_DISTANCE
-    there = b.withColumn("_cx", cell(R.center_x(rb), side)).withColumn("_cy", cell(R.center_y(rb), side))
+    there = b.withColumns({"_cx": cell(R.center_x(rb), side), "_cy": cell(R.center_y(rb), side)})
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    here = a.withColumn("_d", F.explode(around)).withColumn("_cx", cell(R.center_x(ra), side) + F.col("_d.i")).withColumn("_cy", cell(R.center_y(ra), side) + F.col("_d.j")).drop("_d")
-    near = here.join(there, [*keys, "_cx", "_cy"]).where(R.center_distance(ra, rb) <= F.lit(NEAR_DISTANCE)).drop("_cx", "_cy")
-    found = inside.where(R.contains(ra, rb)).unionByName(siblings).unionByName(touching).unionByName(near)
-    return found.where(F.col("_a.object_id") != F.col("_b.object_id")).distinct()
+    here = a.withColumn("_d", F.explode(around))
+    here = here.withColumns({"_cx": cell(R.center_x(ra), side) + F.col("_d.i"), "_cy": cell(R.center_y(ra), side) + F.col("_d.j")}).drop("_d")
+    near = here.join(there, [*keys, "_cx", "_cy"])
+    return reduce(DataFrame.unionByName, [of_kind(p, k) for k, p in enumerate((inside, siblings, touching, near))])
 
 
-def relation_graph(objects: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """D-16: labelled ordered pairs of all related objects of a page, found by grid and parent joins."""
-    a, b = F.col("_a.rect"), F.col("_b.rect")
+def sibling_classes(objects: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """The siblings of D-16 as one row for each parent: (keys, parent_id, n_members, n_links).
+
+    ``n_links`` is the number of sibling relations of the graph; its pairs follow from the members (``parent_id`` of the
+    objects) less those of which one contains the other, so a crowd of children is told without its pairs.
+    """
+    child = objects.where(F.col("parent_id").isNotNull())
+    members = child.groupBy(*keys, "parent_id").agg(F.count(F.lit(1)).alias("n_members"))
+    outer = child.select(*keys, F.col("object_id").alias("_oid"), F.col("parent_id").alias("_op"), F.col("rect").alias("_ro"))
+    inner = child.select(*keys, "object_id", "parent_id", F.col("rect").alias("_ri"))
+    held = containment_pairs(inner, outer, keys, F.col("_ri"), F.col("_ro"), R.EPS_HIERARCHY)
+    held = held.where((F.col("parent_id") == F.col("_op")) & (F.col("object_id") != F.col("_oid")) & R.contains(F.col("_ro"), F.col("_ri")))
+    held = held.groupBy(*keys, "parent_id").agg(F.count(F.lit(1)).alias("_held"))
+    links = F.col("n_members") * (F.col("n_members") - 1) - F.coalesce("_held", F.lit(0))
+    return members.join(held, [*keys, "parent_id"], "left").select(*keys, "parent_id", "n_members", links.alias("n_links"))
+
+
+def _relations(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of D-16 without the order, and ``_k`` and ``_bin`` to order by."""
+    a, b = R.pack("_a_"), R.pack("_b_")
     dist = R.center_distance(a, b)
-    kind = (
-        F.when(R.contains(a, b), F.lit("container"))
-        .when(F.col("_a.parent_id").isNotNull() & (F.col("_a.parent_id") == F.col("_b.parent_id")), F.lit("sibling"))
-        .when(R.adjacent(a, b), F.lit("adjacent"))
-        .when(dist <= F.lit(NEAR_DISTANCE), F.lit("near"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("_k") + 1)
+    return _related(objects, keys).select(
+        *keys, "_k", F.floor(dist * F.lit(DISTANCE_BINS)).alias("_bin"), F.col("_a_object_id").alias("from_id"), F.col("_b_object_id").alias("to_id"),
+        kind.alias("kind"), R.relative(b, a).alias("rel"), dist.alias("distance"),
     )
-    rel = _related(objects, keys).select(
-        *keys, F.col("_a.object_id").alias("from_id"), F.col("_b.object_id").alias("to_id"), kind.alias("kind"), R.relative(b, a).alias("rel"), dist.alias("distance")
-    )
-    prio = F.array_position(F.array(*[F.lit(k) for k in ("container", "sibling", "adjacent", "near")]), F.col("kind"))
-    order = Window.partitionBy(*keys).orderBy(prio, "distance", "from_id", "to_id")
-    return rel.withColumn("fallback_order", F.row_number().over(order) - 1)
+
+
+def relation_graph(objects: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """D-16: labelled ordered pairs of all related objects of a page, found by grid and parent joins.
+
+    ``fallback_order`` counts a page's relations by kind, distance and ids. A page of at most ``CROWDED`` objects is put in
+    order as a whole. On a larger one it is the place among the relations of equal kind and distance bin plus the number of
+    relations in earlier bins, so no page is one task.
+    """
+    columns = [*keys, "from_id", "to_id", "kind", "rel", "distance", "fallback_order"]
+    crowded = cut(objects.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).select(*keys))
+    none = crowded.isEmpty()
+    order = ["distance", "from_id", "to_id"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_k", *order)) - 1
+    plain = _relations(objects if none else objects.join(crowded, keys, "left_anti"), keys).withColumn("fallback_order", place).select(*columns)
+    if none:
+        return plain
+    part = [*keys, "_k", "_bin"]
+    found = _relations(cut(objects.join(crowded, keys, "left_semi")), keys)
+    counts = found.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    # A page has at most a few hundred bins.
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_k", "_bin")) - F.col("_n")
+    binned = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1 + F.col("_before")
+    ordered = found.join(counts.select(*part, before.alias("_before")), part).withColumn("fallback_order", binned.cast("int"))
+    return plain.unionByName(ordered.select(*columns))
 
 
 def frame_relations(objects: DataFrame, frames: DataFrame, keys: list[str] = PAGE) -> DataFrame:

@@ -1,8 +1,8 @@
 """Page-level consensus by maximum-inlier search (C-1..C-13).
 
 ``matches``: doc_id, template_id, page_index, config_id, runtime_id, confidence, basis, affine,
-and the rects c and r. A page has at most as many matches as its template has objects, so the
-seed-by-member comparison is packed per page and expanded inside one exchange.
+and the rects c and r. Affines that may agree meet in the cells of a four-dimensional grid, whose
+sides are a few tolerances long, so a crowded page spreads over many join keys.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from boxledger.functions import rect as R
 from boxledger.operators.boxes import PAGE
+from boxledger.operators.greedy import suppressed
 from boxledger.operators.matching import TPL
+from boxledger.session import cut
 
 SCALE_TOLERANCE, TRANSLATE_TOLERANCE = 0.1, 0.06
 MIN_MATCHES = 1
@@ -39,22 +41,42 @@ def _agrees(a: Column, b: Column, scale_tol: float, translate_tol: float) -> Col
     return (R.scale_delta(a, b) <= R.lit(scale_tol)) & (R.translate_delta(a, b) <= R.lit(translate_tol))
 
 
+# Cell side in tolerances: any value gives the same pairs. A side of four lets a seed look into 1.5 cells per dimension.
+CELL = 4
+
+
+def agreeing(left: DataFrame, right: DataFrame, la: str, ra: str, keys: list[str], scale_tol: float, translate_tol: float) -> DataFrame:
+    """Pairs of rows of equal keys whose affines ``la`` and ``ra`` agree within the tolerances.
+
+    A right row lies in one cell of the grid over (sx, sy, tx, ty); a left row looks into the cells that its tolerance box
+    touches, one or two per dimension. Apart from ``keys`` the tables must not share column names.
+    """
+    cells = []
+    for k, tol in (("sx", scale_tol), ("sy", scale_tol), ("tx", translate_tol), ("ty", translate_tol)):
+        side, reach, cell = F.lit(CELL * tol), F.lit(1.001 * tol), f"_c{k}"
+        left = left.withColumn(cell, F.explode(F.sequence(F.floor((F.col(f"{la}.{k}") - reach) / side), F.floor((F.col(f"{la}.{k}") + reach) / side))))
+        right = right.withColumn(cell, F.floor(F.col(f"{ra}.{k}") / side))
+        cells.append(cell)
+    return left.join(right, keys + cells).where(_agrees(F.col(la), F.col(ra), scale_tol, translate_tol)).drop(*cells)
+
+
+def _seed_counts(weighted: DataFrame, scale_tol: float, translate_tol: float) -> DataFrame:
+    seed = weighted.select(*KEYS, F.col("config_id").alias("seed_id"), F.col("affine").alias("seed_affine"))
+    member = weighted.select(*KEYS, F.col("affine").alias("_ma"), F.col("weight").alias("_mw"))
+    inside = agreeing(seed, member, "seed_affine", "_ma", KEYS, scale_tol, translate_tol)
+    return inside.groupBy(*KEYS, "seed_id", "seed_affine").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("_mw"), TIE_DECIMALS).alias("kept_weight"))
+
+
 def seeds(weighted: DataFrame, scale_tol: float = SCALE_TOLERANCE, translate_tol: float = TRANSLATE_TOLERANCE) -> DataFrame:
     """C-2: every match as seed with inlier count, inlier weight and rank inside its page."""
-    item = F.struct("config_id", "affine", "weight")
-    packed = weighted.groupBy(*KEYS).agg(F.collect_list(item).alias("_all"))
-    both = packed.withColumn("_s", F.explode("_all")).withColumn("_m", F.explode("_all")).drop("_all")
-    inside = both.where(_agrees(F.col("_m.affine"), F.col("_s.affine"), scale_tol, translate_tol))
-    per_seed = inside.groupBy(*KEYS, F.col("_s.config_id").alias("seed_id"), F.col("_s.affine").alias("seed_affine")).agg(
-        F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("_m.weight"), TIE_DECIMALS).alias("kept_weight")
-    )
     w = Window.partitionBy(*KEYS).orderBy(F.col("n_kept").desc(), F.col("kept_weight").desc(), "seed_id")
-    return per_seed.withColumn("seed_rank", F.row_number().over(w))
+    return _seed_counts(weighted, scale_tol, translate_tol).withColumn("seed_rank", F.row_number().over(w))
 
 
 def max_inlier(weighted: DataFrame, scale_tol: float = SCALE_TOLERANCE, translate_tol: float = TRANSLATE_TOLERANCE) -> DataFrame:
     """C-2, C-3: each match with the winning seed, whether it is an inlier and the mean affine of the inliers."""
-    best = seeds(weighted, scale_tol, translate_tol).where(F.col("seed_rank") == 1).select(*KEYS, "seed_id", "seed_affine")
+    order = F.struct(-F.col("n_kept"), -F.col("kept_weight"), "seed_id")
+    best = _seed_counts(weighted, scale_tol, translate_tol).groupBy(*KEYS).agg(F.min_by(F.struct("seed_id", "seed_affine"), order).alias("_b")).select(*KEYS, "_b.*")
     t = weighted.join(best, KEYS)
     t = t.withColumn("scale_dev", R.scale_delta(F.col("affine"), F.col("seed_affine"))).withColumn(
         "translate_dev", R.translate_delta(F.col("affine"), F.col("seed_affine"))
@@ -150,38 +172,24 @@ def local_transforms(weighted: DataFrame) -> DataFrame:
 def regional_transforms(
     weighted: DataFrame, inl: DataFrame, scale_tol: float = SCALE_TOLERANCE, translate_tol: float = TRANSLATE_TOLERANCE
 ) -> DataFrame:
-    """C-8: other coherent shifts on pages whose consensus says nothing moved.
+    """C-8: other coherent shifts on pages whose consensus says nothing moved: (KEYS, seed_rank, seed_id, n_kept, affine).
 
-    Seeds are scanned in rank order; a seed inside an already reported cluster is skipped. The
-    fold runs over one short array per page and only on pages with a near-identity consensus.
+    Seeds are taken in rank order, a seed inside a cluster that is taken already is skipped: rounds over the pairs of
+    seeds that agree (``greedy``), so neither seeds nor members of a page are packed.
     """
     still = inl.where(R.near_identity(F.col("mean_affine"))).select(*KEYS).distinct()
-    w = weighted.join(still, KEYS, "left_semi")
-    ranked = seeds(w, scale_tol, translate_tol)
-    member = w.select(*KEYS, F.col("config_id").alias("member_id"), F.col("affine").alias("_ma"), F.col("weight").alias("_mw"))
-    kept = ranked.where((F.col("seed_rank") > 1) & (F.col("n_kept") >= 2)).join(member, KEYS).where(
-        _agrees(F.col("_ma"), F.col("seed_affine"), scale_tol, translate_tol)
-    )
+    w = cut(weighted.join(still, KEYS, "left_semi"))
+    ranked = seeds(w, scale_tol, translate_tol).where((F.col("seed_rank") > 1) & (F.col("n_kept") >= 2))
+    member = w.select(*KEYS, F.col("affine").alias("_ma"), F.col("weight").alias("_mw"))
     refined = R.make_affine(*[F.sum(F.col("_mw") * F.col(f"_ma.{k}")) / F.sum("_mw") for k in ("sx", "sy", "tx", "ty")])
-    clusters = (
-        kept.groupBy(*KEYS, "seed_rank", "seed_id")
-        .agg(refined.alias("affine"), F.collect_set("member_id").alias("members"))
-        .where(~R.near_identity(F.col("affine")))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("seed_rank", "seed_id", "affine", "members")))
-    start = F.struct(
-        F.array().cast("array<string>").alias("seen"),
-        F.array().cast("array<struct<sx:double,sy:double,tx:double,ty:double>>").alias("out"),
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        skip = F.array_contains(acc["seen"], s["seed_id"])
-        return F.struct(
-            F.when(skip, acc["seen"]).otherwise(F.array_union(acc["seen"], s["members"])).alias("seen"),
-            F.when(skip, acc["out"]).otherwise(F.array_append(acc["out"], s["affine"])).alias("out"),
-        )
-
-    return clusters.groupBy(*KEYS).agg(F.aggregate(ordered, start, step)["out"].alias("regional"))
+    kept = agreeing(ranked, member, "seed_affine", "_ma", KEYS, scale_tol, translate_tol)
+    clusters = kept.groupBy(*KEYS, "seed_rank", "seed_id", "seed_affine", "n_kept").agg(refined.alias("affine"))
+    clusters = cut(clusters.where(~R.near_identity(F.col("affine"))))
+    first = clusters.select(*KEYS, F.col("seed_id").alias("winner"), F.col("seed_rank").alias("_wr"), F.col("seed_affine").alias("_wa"))
+    later = clusters.select(*KEYS, F.col("seed_id").alias("loser"), F.col("seed_rank").alias("_lr"), F.col("seed_affine").alias("_la"))
+    edges = agreeing(first, later, "_wa", "_la", KEYS, scale_tol, translate_tol).where("_wr < _lr").select(*KEYS, "loser", "winner")
+    lost = suppressed(edges, KEYS).withColumnRenamed("loser", "seed_id")
+    return clusters.join(lost, KEYS + ["seed_id"], "left_anti").select(*KEYS, "seed_rank", "seed_id", "n_kept", "affine")
 
 
 # ------------------------------------------------------------------ level summaries

@@ -115,46 +115,87 @@ def test_no_rule_and_no_object_is_left_out(spark):
     assert {(r.from_id, r.to_id) for r in graph} >= want and len({r.from_id for r in graph}) == 40
 
 
-def test_points_to_boxes_of_a_grid(spark):
-    xs, ys = [60, 220, 380, 540], [40, 120, 200, 280, 360]
-    ink = set()
-    for y in ys:
-        ink |= {(x, y + k) for x in range(xs[0], xs[-1] + 2) for k in (0, 1)}
-    for x in xs:
-        ink |= {(x + k, y) for y in range(ys[0], ys[-1] + 2) for k in (0, 1)}
+def test_points_to_boxes_of_a_ruled_table(spark):
+    """Six uprights and three rules, two points thick: ten cells and the frame around them. Both sides of a rule fall into one bin."""
+    xs, ys = [35, 130, 190, 302, 365, 481], [50, 166, 310]
+    ink = {(x, y + k) for y in ys for x in range(xs[0], xs[-1] + 2) for k in (0, 1)} | {(x + k, y) for x in xs for y in range(ys[0], ys[-1] + 2) for k in (0, 1)}
     pts = spark.createDataFrame([(1, 0, x, y) for x, y in ink], "doc_id int, page_index int, x int, y int")
-    thr = boxes.page_thresholds(spark.createDataFrame([(1, 0, 700, 400)], "doc_id int, page_index int, width int, height int"))
+    thr = boxes.page_thresholds(spark.createDataFrame([(1, 0, 521, 360)], "doc_id int, page_index int, width int, height int"))
     seg = lines.detect_segments(pts, thr)
-    assert {(r.axis, r["count"]) for r in seg.groupBy("axis").count().collect()} == {(0, 5), (1, 4)}
-    assert lines.boxes_from_segments(seg, boxes.PAGE, F.lit(2)).count() == 13
-
-
-def test_parallel_stripes_become_one_segment(spark):
-    seg = spark.createDataFrame([(1, 0, 0, y, 1, 10, 200) for y in range(100, 105)], "doc_id int, page_index int, axis int, axis_pos int, thickness int, start_pos int, end_pos int")
-    rows = lines.cluster_segments(seg, boxes.PAGE, F.lit(5)).collect()
-    assert [(r.axis_pos, r.start_pos, r.end_pos) for r in rows] == [(102, 10, 200)]
-
-
-def brute_cluster(seg, tol):
-    todo, out = sorted(seg), []
-    while todo:
-        seed = todo.pop(0)
-        bucket, rest = [seed], []
-        lo, hi = seed[1], seed[2]
-        for s in todo:
-            if s[0] - seed[0] < tol and s[1] <= hi + tol and s[2] + tol >= lo:
-                bucket.append(s)
-                lo, hi = min(lo, s[1]), max(hi, s[2])
-            else:
-                rest.append(s)
-        todo = rest
-        out.append((sorted(b[0] for b in bucket)[len(bucket) // 2], lo, hi))
-    return sorted(out)
-
-
-def test_cluster_segments_equals_scan(spark):
-    rng = random.Random(3)
-    seg = [(rng.randint(0, 80), s, s + rng.randint(10, 60)) for s in (rng.randint(0, 300) for _ in range(150))]
-    df = spark.createDataFrame([(1, 0, 0, p, 1, s, e) for p, s, e in seg], "doc_id int, page_index int, axis int, axis_pos int, thickness int, start_pos int, end_pos int")
-    got = sorted((r.axis_pos, r.start_pos, r.end_pos) for r in lines.cluster_segments(df, boxes.PAGE, F.lit(5)).collect())
-    assert got == brute_cluster(seg, 5)
+    assert {(r.axis, r["count"]) for r in seg.groupBy("axis").count().collect()} == {(0, len(ys)), (1, len(xs))}
+    assert lines.boxes_from_segments(seg, boxes.PAGE, F.lit(3)).count() == (len(xs) - 1) * (len(ys) - 1) + 1
+
+
+SEGMENT = "doc_id int, page_index int, axis int, axis_pos int, thickness int, start_pos int, end_pos int"
+
+
+def clusters(spark, seg, tol):
+    df = spark.createDataFrame([(1, 0, 0, p, t, s, e) for p, t, s, e in seg], SEGMENT)
+    return sorted((r.axis_pos, r.thickness, r.start_pos, r.end_pos) for r in lines.cluster_segments(df, boxes.PAGE, F.lit(tol)).collect())
+
+
+def test_a_thick_rule_found_in_seven_strips_is_one(spark):
+    assert clusters(spark, [(p, 2, 33 + p % 2, 912) for p in range(640, 647)], 9) == [(643, 2, 33, 912)]
+    assert clusters(spark, [(640, 1, 0, 40), (640, 4, 90, 150)], 9) == [(640, 1, 0, 40), (640, 4, 90, 150)]
+
+
+def test_clusters_cover_their_segments_and_nothing_else(spark):
+    """What holds for any clustering of fragments, on random pages: coverage, tight extents, no two rules that belong together."""
+    rng, tol = random.Random(8), 6
+    seg = [(rng.randrange(0, 90), rng.randrange(1, 5), s, s + rng.randrange(5, 70)) for s in (rng.randrange(0, 400) for _ in range(180))]
+    got = clusters(spark, seg, tol)
+    for p, t, s, e in seg:
+        assert any(abs(q - p) < tol and a <= s and b >= e and u >= t for q, u, a, b in got)
+    for q, u, a, b in got:
+        near = [x for x in seg if abs(x[0] - q) < tol and a <= x[2] and x[3] <= b]
+        assert q in {x[0] for x in near} and a in {x[2] for x in near} and b in {x[3] for x in near} and u in {x[1] for x in near}
+    for x, y in itertools.combinations(got, 2):  # rules of one position lie further apart than the tolerance
+        assert x[0] != y[0] or x[3] + tol < y[2] or y[3] + tol < x[2] or len({z[0] for z in seg if abs(z[0] - x[0]) < tol}) > 1
+    assert clusters(spark, rng.sample(seg, len(seg)), tol) == got
+    moved = [(p + 700, t, s + 55, e + 55) for p, t, s, e in seg]
+    assert clusters(spark, moved, tol) == [(q + 700, u, a + 55, b + 55) for q, u, a, b in got]
+
+
+def brute_rects(h, v, g):
+    """All four-sided figures, every combination tried; of equal bins the outermost one."""
+    best = {}
+    for (t, b), (x, y) in itertools.product(itertools.permutations(h, 2), itertools.permutations(v, 2)):
+        lo, hi = max(t[1], b[1]), min(t[2], b[2])
+        wide = b[0] - t[0] >= g and hi - lo >= 2 * g and y[0] - x[0] >= g
+        stands = all(lo - g <= u[0] <= hi + g and u[1] - g <= t[0] and u[2] + g >= b[0] for u in (x, y))
+        lies = all(r[1] - g <= x[0] and r[2] + g >= y[0] for r in (t, b))
+        if wide and stands and lies:
+            edges = (x[0], t[0], y[0] + 1, b[0] + 1)
+            key = tuple(int(e / g + 0.5) for e in edges)
+            order = (edges[1], -b[0], edges[0], -y[0])
+            best[key] = min(best.get(key, (order, edges)), (order, edges))
+    return sorted(e for _, e in best.values())
+
+
+def test_rectangles_equal_all_combinations(spark):
+    rng = random.Random(12)
+    for n in (5, 9):
+        rule = lambda: (rng.randrange(0, 300), s := rng.randrange(0, 150), s + rng.randrange(20, 220))
+        h, v = [rule() for _ in range(n)], [rule() for _ in range(n)]
+        rows = [(1, 0, axis, p, 1, s, e) for axis, side in ((0, h), (1, v)) for p, s, e in side]
+        found = lines.line_rects(spark.createDataFrame(rows, SEGMENT), boxes.PAGE, F.lit(4)).collect()
+        assert sorted((r.left, r.top, r.right, r.bottom) for r in found) == brute_rects(h, v, 4)
+
+
+def test_relations_in_bins_equal_those_of_a_whole_page(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"o{i:02d}", (rng.randrange(0, 80) / 100, rng.randrange(0, 80) / 100, rng.randrange(2, 30) / 100, rng.randrange(2, 30) / 100), 0.9) for i in range(45)]
+    rows += [(f"t{i}", rows[0][1], 0.9) for i in range(5)]
+    df = boxes.assign_parents(objects(spark, rows)).cache()
+    graph = lambda: sorted((r.fallback_order, r.from_id, r.to_id, r.kind) for r in boxes.relation_graph(df).collect())
+    plain = graph()
+    monkeypatch.setattr(boxes, "CROWDED", 10)
+    assert graph() == plain and [x[0] for x in plain] == list(range(len(plain)))
+    links = {}
+    up = {r.object_id: r.parent_id for r in df.collect()}
+    for _, a, b, kind in plain:
+        if kind == "sibling":
+            assert up[a] == up[b]
+            links[up[a]] = links.get(up[a], 0) + 1
+    got = {r.parent_id: r.n_links for r in boxes.sibling_classes(df).collect()}
+    assert {k: n for k, n in got.items() if n} == links

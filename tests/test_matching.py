@@ -74,25 +74,78 @@ def test_recovery_admits_a_lone_pair_and_refuses_twins(spark):
 
 
 def test_depth_gap_is_matched_by_the_global_pass(spark):
-    c = [("cTop0", (0.05, 0.05, 0.9, 0.9), None), ("cTop1", (0.1, 0.1, 0.8, 0.8), "cTop0"), ("c_target", (0.4, 0.4, 0.1, 0.05), "cTop1")]
-    sides = [("rTop0", 0.05, 0.9), ("rTop1", 0.1, 0.8), ("x1", 0.15, 0.7), ("x2", 0.2, 0.6), ("x3", 0.25, 0.5), ("x4", 0.3, 0.4)]
-    r = [(n, (p, p, s, s), sides[i - 1][0] if i else None) for i, (n, p, s) in enumerate(sides)] + [("r_target", (0.4, 0.4, 0.1, 0.05), "x4")]
-    got = {m.config_id: (m.runtime_id, m["pass"]) for m in match(spark, c, r)}
-    assert got == {"cTop0": ("rTop0", "hierarchy"), "cTop1": ("rTop1", "hierarchy"), "c_target": ("r_target", "global")}
+    """On the scan the amount sits in a stack of frames that the form does not have; its place gives it away."""
+    form = [("sheet", (0.03, 0.02, 0.91, 0.94), None), ("table", (0.12, 0.22, 0.66, 0.58), "sheet"), ("amount", (0.52, 0.61, 0.14, 0.06), "table")]
+    scan = [("s_sheet", form[0][1], None), ("s_table", form[1][1], "s_sheet")]
+    for k in range(3):  # frames of their own shape, each around the amount
+        scan.append((f"frame{k}", (0.2 + 0.05 * k, 0.3 + 0.04 * k, 0.55 - 0.07 * k, 0.47 - 0.06 * k), scan[-1][0]))
+    scan.append(("s_amount", form[2][1], scan[-1][0]))
+    got = {m.config_id: (m.runtime_id, m["pass"]) for m in match(spark, form, scan)}
+    assert got == {"sheet": ("s_sheet", "hierarchy"), "table": ("s_table", "hierarchy"), "amount": ("s_amount", "global")}
 
 
-def test_regional_shift_beside_a_still_page(spark):
-    still = [(f"s{i}", 1.0, 0.0015) for i in range(9)]
-    moved = [(f"m{i}", 0.89, 0.03 + 0.01 * i) for i in range(3)]
-    rows = [(1, 1, 0, i, f"r_{i}", 0.9, ["x"], (1.0, sy, 0.0, ty), (0.1, 0.1, 0.1, 0.1), (0.1, 0.1, 0.1, 0.1)) for i, sy, ty in still + moved]
+KEYS = ("sx", "sy", "tx", "ty")
+
+
+def agree(a, b):
+    return max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 0.1 and max(abs(a[2] - b[2]), abs(a[3] - b[3])) <= 0.06
+
+
+def brute_seeds(matches):
+    """{id: (members, weight)} by comparing every pair."""
+    return {i: ([k for k, (b, _) in matches.items() if agree(a, b)], round(sum(w for b, w in matches.values() if agree(a, b)), 9)) for i, (a, _) in matches.items()}
+
+
+def mean_of(matches, ids):
+    total = sum(matches[i][1] for i in ids)
+    return tuple(sum(matches[i][0][d] * matches[i][1] for i in ids) / total for d in range(4))
+
+
+def still(a):
+    return abs(a[0] - 1) <= 0.005 and abs(a[1] - 1) <= 0.005 and abs(a[2]) <= 0.005 and abs(a[3]) <= 0.005
+
+
+def brute_regions(matches):
+    seeds = brute_seeds(matches)
+    order = sorted(seeds, key=lambda i: (-len(seeds[i][0]), -seeds[i][1], i))
+    if not still(mean_of(matches, seeds[order[0]][0])):
+        return []
+    out = []
+    for i in order[1:]:
+        if len(seeds[i][0]) >= 2 and not still(mean_of(matches, seeds[i][0])) and not any(agree(matches[i][0], matches[k][0]) for k in out):
+            out.append(i)
+    return out
+
+
+def random_page(rng, n):
+    """Matches around a few shifts, one of them none at all, and some strays; weights are squared confidences."""
+    centres = [(1.0, 1.0, 0.0, 0.0)] + [(1 + rng.uniform(-0.3, 0.3), 1 + rng.uniform(-0.3, 0.3), rng.uniform(-0.2, 0.2), rng.uniform(-0.2, 0.2)) for _ in range(rng.randrange(1, 4))]
+    out = {}
+    for k in range(n):
+        c = rng.choice(centres[:1] * 4 + centres) if rng.random() < 0.9 else tuple(rng.uniform(-1, 2) for _ in range(4))
+        spread = 0.001 if c is centres[0] else 0.04
+        confidence = rng.randrange(40, 100) / 100
+        out[f"m{k:02d}"] = (tuple(v + rng.uniform(-spread, spread) for v in c), confidence * confidence)
+    return out
+
+
+def test_consensus_and_regions_equal_all_pairs_on_random_pages(spark):
+    rng = random.Random(23)
+    pages = {d: random_page(rng, rng.randrange(1, 32)) for d in range(40)}
+    rows = [(d, 1, 0, i, f"r_{i}", w**0.5, ["x"], a, (0.2, 0.1, 0.3, 0.1), (0.2, 0.1, 0.3, 0.1)) for d, page in pages.items() for i, (a, w) in page.items()]
     m = spark.createDataFrame(
         rows, f"doc_id int, template_id int, page_index int, config_id string, runtime_id string, confidence double, basis array<string>, affine struct<sx:double,sy:double,tx:double,ty:double>, c {RECT}, r {RECT}"
     )
     w = C.with_weight(m)
-    inl = C.max_inlier(w)
-    assert C.consensus(inl).first().n_matches == 9
-    got = C.regional_transforms(w, inl).first().regional
-    assert len(got) == 1 and got[0].sy == pytest.approx(0.89) and got[0].ty == pytest.approx(0.04)
+    found = {(r.doc_id, r.seed_id): r for r in C.seeds(w).collect()}
+    for d, page in pages.items():
+        for i, (members, weight) in brute_seeds(page).items():
+            assert found[d, i].n_kept == len(members) and found[d, i].kept_weight == pytest.approx(weight, abs=1e-8)
+    regions = {}
+    for r in C.regional_transforms(w, C.max_inlier(w)).orderBy("doc_id", "seed_rank").collect():
+        regions.setdefault(r.doc_id, []).append(r.seed_id)
+        assert tuple(r.affine) == pytest.approx(mean_of(pages[r.doc_id], brute_seeds(pages[r.doc_id])[r.seed_id][0]))
+    assert regions == {d: x for d, page in pages.items() if (x := brute_regions(page))} and regions
 
 
 def test_clip_keeps_size(spark):
