@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,6 +29,13 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select("document_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def without_ids(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose document_id is not in ``gone``, whatever their other columns are called."""
+    name = f"gone_{uuid.uuid4().hex}"
+    ids = gone.select(F.col("document_id").alias(name)).distinct()
+    return documents.join(ids, documents["document_id"] == ids[name], "left_anti")
+
+
 def document_texts(readings: DataFrame) -> DataFrame:
     """One text per document from the readings of its fields (doc_id, page_index, field_id, text), in page and field order.
 

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxledger.llm.common import cut, texts
+from boxledger.llm.common import cut, texts, without_ids
+from boxledger.session import settled
 
 WINDOW = 8  # canonical words
 MIN_LITERALS = 4  # words of a window that are no placeholders
@@ -148,8 +149,12 @@ def contaminated(
     n_changed (slots with another value than in the item). A stretch has ``min_windows`` windows, or half of the item's
     if that is less, or covers as many words as these would. Stretches whose slot values don't map consistently from item to
     document count only if their windows of unchanged words are enough alone. Null texts and ids match nothing, repeated
-    rows count once.
+    rows count once. The tables made on the way are deleted once the result is written.
     """
+    return settled(documents.sparkSession, lambda: _contaminated(documents, benchmark, window, min_literals, min_windows, short_words))
+
+
+def _contaminated(documents: DataFrame, benchmark: DataFrame, window: int, min_literals: int, min_windows: int, short_words: int) -> DataFrame:
     found = cut(benchmark_windows(benchmark, window, min_literals, short_words))
     sizes = [r[0] for r in found.select("size").distinct().orderBy("size").collect()]  # at most `window` sizes
     rows = texts(documents).where(F.col("document_id").isNotNull())
@@ -207,5 +212,4 @@ def contaminated(
 
 def clean_of_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that hold no benchmark item, columns unchanged; rows without an id stay."""
-    found = contaminated(documents, benchmark).select(F.col("document_id").alias("_found")).distinct()
-    return documents.join(found, documents["document_id"] == F.col("_found"), "left_anti")
+    return without_ids(documents, contaminated(documents, benchmark))

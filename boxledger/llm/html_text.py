@@ -1,8 +1,11 @@
 """HTML extraction (operator 10): content and boilerplate separated by a minimum cut.
 
-A page is split into text blocks. What a block looks like gives the costs of calling it content or boilerplate: the
-capacities of its edges to the two terminals. Neighbouring blocks, and blocks of one container, are tied by edges that
-cost when the two are labelled differently. The minimum cut, found by maximum flow, is the cheapest labelling.
+A page is split into text blocks. A classifier, trained on blocks of given pages inside and outside their ``article``, gives
+the log-odds that a block of such shape is content; what the page declares (landmark elements, names of classes) adds to
+them. They are the capacities of the block's edges to the two terminals. Neighbouring blocks, and blocks of one container,
+are tied by edges that cost when the two are labelled differently, the less the farther apart they stand in the tree. The
+minimum cut, found by maximum flow, is the cheapest labelling: a short line between paragraphs stays with them, a sentence
+among links goes with these.
 
 The project has no web pages among its records, so the operator is general: it works on tables of pages.
 """
@@ -12,13 +15,23 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxledger.llm.common import byte_blocks
+from boxledger.llm.common import byte_blocks, first_by_hash
+
+TRAIN_PAGES = 400  # pages of the training sample
+TRAIN_BLOCKS = 40_000  # blocks of it that are learnt from
+
+# What a declaration adds to the log-odds of content; the trained part is held to +-SHAPE.
+SHAPE, LANDMARK, NAMED, HINTED, MAIN = 3.0, 7.0, 7.0, 0.5, 4.0
+UNDECLARED = 2.0  # for unlinked text of a page that declares nothing
+# Ties of blocks that are next to each other, and of blocks of one container with others between them.
+TIE, CONTAINER_TIE = 1.5, 0.75
 
 _BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup"
@@ -34,6 +47,8 @@ _AWAY_WORDS = set(
     " breadcrumbs pagination pager widget widgets comment comments commentlist reply replies respond disqus toolbar skip copyright legal disclaimer teaser teasers outbrain taboola".split()
 )
 _MAIN_WORDS = set("article content post entry story main body text hentry".split())
+# Words that may stand beside such a word in one name without changing what it names.
+_PLACES = set("site page section box block container wrapper wrap area list item items top left right bottom inner outer main global primary secondary posts links link bar content article post entry row col".split())
 _AWAY_ARTICLES = {"comment", "comments", "reply", "related", "teaser", "promo"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # A paragraph, item or cell that opens ends an open one of the same kind.
@@ -56,63 +71,81 @@ class Box:
 
     tag: str
     parent: "Box | None"
-    away: bool = False  # in a landmark of boilerplate
+    away: bool = False  # in a landmark of boilerplate, with no landmark of content further in
+    named: "Box | None" = None  # innermost element whose class or id names boilerplate, unless content is declared further in
+    hints: int = 0  # class words of boilerplate that name nothing by themselves, as in "has-sidebar"
     never: bool = False  # in an element that shows no text
     main: bool = False  # in a landmark of content
     form: "Box | None" = None  # innermost form
-    wraps: bool = False  # a form that holds landmarks of the page, not a form to fill in
+    wraps: bool = False  # a form, or a named element, that holds landmarks of the page: it is no form to fill in, no advert
+    depth: int = 0
+    words: frozenset = frozenset()  # of its class and id
 
     def is_away(self) -> bool:
         return self.away or self.form is not None and not self.form.wraps
 
+    def is_named(self) -> bool:
+        return self.named is not None and not self.named.wraps
+
 
 @dataclass
 class Block:
     text: str
     box: Box
     linked: int = 0
-    costs: tuple[float, float] = field(default=(0.0, 0.0))
 
 
 def _judge(tag: str, attributes: str, parent: Box) -> Box:
-    box = Box(tag, parent, parent.away, parent.never, parent.main, parent.form)
-    names: set[str] = set()
+    box = Box(tag, parent, parent.away, parent.named, parent.hints, parent.never, parent.main, parent.form, depth=parent.depth + 1)
+    names: list[set[str]] = []
     role, hidden = "", False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                names.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                names += [set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in value.split()]
             elif key == "role":
                 role = value.lower().strip()
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
                 hidden = True
-    landmark = tag in ("article", "main", "nav", "header", "footer") or role in ("main", "article")
+    words = set().union(*names)
+    content = tag in ("article", "main") or role in ("main", "article")
+    whole = tag == "main" or role == "main"
+    landmark = content or tag in ("nav", "header", "footer")
     if tag in _NEVER or hidden:
         box.never = True
     elif tag == "form" or role == "form":
         box.form = box
     elif tag in ("html", "body"):
         pass
-    elif tag in ("article", "main") or role in ("main", "article"):
-        box.away = box.away or bool(names & _AWAY_ARTICLES)
-        box.main = not box.away
-    elif tag in _AWAY or role in _AWAY_ROLES or tag == "header" and not parent.main:
-        box.away = True
-    elif names & _AWAY_WORDS and tag not in _HEADINGS:
-        # A title block inside the article, or an entry's own wrapper, may carry such a word too.
-        titled = parent.main and names & _AWAY_WORDS <= {"header", "banner"}
-        box.away = box.away or not (titled or names & _MAIN_WORDS and names & _AWAY_WORDS <= {"header", "social", "related", "legal"})
-    elif names & _MAIN_WORDS:
-        box.main = landmark = not box.away
+    elif whole or content and not any(n & _AWAY_ARTICLES and n <= _AWAY_WORDS | _PLACES for n in names) and not (parent.is_named() and _comments(parent.named)):
+        # Declared content: nothing around it takes it away.
+        box.away, box.named, box.hints, box.main = False, None, 0, True
+    elif content or tag in _AWAY or role in _AWAY_ROLES or tag == "header" and not parent.main:
+        box.away, box.main, landmark = True, False, landmark and not content
+    elif tag not in _HEADINGS:
+        naming = [n for n in names if n & _AWAY_WORDS and n <= _AWAY_WORDS | _PLACES]
+        if naming and not (parent.main and words & _AWAY_WORDS <= {"header", "banner"}) and not words & _MAIN_WORDS - _PLACES:
+            box.named, box.main = box, False
+        else:
+            box.hints += len(words & _AWAY_WORDS)
+            if words & _MAIN_WORDS and not box.away and not box.is_named():
+                box.main = landmark = True
+    box.words = frozenset(words)
     if landmark:
-        up = box.form
-        while up is not None and not up.wraps:
-            up.wraps = True
-            up = up.parent.form if up.parent else None
+        for kind in ("form", "named"):
+            up = getattr(parent, kind)
+            while up is not None and not up.wraps:
+                up.wraps = whole or not (kind == "named" and _comments(up))
+                up = getattr(up.parent, kind) if up.parent else None
     return box
 
 
+def _comments(box: Box) -> bool:
+    """Whether an element is named after reader comments, whose parts may be declared as articles, too."""
+    return bool(box.words & {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "related", "recommended"})
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order; markup, comments, scripts and styles are gone, character references decoded."""
     root = Box("", None)
@@ -181,41 +214,62 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def block_costs(block: Block) -> tuple[float, float]:
-    """(cost of calling it boilerplate, cost of calling it content), both at least 0."""
-    content, away = 0.6, 0.0
-    box, tag = block.box, block.box.tag
-    if box.is_away():
-        away += 6.0
-    elif box.main:
-        content += 5.0
-    size = len(block.text)
+FEATURES = 11
+
+
+def shape(block: Block) -> list[float]:
+    """What a block looks like, without names of classes and without article and main."""
+    size, tag = len(block.text), block.box.tag
     share = block.linked / max(size, 1)
-    if share > 0.5:
-        away += 2.0
-    elif share < 0.2:
-        content += 0.3
-    if size >= 80:
-        content += 1.2
-    elif size < 25:
-        away += 0.4
-    if block.text[-1] in ".!?:;…\"'”»)":
-        content += 0.8
-    if tag == "p" or tag in _HEADINGS or tag in ("blockquote", "pre", "figcaption"):
-        content += 0.8
-    return content, away
-
-
-def _kin(a: Block, b: Block) -> float:
-    """Strength of the tie between two blocks: how near they stand in the tree."""
-    if a.box.is_away() != b.box.is_away() or a.box.main != b.box.main:
-        return 0.05
-    up_a, up_b = a.box.parent or a.box, b.box.parent or b.box
-    if a.box is b.box or up_a is up_b:
-        return 1.0
-    if up_a is up_b.parent or up_b is up_a.parent or up_a.parent is up_b.parent:
-        return 0.5
-    return 0.2
+    return [
+        1.0, share, float(share > 0.5), min(np.log1p(size), 8.0) / 4, float(size < 25), float(size >= 80), float(block.text[-1] in ".!?:;…\"'”»)"),
+        float(tag in ("p", "blockquote", "pre", "figcaption")), float(tag in _HEADINGS), float(tag in ("li", "td", "th", "dt", "dd")), float("©" in block.text[:80]),
+    ]
+
+
+# Weights for pages among which none has an article to learn from.
+UNTRAINED = np.array([-0.6, -1.5, -1.0, 0.5, -0.5, 1.0, 0.6, 0.9, 0.8, -0.4, -1.5])
+
+
+def block_odds(block: Block, weights: np.ndarray) -> float:
+    """Log-odds that the block is content."""
+    box = block.box
+    odds = max(-SHAPE, min(SHAPE, float(np.dot(shape(block), weights))))
+    if box.is_away():
+        return odds - LANDMARK
+    if box.is_named():
+        return odds - NAMED
+    return odds - HINTED * min(box.hints, 3) + (MAIN if box.main else 0.0)
+
+
+def block_costs(block: Block, weights: np.ndarray = UNTRAINED, more: float = 0.0) -> tuple[float, float]:
+    """(cost of calling it boilerplate, cost of calling it content), both at least 0; ``more`` is added to the log-odds."""
+    odds = block_odds(block, weights) + more
+    return max(odds, 0.0), max(-odds, 0.0)
+
+
+def tree_distance(a: Box, b: Box) -> int:
+    """Steps from one element to the other through the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
+def ties_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Ties of neighbours and of blocks in one container; what the blocks are called plays no part."""
+    ties = [(i, i + 1, TIE / (1 + max(0, tree_distance(a.box, b.box) - 2))) for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False))]
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        near = id(b.box.parent or b.box)
+        if near in last and last[near] < i - 1:
+            ties.append((last[near], i, CONTAINER_TIE))
+        last[near] = i
+    return ties
 
 
 def minimum_cut(costs: list[tuple[float, float]], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -286,32 +340,80 @@ def minimum_cut(costs: list[tuple[float, float]], ties: list[tuple[int, int, flo
             v = to[e]
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, weights: np.ndarray = UNTRAINED) -> str:
     """The content blocks of a page, one line each."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    ties = [(i, i + 1, _kin(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        near = id(b.box.parent or b.box)
-        if near in last and last[near] < i - 1:
-            ties.append((last[near], i, 0.5 * _kin(blocks[last[near]], b)))
-        last[near] = i
-    labels = minimum_cut([block_costs(b) for b in blocks], ties)
+    declares = any(b.box.main or b.box.is_away() or b.box.is_named() for b in blocks)
+    plain = [0.0 if declares or 5 * b.linked > len(b.text) else UNDECLARED for b in blocks]
+    labels = minimum_cut([block_costs(b, weights, more) for b, more in zip(blocks, plain, strict=True)], ties_of(blocks))
     return "\n".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def training_blocks(page: str) -> list[list[float]]:
+    """Shape and label (inside an article) of the blocks of a page that has both kinds."""
+    rows = []
+    for b in blocks_of(page):
+        up = b.box
+        while up is not None and up.tag != "article":
+            up = up.parent
+        if up is not None and b.box.is_away():
+            continue  # a form or an aside in the article
+        rows.append([*shape(b), float(up is not None)])
+    return rows if {r[-1] for r in rows} == {0.0, 1.0} else []
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression in which both labels count alike, by Newton steps."""
+    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (y - p)) - ridge * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit_blocks(pages: DataFrame) -> np.ndarray:
+    """Weights of ``shape``, learnt from at most ``TRAIN_PAGES`` pages and ``TRAIN_BLOCKS`` of their blocks.
+
+    The pages with the smallest hashes of url and id are taken; pages without blocks on both sides of an article teach
+    nothing, and if there is no other page the weights are those of ``UNTRAINED``.
+    """
+    keyed = pages.select(F.xxhash64("url", "page_id").alias("key"), F.coalesce("html", F.lit("")).alias("html"))
+    sample = first_by_hash(keyed.select("key").distinct(), "key", TRAIN_PAGES)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_blocks(batches, "html"):
+            for key, page in zip(batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                rows = training_blocks(page)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["key", "place", "row"])
+
+    found = keyed.join(F.broadcast(sample), "key").select("key", "html").mapInArrow(learn, "key bigint, place bigint, row array<double>")
+    rows = found.orderBy(F.xxhash64("key", "place"), "row").limit(TRAIN_BLOCKS).select("row").toArrow().column("row").to_pylist()
+    if not rows:
+        return UNTRAINED
+    data = np.array(rows)
+    return logistic(data[:, :-1], data[:, -1])
+
+
+def extract_text(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
     ``text`` is the article: its blocks in page order, white space inside a block turned into single spaces, joined by a
-    line break; empty for null or empty html. Repeated rows stay. A page is one row, whatever its length.
+    line break; empty for null or empty html. Repeated rows stay. A page is one row, whatever its length. ``weights``: of
+    ``fit_blocks``, by default over the same pages.
     """
+    learnt = fit_blocks(pages) if weights is None else weights
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_blocks(batches, "html"):
-            found = [main_text(x) for x in batch.column(2).to_pylist()]
+            found = [main_text(x, learnt) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))

@@ -32,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxledger.llm.common import byte_blocks, cut, first_by_hash, partitions, texts
+from boxledger.llm.common import byte_blocks, cut, first_by_hash, partitions, texts, without_ids
 from boxledger.llm.components import components
 from boxledger.llm.textarrays import Texts, U, mix, row_of, windows
+from boxledger.session import settled
 
 SHINGLE = 3
 PERCENT = 90
@@ -218,6 +220,11 @@ def heavy_shingles(documents: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(found.view(np.uint64)) if len(found) else np.zeros(1, np.uint64)
 
 
+def shingle_order(documents: DataFrame, shingle: int) -> Broadcast:
+    """The heavy shingles, sent to all tasks (at most ``HEAVY_SHINGLES``); None where lists hold blocks."""
+    return documents.sparkSession.sparkContext.broadcast(heavy_shingles(documents, shingle) if shingle >= SINGLE_FROM else None)
+
+
 def bitmaps(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Parity bitmaps of the sets, rows x BITMAP / 64."""
     rows = len(borders) - 1
@@ -230,10 +237,14 @@ def _lists(values: np.ndarray, borders: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(borders.astype(np.int32), values.view(np.int64))
 
 
-def set_table(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(document_id, n_shingles, f1, f2, bits, signatures): size, 128-bit fingerprint and bitmap of the set, and its lists."""
+def set_table(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, heavy: Broadcast | None = None) -> DataFrame:
+    """(document_id, n_shingles, f1, f2, bits, signatures): size, 128-bit fingerprint and bitmap of the set, and its lists.
+
+    ``heavy``: what ``shingle_order`` gives, made here if it is not given. Null and empty texts have no shingles and no
+    lists; rows that share an id, or have none, stay rows of their own.
+    """
     small = boundary(percent)
-    heavy = documents.sparkSession.sparkContext.broadcast(heavy_shingles(documents, shingle) if shingle >= SINGLE_FROM else None)
+    heavy = shingle_order(documents, shingle) if heavy is None else heavy
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_blocks(batches):
@@ -255,12 +266,14 @@ def set_table(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     return ids.mapInArrow(describe, "document_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bits array<bigint>, signatures array<bigint>")
 
 
-def shingle_table(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(document_id, shingles): the sets themselves as sorted arrays of hashes."""
+def shingle_table(documents: DataFrame, shingle: int = SHINGLE, heavy: Broadcast | None = None) -> DataFrame:
+    """(document_id, shingles): the sets themselves as arrays of hashes, in the order of the lists: heavy ones last."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_blocks(batches):
             grams, borders = shingle_sets(Texts(batch.column(1), lower=True), shingle)
+            if heavy is not None and heavy.value is not None:
+                grams = grams[np.lexsort((grams, is_heavy(grams, heavy.value), row_of(borders)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(grams, borders)], names=["document_id", "shingles"])
 
     ids = texts(documents).withColumn("document_id", F.col("document_id").cast("bigint"))
@@ -357,20 +370,33 @@ def difference_candidates(groups: DataFrame, sets: DataFrame, percent: int) -> D
     left = sets.select(F.col("document_id").alias("pivot"), F.col("shingles").alias("c"))
     right = sets.select(F.col("document_id").alias("member"), F.col("shingles").alias("x"))
     rows = groups.join(left, "pivot").join(right, "member")
-    rows = rows.select("pivot", "member", "component", (F.col("component") != F.col("home")).alias("far"), F.size("x").alias("n"), F.size("c").alias("nc"), F.concat(F.array_sort(F.array_except("x", "c")), F.array_sort(F.array_except("c", "x"))).alias("e"))
+    rows = rows.select("pivot", "member", "component", (F.col("component") != F.col("home")).alias("far"), F.size("x").alias("n"), F.size("c").alias("nc"), F.concat(F.array_except("x", "c"), F.array_except("c", "x")).alias("e"))
     d = F.size("e")
     strict = F.floor((d * (100 + percent) + (F.col("nc") - F.col("n")) * (100 - percent)) / F.lit(2 * (100 + percent))) + 1
     near_enough = d - F.floor(F.col("n") * (100 - percent) / F.lit(percent))
     one = F.lit(1)
     short = F.greatest(one, d - F.when(F.col("far"), F.greatest(one, strict, near_enough)).otherwise(F.greatest(one, strict)) + 1)
     wide = F.greatest(one, d - F.greatest(one, near_enough) + 1)
-    rows = cut(rows.where(d > 0).select("pivot", "member", "component", "far", F.slice("e", one, short.cast("int")).alias("short"), F.when(F.col("far"), F.slice("e", one, wide.cast("int"))).alias("wide")))
-    near = rows.where(~F.col("far")).select("pivot", F.col("member").alias("b"), F.explode("short").alias("e"))
-    probes = rows.where("far").select("pivot", F.col("member").alias("a"), F.explode("wide").alias("e"))
-    far = rows.where("far").select("pivot", F.col("member").alias("a"), F.col("component").alias("ca"), F.explode("short").alias("e"))
-    other = far.select("pivot", F.col("a").alias("b"), F.col("ca").alias("cb"), "e")
-    pairs = probes.join(near, ["pivot", "e"]).select("a", "b").unionByName(far.join(other, ["pivot", "e"]).where("ca < cb").select("a", "b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Sizes of linked sets lie in the same or in neighbouring bands of this ratio.
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100.1 / percent))).cast("int")
+    described = ["pivot", "member", "component", "far", "n", d.alias("d"), band.alias("band")]
+    rows = cut(rows.where(d > 0).select(*described, F.slice("e", one, short.cast("int")).alias("short"), F.when(F.col("far"), F.slice("e", one, wide.cast("int"))).alias("wide")))
+
+    def spelled(df: DataFrame, prefix: str, side: str, bands: Column) -> DataFrame:
+        named = df.select("pivot", F.posexplode(prefix).alias("p", "e"), bands.alias("band"), *[F.col(c).alias(f"{side}_{c}") for c in ("member", "component", "n", "d")])
+        return named.select(*[c for c in named.columns if c != "p"], (F.col(f"{side}_d") - F.col("p")).alias(f"{side}_rest"))
+
+    # What two sets must share of their differences: with the first shared element at p and q, at most the rest behind is shared.
+    t = (100 - percent) / (100 + percent)
+    needs = (F.col("x_d") + F.col("y_d") - F.lit(t) * (F.col("x_n") + F.col("y_n"))) / 2
+    fits = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (F.least("x_rest", "y_rest") >= needs - F.lit(1e-6))
+    around = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    far, near = rows.where("far"), rows.where(~F.col("far"))
+    own = far.withColumn("_b", around)
+    probes = spelled(own, "wide", "x", F.col("_b")).join(spelled(near, "short", "y", F.col("band")), ["pivot", "e", "band"]).where(fits)
+    others = spelled(own, "short", "x", F.col("_b")).join(spelled(far, "short", "y", F.col("band")), ["pivot", "e", "band"]).where(fits & (F.col("x_component") < F.col("y_component")))
+    pairs = probes.select("x_member", "y_member").unionByName(others.select("x_member", "y_member"))
+    return pairs.select(F.least("x_member", "y_member").alias("a"), F.greatest("x_member", "y_member").alias("b")).distinct()
 
 
 def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -380,9 +406,15 @@ def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int
     other than 0x20 and 0x09-0x0D, A-Z in lower case; its set holds all distinct ``shingle``-word sequences, or the whole
     sequence when there are fewer words. ``component_id`` is the smallest document_id reachable by links, ``class_id``
     the smallest of those with the same set. Texts without words, or null, link with nothing. Rows that share a
-    document_id are one document with the links of all of them; rows without an id have no component.
+    document_id are one document with the links of all of them; rows without an id have no component. The tables made on
+    the way are deleted once the result is written.
     """
-    sets = cut(set_table(documents, shingle, percent))
+    return settled(documents.sparkSession, lambda: _linked_components(documents, shingle, percent))
+
+
+def _linked_components(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    heavy = shingle_order(documents, shingle)
+    sets = cut(set_table(documents, shingle, percent, heavy))
     real = sets.where((F.col("n_shingles") > 0) & F.col("document_id").isNotNull())
     classes = real.groupBy("f1", "f2").agg(F.min("document_id").alias("class_id"))
     members = real.join(classes, ["f1", "f2"])
@@ -400,7 +432,7 @@ def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int
     everyone = crowded.select("sig", F.col("pivot").alias("member")).unionByName(crowded.select("sig", "member")).distinct()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("document_id"))
     ids = ids.unionByName(everyone.select(F.col("member").alias("document_id"))).distinct()
-    wanted = cut(shingle_table(texts(documents).join(cut(ids), "document_id", "left_semi"), shingle))
+    wanted = cut(shingle_table(texts(documents).join(cut(ids), "document_id", "left_semi"), shingle, heavy))
 
     tested = pairs
     edges = cut(linked(tested, wanted, percent))
@@ -428,7 +460,6 @@ def linked_components(documents: DataFrame, shingle: int = SHINGLE, percent: int
 
 
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``documents`` whose document_id is the smallest of its component, columns unchanged."""
-    found = linked_components(documents, shingle, percent)
-    rest = found.where("document_id <> component_id").select(F.col("document_id").alias("_rest")).distinct()
-    return documents.join(rest, documents["document_id"] == F.col("_rest"), "left_anti")
+    """The rows of ``documents`` whose document_id is the smallest of its component, columns unchanged; rows without an id stay."""
+    found = linked_components(documents.select("document_id", "text"), shingle, percent)
+    return without_ids(documents, found.where("document_id <> component_id"))

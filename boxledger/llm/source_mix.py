@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
 from boxledger.llm.common import byte_blocks, cut, texts
 from boxledger.llm.textarrays import Texts, U, mix, per_row, row_of
@@ -30,6 +30,7 @@ LEAST_ROWS = 20  # of each domain, or all that it has
 MAX_DOMAINS = 200
 ROUNDS = 60
 TOLERANCE = 1e-4
+STILL = 1e-6  # change of the shares in a round at which the optimum is reached
 RIDGE = 1e-3
 SLOW = 0.5  # a round that leaves more of the error than this is slow
 
@@ -153,8 +154,9 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     """Rates for the rows of ``members`` (document_id, n_tokens, posteriors) and the domain shares they lead to.
 
     ``weights``: target share of tokens per domain, in any unit; the total number of tokens is kept. Domains without any
-    tokens are left out of the targets. Rounds end when no domain's share is further than ``tolerance`` from its target.
-    Every row has ``target_share`` and ``reached_share`` of its domain and ``largest_gap``, the distance of the domain that
+    tokens are left out of the targets. Rounds end when no domain's share is further than ``tolerance`` from its target, or
+    when the shares stand still: the ridge and rates that can't be negative may keep the optimum off the targets.
+    ``converged`` is false where ``rounds`` ended before either. Every row has ``target_share`` and ``reached_share`` of its domain and ``largest_gap``, the distance of the domain that
     is furthest from its target: targets that no rates reach show there. Other columns of ``members`` stay.
     """
     k = len(domains)
@@ -184,10 +186,10 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     shares = now / max(tokens, 1.0)
     there = shares > 1e-12
     target = np.array([max(0.0, float(weights.get(d, 0.0))) for d in domains]) * there
-    reached, goal = shares, shares
+    reached, goal, converged = shares, shares, True
     if tokens and target.sum() > 0:
         goal = target = target / target.sum()
-        ahead, t, error = shares, 1.0, np.inf
+        ahead, t, error, converged = shares, 1.0, np.inf, False
         for _ in range(rounds):
             slope = np.round(np.where(there, (ahead - target) / np.where(there, shares, 1), 0.0), 10)
             off = np.abs(ahead - target).max()
@@ -195,8 +197,9 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             next_t = (1 + np.sqrt(1 + 4 * t * t)) / 2 if error * SLOW < off < error else 1.0
             history.append((slope, (t - 1) / next_t))
             t, error = max(next_t, 1.0), off
-            ahead = totals(history, True)[0] / tokens
-            if np.abs(ahead - target).max() <= tolerance:
+            before, ahead = ahead, totals(history, True)[0] / tokens
+            converged = bool(np.abs(ahead - target).max() <= tolerance or np.abs(ahead - before).max() <= STILL)
+            if converged:
                 break
         # The look-ahead point that was measured is the last step.
         if history:
@@ -211,15 +214,16 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             if batch.num_rows:
                 p = _posteriors(batch, k)
                 best = p.argmax(1)
-                numbers = [replay(p, history, ridge)[0], goal[best], reached[best], np.full(len(p), gap)]
+                numbers = [replay(p, history, ridge)[0], goal[best], reached[best], np.full(len(p), gap), np.full(len(p), converged)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(p.max(1)), batch.column(2), *map(pa.array, numbers), *batch.columns[3:]],
-                    names=[*schema.names[:9], *batch.schema.names[3:]],
+                    names=[*schema.names[:10], *batch.schema.names[3:]],
                 )
 
     schema = StructType().add("document_id", LongType()).add("n_tokens", LongType()).add("domain", StringType()).add("p_domain", DoubleType()).add("posteriors", ArrayType(DoubleType()))
     for name in ("rate", "target_share", "reached_share", "largest_gap"):
         schema = schema.add(name, DoubleType())
+    schema = schema.add("converged", BooleanType())
     for field in more:
         schema = schema.add(field)
     rates = members.select("document_id", "n_tokens", "posteriors", *[f.name for f in more]).mapInArrow(rate, schema)
@@ -227,7 +231,7 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
 
 
 def mix_sources(documents: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
-    """(document_id, n_tokens, domain, p_domain, posteriors, rate, target_share, reached_share, largest_gap) for every row.
+    """(document_id, n_tokens, domain, p_domain, posteriors, rate, target_share, reached_share, largest_gap, converged) for every row.
 
     ``documents``: document_id, text (recognised text of a form document); ``labelled``: document_id, text, domain (the
     form family, supplier or language). ``rate`` says how often a document should be seen so that the expected tokens of

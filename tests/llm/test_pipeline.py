@@ -47,3 +47,23 @@ def test_mix_keeps_documents_of_rate_zero_and_without_id(spark, monkeypatch):
     assert sorted((str(tuple(r)[:5]) for r in got)) == sorted(str(r) for r in rows)
     assert any(r.rate == 0 for r in got)
     assert all(r.largest_gap > 0.02 and abs(r.target_share - 1 / 3) < 1e-6 for r in got)
+
+
+def test_stages_take_repeated_rows_and_clashing_names(spark, tmp_path):
+    """Extra columns whose names the operators use, rows given twice, null ids and texts: every stage writes its result."""
+    names = ["document_id", "kept", "kept_columns", "_rest", "_found", "class_id", "component_id", "rate", "domain", "n_tokens", "largest_gap", "n_lines", "score"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    plain = docs.unionByName(docs.limit(20)).unionByName(docs.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars"))
+    plain = plain.unionByName(docs.limit(1).selectExpr("900000 AS doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars"))
+    docs = plain.selectExpr("*", *[f"concat('extra ', doc_id) AS {n}" for n in names])
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        given = docs.count()
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert 0 < docs.count() <= given
+        if name != "mix":
+            assert docs.columns == columns
+    rows = docs.collect()
+    assert docs.columns == [c for c in columns if c not in corpus_pipeline.MIXED] + corpus_pipeline.MIXED
+    assert all(r.document_id == (None if r.doc_id is None else f"extra {r.doc_id}") for r in rows)
