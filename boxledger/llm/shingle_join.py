@@ -17,7 +17,8 @@ Equal sets form classes first; one document stands for each class. Two different
 
 Lists give candidates. A candidate pair first meets a bitmap of both sets, each bit the parity of the elements that fall on
 it: linked sets differ in no more bits than elements. What passes is checked on the whole sets. Short lists give all their
-pairs. The members of a long list first meet its smallest member; lists whose members are then still in several components
+pairs. The members of a long list first meet its smallest member; lists whose members are then still in several components are
+cut by size, as linked sets differ little in it. Parts that are short then give all their pairs; the members of the others
 meet a central member, the pivot, and what is left is joined on the differences E = A ^ pivot: as ``|A ^ B| = |E_A ^ E_B|``,
 two members that do not both link with the pivot can link only if they share a good part of their differences, so short
 prefixes of the differences are all that has to meet. A crowd of texts that stem from one template and are too far from
@@ -348,6 +349,18 @@ def _split_lists(everyone: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(own.join(split, "sig"))
 
 
+def band_of(n: Column, percent: int) -> Column:
+    """Size band: sizes of linked sets lie in the same or in neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(math.log(100.1 / percent))).cast("int")
+
+
+def _size_bands(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The lists cut by size: each member goes to the part of its band and to the next one, where smaller partners may be."""
+    sized = own.join(sets.select(F.col("document_id").alias("member"), "n_shingles"), "member")
+    band = band_of(F.col("n_shingles"), percent)
+    return sized.select("sig", "member", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("sig", "band").alias("sig"), "member").distinct()
+
+
 def _central(own: DataFrame) -> DataFrame:
     """(sig, pivot): the member of each list that shares most list places with others."""
     sizes = own.groupBy("sig").agg(F.count("*").alias("size"))
@@ -377,8 +390,7 @@ def difference_candidates(groups: DataFrame, sets: DataFrame, percent: int) -> D
     one = F.lit(1)
     short = F.greatest(one, d - F.when(F.col("far"), F.greatest(one, strict, near_enough)).otherwise(F.greatest(one, strict)) + 1)
     wide = F.greatest(one, d - F.greatest(one, near_enough) + 1)
-    # Sizes of linked sets lie in the same or in neighbouring bands of this ratio.
-    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100.1 / percent))).cast("int")
+    band = band_of(F.col("n"), percent)
     described = ["pivot", "member", "component", "far", "n", d.alias("d"), band.alias("band")]
     rows = cut(rows.where(d > 0).select(*described, F.slice("e", one, short.cast("int")).alias("short"), F.when(F.col("far"), F.slice("e", one, wide.cast("int"))).alias("wide")))
 
@@ -428,27 +440,36 @@ def _linked_components(documents: DataFrame, shingle: int, percent: int) -> Data
     stars = lists.select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     pairs = cut(plausible(stars.unionByName(within).distinct(), narrow, percent))
 
-    # Only documents of such pairs and of crowded lists are read again, for their whole sets.
-    everyone = crowded.select("sig", F.col("pivot").alias("member")).unionByName(crowded.select("sig", "member")).distinct()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("document_id"))
-    ids = ids.unionByName(everyone.select(F.col("member").alias("document_id"))).distinct()
-    wanted = cut(shingle_table(texts(documents).join(cut(ids), "document_id", "left_semi"), shingle, heavy))
+    def whole_sets(ids: DataFrame) -> DataFrame:
+        """The sets of some documents, whose texts are read again for them."""
+        wanted = cut(ids.select(F.col(ids.columns[0]).alias("document_id")).distinct())
+        return cut(shingle_table(texts(documents).join(wanted, "document_id", "left_semi"), shingle, heavy))
+
+    def both(found: DataFrame) -> DataFrame:
+        return found.select(F.explode(F.array("a", "b")).alias("document_id"))
 
-    tested = pairs
-    edges = cut(linked(tested, wanted, percent))
+    edges = cut(linked(pairs, whole_sets(both(pairs)), percent))
     labels = components(edges)
+    everyone = crowded.select("sig", F.col("pivot").alias("member")).unionByName(crowded.select("sig", "member")).distinct()
     own = _split_lists(everyone, labels)
     if not own.isEmpty():
-        pivots = cut(_central(own))
-        met = own.join(pivots, "sig").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
-        met = met.where(F.col("component") != F.coalesce("home", "pivot")).select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b")).distinct()
-        met = cut(plausible(met.join(tested, ["a", "b"], "left_anti"), narrow, percent))
-        tested = tested.unionByName(met)
+        own = _split_lists(_size_bands(own, narrow, percent), labels)
+        counts = own.groupBy("sig").agg(F.count("*").alias("size"))
+        sized = cut(own.join(counts, "sig"))
+        few, many = sized.where(F.col("size") <= SHORT_LIST), sized.where(F.col("size") > SHORT_LIST).drop("size")
+        left, right = few.select("sig", F.col("member").alias("a"), F.col("component").alias("ca")), few.select("sig", F.col("member").alias("b"), F.col("component").alias("cb"))
+        together = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+        pivots = cut(_central(many))
+        met = many.join(pivots, "sig").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+        met = met.where(F.col("component") != F.coalesce("home", "pivot")).select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b"))
+        met = cut(plausible(met.unionByName(together).distinct().join(pairs, ["a", "b"], "left_anti"), narrow, percent))
+        tested = pairs.unionByName(met)
+        wanted = whole_sets(both(met).unionByName(many.select(F.col("member").alias("document_id"))))
         edges = edges.unionByName(cut(linked(met, wanted, percent)))
         labels = components(edges)
-        own = _split_lists(own.select("sig", "member"), labels)
+        many = _split_lists(many.select("sig", "member"), labels)
         homes = labels.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
-        groups = own.join(pivots, "sig").select("pivot", "member", "component").distinct().join(homes, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
+        groups = many.join(pivots, "sig").select("pivot", "member", "component").distinct().join(homes, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
         rest = difference_candidates(groups, wanted, percent).join(tested, ["a", "b"], "left_anti")
         more = cut(linked(cut(plausible(rest, narrow, percent)), wanted, percent))
         if not more.isEmpty():
