@@ -24,6 +24,30 @@ _PX = {"x": 1, "y": 2, "width": 3, "height": 4}
 _AFF = {"scaleX": 1, "scaleY": 1, "translateX": 0.1, "translateY": 0}
 _HOLE = "@@"  # the part that is missing in some artifacts
 
+_REL = {"xRatio": 0.1, "yRatio": 0.1, "wRatio": 0.5, "hRatio": 0.5}
+
+
+def _structural(mode="opencv-runtime", edge=0.2, threshold=9) -> dict:
+    to_edge = {"relativeFieldRect": _REL, "distanceToEdge": 0.1}
+    anchors = {
+        "objectAnchors": [{"rank": "primary", "objectId": "o", "relativeFieldRect": _REL}], "stableObjectAnchors": [{"label": "A", "objectId": "o", "distance": 0.1, "relativeFieldRect": _REL}],
+        "refinedBorderAnchor": to_edge, "borderAnchor": to_edge,
+    }
+    relation = {"fromObjectId": "o", "toObjectId": "o2", "relationKind": "near", "relativeRect": _REL, "fallbackOrder": 0}
+    field = {
+        "fieldId": "a", "fieldAnchors": anchors, "objectAnchorGraph": [{"fromAnchor": "A", "toAnchor": "B", **relation}], "containedBy": None, "nearestObjects": [{"objectId": "o", "distance": 0.1}],
+        "relativePositionWithinParent": None, "distanceToBorder": edge, "distanceToRefinedBorder": 0.1,
+    }
+    node = {"objectId": "o", "objectRectNorm": _RECT, "bbox": _RECT, "parentObjectId": None, "childObjectIds": [], "confidence": 0.9, "depth": 0}
+    page = {
+        "pageIndex": 0, "pageSurface": {"pageIndex": 0, "surfaceWidth": 10, "surfaceHeight": 10}, "cvExecutionMode": mode, "border": {"rectNorm": _RECT},
+        "refinedBorder": {"rectNorm": _RECT, "cvContentRectNorm": _RECT, "source": "cv-content", "influencedByBBoxCount": 0, "containsAllSavedBBoxes": True}, "objectHierarchy": {"objects": [node]},
+        "pageAnchorRelations": {"objectToObject": [{**relation, "distance": 0.2}], "objectToRefinedBorder": [{"objectId": "o", "relativeRect": _REL}], "refinedBorderToBorder": {"relativeRect": _REL}}, "fieldRelationships": [field],
+    }
+    profile = {"adaptiveThresholdC": threshold, "cannyAutoSigma": 0.33, "darkPageNormalizedThresholdFloor": 4.5, "acceptRoundedRectanglesAsConfirmed": True}
+    return {"structureVersion": "boxledger/structure/v3", "id": "s", "documentFingerprint": "f", "createdAtIso": "t", "cvAdapter": {"name": "n", "version": "1"}, "cvSensitivityValues": profile, "pages": [page]}
+
+
 # Valid documents per kind with the breakable value, and the rule its absence breaks.
 DOCS = {
     "wizard": ({"wizardName": "w", "fields": [{"fieldId": "a", "label": "A", "type": _HOLE, "required": True}]}, '"text"', "type"),
@@ -33,12 +57,7 @@ DOCS = {
         '"user"', "confirmer",
     ),
     "page": ({"pageIndex": 0, "width": _HOLE, "height": 10, "aspectRatio": 1.25, "sourceName": "s", "normalization": {"pipelineVersion": "1.0", "boundary": "intake-raster-only"}}, "12.5", "numbers"),
-    "structural": (
-        {"structureVersion": "v", "id": "s", "documentFingerprint": "f", "pages": [{"pageIndex": 0, "cvExecutionMode": _HOLE, "refinedBorder": {"rectNorm": _RECT, "cvContentRectNorm": _RECT, "source": "cv-content"},
-         "objectHierarchy": {"objects": [{"objectId": "o", "objectRectNorm": _RECT, "parentObjectId": None, "childObjectIds": [], "confidence": 0.9, "depth": 0}]},
-         "fieldRelationships": [{"fieldId": "a", "fieldAnchors": {"objectAnchors": [{"rank": "primary", "objectId": "o"}], "stableObjectAnchors": [{"label": "A", "objectId": "o", "distance": 0.1}]}}]}]},
-        '"opencv-runtime"', "mode",
-    ),
+    "structural": (_structural(mode=_HOLE), '"opencv-runtime"', "mode"),
     "transformation": (
         {"id": "t", "overallConfidence": 0.5, "pages": [{"pageIndex": 0, "objectMatches": [{"configObjectId": "a", "runtimeObjectId": "b", "confidence": 0.9, "basis": ["parent-chain"], "transform": _AFF, "notes": [], "warnings": []}],
          "levelSummaries": [{"level": _HOLE, "transform": None, "confidence": 0}], "fieldAlignments": [{"fieldId": "a", "candidates": [{"source": "border", "fallbackOrder": 0, "confidence": 1}]}]}]},
@@ -64,6 +83,11 @@ DOCS = {
     "extraction": ({"id": "e", "wizardId": "w", "documentFingerprint": "f", "generatedAtIso": "t", "fields": [{"fieldId": "a", "value": "v", "confidence": _HOLE, "source": "localized-ocr"}]}, "0.5", "confidence"),
 }
 IDS = {k: f"V{i}" for i, k in enumerate(DOCS, 1)}
+# Further parts of a kind that may be broken.
+MORE = {
+    "legacy_fields": ("structural", (_structural(edge=_HOLE), "0.25", "legacy")),
+    "sensitivity_profile": ("structural", (_structural(threshold=_HOLE), "7.5", "profile")),
+}
 
 
 def _wrong(good: str) -> str:
@@ -75,8 +99,8 @@ def _wrong(good: str) -> str:
 TYPE_ONLY = ("geometry", "masterdb")
 
 
-def _artifact_sql(kind: str) -> str:
-    body, good, _ = DOCS[kind]
+def _artifact_sql(kind: str, part: tuple) -> str:
+    body, good, _ = part
     name, version = C.TAGS[kind]
     text = json.dumps({"schema": "##", "version": version, **body}, separators=(",", ":"))
     head, rest = text.split("##")
@@ -92,12 +116,12 @@ def _artifact_sql(kind: str) -> str:
     )
 
 
-for _kind in DOCS:
-    fixtures.SQL[f"fx_art_{_kind}"] = _artifact_sql(_kind)
-    _rule = DOCS[_kind][2]
+for _name, (_kind, _part) in {**{k: (k, d) for k, d in DOCS.items()}, **MORE}.items():
+    fixtures.SQL[f"fx_art_{_name}"] = _artifact_sql(_kind, _part)
+    _rule = _part[2]
     add(
-        f"{IDS[_kind]}_validate_{_kind}",
-        lambda s, sf, k=_kind: C.violations(fx(f"fx_art_{k}")(s, sf), k),
+        f"{IDS[_kind]}_validate_{_name}",
+        lambda s, sf, k=_kind, n=_name: C.violations(fx(f"fx_art_{n}")(s, sf), k),
         f"""SELECT concat('{_kind}-', o_orderkey) AS artifact_id, r.rule FROM orders JOIN (VALUES ('parse'), ('tag'), ('types'), ('{_rule}')) AS r(rule)
           ON (o_orderkey % 23 = 0 AND r.rule = 'parse') OR (o_orderkey % 23 <> 0 AND ((o_orderkey % 9 = 0 AND r.rule = 'tag') OR (o_orderkey % 7 = 0 AND r.rule = '{_rule}')
             OR (o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 AND r.rule IN ('types', {"''" if _kind in TYPE_ONLY else f"'{_rule}'"}))))""",
@@ -116,6 +140,26 @@ add(
 )
 
 
+# One file for each issuer.
+fixtures.SQL["fx_art_files"] = _artifact_sql("wizard", DOCS["wizard"]).replace("o_orderkey", "s_suppkey").replace("{orders}", "{supplier}")
+
+
+def _from_files(s, sf):
+    """Every artifact is a file of its own; what is told of a file goes by its folder, named after the artifact."""
+    path = f"{shared_dir(s)}/artifacts-{uuid.uuid4().hex}"
+    fx("fx_art_files")(s, sf).select(F.col("artifact_id").alias("artifact"), F.col("text").alias("value")).write.partitionBy("artifact").text(path)
+    valid, rejected = C.read_artifacts(s, f"{path}/*", "wizard")
+    told = valid.select("artifact_id", F.lit("valid").alias("outcome")).union(rejected.select("artifact_id", "reason"))
+    return told.select(F.regexp_extract("artifact_id", "artifact=([^/]+)", 1).alias("artifact_id"), "outcome")
+
+
+add(
+    "S1_artifact_per_file",
+    _from_files,
+    """SELECT concat('wizard-', s_suppkey) AS artifact_id, CASE WHEN s_suppkey % 23 = 0 THEN 'could not parse' WHEN s_suppkey % 9 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 THEN 'invalid schema' ELSE 'valid' END AS outcome FROM supplier""",
+)
+
+
 def _rewritten(s, sf):
     """Valid artifacts written as JSON again must equal the text they were read from."""
     valid, _ = C.split_artifacts(fx("fx_art_wizard")(s, sf), "wizard")

@@ -6,8 +6,10 @@ not true. Rules are column expressions, so checking a folder of artifacts is one
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,11 +53,39 @@ _REL = "struct<xRatio:double,yRatio:double,wRatio:double,hRatio:double>"
 _AFF = "struct<scaleX:double,scaleY:double,translateX:double,translateY:double>"
 _W = "struct<count:double,totalWeight:double,mean:double,m2:double>"
 
+
+
+def _structural_schema() -> str:
+    anchor = f"struct<relativeFieldRect:{_REL},distanceToEdge:double>"
+    anchors = (
+        f"struct<objectAnchors:array<struct<rank:string,objectId:string,relativeFieldRect:{_REL}>>,"
+        f"stableObjectAnchors:array<struct<label:string,objectId:string,distance:double,relativeFieldRect:{_REL}>>,refinedBorderAnchor:{anchor},borderAnchor:{anchor}>"
+    )
+    graph = f"array<struct<fromAnchor:string,toAnchor:string,fromObjectId:string,toObjectId:string,relationKind:string,fallbackOrder:double,relativeRect:{_REL}>>"
+    legacy = (
+        "containedBy:string,nearestObjects:array<struct<objectId:string,distance:double>>,"
+        "relativePositionWithinParent:struct<xRatio:double,yRatio:double,widthRatio:double,heightRatio:double>,distanceToBorder:double,distanceToRefinedBorder:double"
+    )
+    relations = (
+        f"struct<objectToObject:array<struct<fromObjectId:string,toObjectId:string,relationKind:string,relativeRect:{_REL},fallbackOrder:double,distance:double>>,"
+        f"objectToRefinedBorder:array<struct<objectId:string,relativeRect:{_REL}>>,refinedBorderToBorder:struct<relativeRect:{_REL}>>"
+    )
+    objects = f"array<struct<objectId:string,objectRectNorm:{_RECT},bbox:{_RECT},parentObjectId:string,childObjectIds:array<string>,confidence:double,depth:double>>"
+    page = (
+        f"struct<pageIndex:double,pageSurface:{_SURFACE},cvExecutionMode:string,border:struct<rectNorm:{_RECT}>,"
+        f"refinedBorder:struct<rectNorm:{_RECT},cvContentRectNorm:{_RECT},source:string,influencedByBBoxCount:double,containsAllSavedBBoxes:boolean>,"
+        f"objectHierarchy:struct<objects:{objects}>,pageAnchorRelations:{relations},"
+        f"fieldRelationships:array<struct<fieldId:string,fieldAnchors:{anchors},objectAnchorGraph:{graph},{legacy}>>>"
+    )
+    profile = "struct<adaptiveThresholdC:double,cannyAutoSigma:double,darkPageNormalizedThresholdFloor:double,acceptRoundedRectanglesAsConfirmed:boolean>"
+    return f"schema string, version string, structureVersion string, id string, documentFingerprint string, createdAtIso string, cvAdapter struct<name:string,version:string>, cvSensitivityValues {profile}, pages array<{page}>"
+
+
 SCHEMAS = {
     "wizard": "schema string, version string, wizardName string, fields array<struct<fieldId:string,label:string,type:string,required:boolean>>",
     "geometry": f"schema string, version string, geometryFileVersion string, id string, wizardId string, documentFingerprint string, fields array<struct<fieldId:string,pageIndex:double,bbox:{_RECT},pixelBbox:{_PX},pageSurface:{_SURFACE},confirmedAtIso:string,confirmedBy:string>>",
     "page": "schema string, version string, pageIndex double, width double, height double, aspectRatio double, sourceName string, normalization struct<pipelineVersion:string,boundary:string>",
-    "structural": f"schema string, version string, structureVersion string, id string, documentFingerprint string, pages array<struct<pageIndex:double,cvExecutionMode:string,refinedBorder:struct<rectNorm:{_RECT},cvContentRectNorm:{_RECT},source:string>,objectHierarchy:struct<objects:array<struct<objectId:string,objectRectNorm:{_RECT},parentObjectId:string,childObjectIds:array<string>,confidence:double,depth:double>>>,fieldRelationships:array<struct<fieldId:string,fieldAnchors:struct<objectAnchors:array<struct<rank:string,objectId:string,relativeFieldRect:{_REL}>>,stableObjectAnchors:array<struct<label:string,objectId:string,distance:double>>>>>>>",
+    "structural": _structural_schema(),
     "transformation": f"schema string, version string, id string, overallConfidence double, pages array<struct<pageIndex:double,objectMatches:array<struct<configObjectId:string,runtimeObjectId:string,confidence:double,basis:array<string>,transform:{_AFF},notes:array<string>,warnings:array<string>>>,levelSummaries:array<struct<level:string,transform:{_AFF},confidence:double>>,fieldAlignments:array<struct<fieldId:string,candidates:array<struct<source:string,fallbackOrder:double,confidence:double>>>>>>",
     "predicted": f"schema string, version string, geometryFileVersion string, id string, wizardId string, fields array<struct<fieldId:string,pageIndex:double,bbox:{_RECT},pixelBbox:{_PX},anchorTierUsed:string,transform:struct<pageIndex:double,basis:string,sourceConfigRectNorm:{_RECT},sourceRuntimeRectNorm:{_RECT},scaleX:double,scaleY:double,translateX:double,translateY:double,objectMatchStrategy:string>,warnings:array<string>>>",
     "readings": f"schema string, version string, id string, wizardId string, documentFingerprint string, bboxSource string, sourceArtifactId string, generatedAtIso string, fields array<struct<fieldId:string,pageIndex:double,text:string,confidence:double,status:string,errorMessage:string,bboxUsed:{_RECT},bboxPaddingNorm:double>>",
@@ -78,6 +108,10 @@ def _rect(r: Column) -> Column:
     return _finite(r["xNorm"]) & _finite(r["yNorm"]) & _finite(r["wNorm"]) & _finite(r["hNorm"])
 
 
+def _ratios(r: Column) -> Column:
+    return _finite(r["xRatio"]) & _finite(r["yRatio"]) & _finite(r["wRatio"]) & _finite(r["hRatio"])
+
+
 def _all(items: Column, rule: Callable[[Column], Column]) -> Column:
     """An array whose every item satisfies the rule; a missing array does not."""
     return items.isNotNull() & F.forall(items, lambda x: F.coalesce(rule(x), F.lit(False)))
@@ -93,33 +127,63 @@ def _prefix_of(items: Column, names: tuple[str, ...]) -> Column:
     return (n >= 1) & (n <= len(names)) & (items == F.slice(F.array(*[F.lit(x) for x in names]), F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(len(names)))))
 
 
-def _typed(value: Column, wanted: T.DataType, path: str = "") -> Column:
-    """Whether a JSON value (variant) has exactly the wanted type all the way down; JSON null and missing parts pass,
-    as other rules decide what may be missing. An extracted value may be any scalar."""
-    name = F.schema_of_variant(value)
-    if path == "fields[].value":
-        fits = ~(name.startswith("OBJECT") | name.startswith("ARRAY"))
+_SCALAR = re.compile(r"[A-Z][A-Z_ ]*(?:\(\d+, ?\d+\))?")
+_KEY = re.compile(r"`((?:[^`]|``)*)`: |([^`:<>, ]+): ")
+ANY = None  # of which any type will do
+
+
+def _walk(shape: str, at: int, wanted: T.DataType | None) -> tuple[bool, int]:
+    """Whether the type that begins at ``at`` fits, and where it ends. ``shape`` is what ``schema_of_variant`` says."""
+    if shape.startswith("OBJECT<", at):
+        fits, at = wanted is ANY or isinstance(wanted, (T.StructType, T.MapType)), at + 7
+        while shape[at] != ">":
+            key = _KEY.match(shape, at)
+            name = key[2] if key[1] is None else key[1].replace("``", "`")
+            inner = wanted.valueType if isinstance(wanted, T.MapType) else wanted[name].dataType if isinstance(wanted, T.StructType) and name in wanted.names else ANY
+            good, at = _walk(shape, key.end(), inner)
+            fits, at = fits and good, at + 2 * shape.startswith(", ", at)
+        return fits, at + 1
+    if shape.startswith("ARRAY<", at):
+        good, at = _walk(shape, at + 6, wanted.elementType if isinstance(wanted, T.ArrayType) else ANY)
+        return (wanted is ANY or isinstance(wanted, T.ArrayType)) and good, at + 1
+    name = _SCALAR.match(shape, at)
+    kind = name[0]
+    if kind == "VOID" or wanted is ANY:
+        fits = True
     elif isinstance(wanted, T.StringType):
-        fits = name == "STRING"
+        fits = kind == "STRING"
     elif isinstance(wanted, T.BooleanType):
-        fits = name == "BOOLEAN"
-    elif isinstance(wanted, T.DoubleType):
-        fits = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
-    elif isinstance(wanted, T.ArrayType):
-        items = F.try_variant_get(value, "$", "array<variant>")
-        fits = name.startswith("ARRAY") & F.forall(items, lambda x: _typed(x, wanted.elementType, f"{path}[]"))
-    elif isinstance(wanted, T.MapType):
-        items = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-        fits = name.startswith("OBJECT") & F.forall(items, lambda x: _typed(x, wanted.valueType, f"{path}{{}}"))
+        fits = kind == "BOOLEAN"
     else:
-        fits = name.startswith("OBJECT")
-        for f in wanted.fields:
-            fits = fits & _typed(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType, f"{path}.{f.name}".lstrip("."))
-    return value.isNull() | F.is_variant_null(value) | F.coalesce(fits, F.lit(False))
+        fits = isinstance(wanted, T.DoubleType) and (kind in ("BIGINT", "DOUBLE", "FLOAT") or kind.startswith("DECIMAL"))
+    return fits, name.end()
+
+
+def fits_type(shape: str, wanted: T.DataType) -> bool:
+    """Whether a JSON document of this shape has the contract's type in every part; JSON null and missing parts pass."""
+    return _walk(shape, 0, wanted)[0]
+
+
+def _typed(json: Column, kind: str, wanted: T.StructType) -> Column:
+    """One walk of the document gives its shape; each different shape is compared with the contract once a batch."""
+    if kind == "extraction":  # an extracted value may be any scalar
+        fields = next(f for f in wanted.fields if f.name == "fields").dataType.elementType
+        wanted = T.StructType([f if f.name != "fields" else T.StructField("fields", T.ArrayType(T.StructType([x for x in fields.fields if x.name != "value"]))) for f in wanted.fields])
+
+    @F.pandas_udf("boolean")
+    def fits(shapes: pd.Series) -> pd.Series:
+        known = {x: fits_type(x, wanted) for x in shapes.dropna().unique()}
+        return shapes.map(lambda x: known.get(x, False))
+
+    good = fits(F.schema_of_variant(json))
+    if kind == "extraction":
+        values = F.transform(F.try_variant_get(json, "$.fields", "array<variant>"), lambda f: F.schema_of_variant(F.try_variant_get(f, "$.value", "variant")))
+        good = good & ~F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v.startswith("OBJECT") | v.startswith("ARRAY"), F.lit(False)))
+    return F.coalesce(good, F.lit(False))
 
 
 def rules(kind: str, namespace: str = NAMESPACE) -> dict[str, Column]:
-    """Rule name to condition over the parsed columns."""
+    """Rule name to condition over the parsed columns. A part that may be null counts as null where it is missing."""
     schema, version = TAGS[kind]
     c = F.col
     out = {"tag": (c("schema") == f"{namespace}/{schema}") & (c("version") == version)}
@@ -139,11 +203,39 @@ def rules(kind: str, namespace: str = NAMESPACE) -> dict[str, Column]:
         out["boundary"] = c("normalization.boundary") == "intake-raster-only"
         out["pipeline"] = c("normalization.pipelineVersion") == "1.0"
     elif kind == "structural":
-        out["ids"] = c("id").isNotNull() & c("documentFingerprint").isNotNull()
-        out["frames"] = _all(c("pages"), lambda p: _rect(p["refinedBorder"]["rectNorm"]) & _rect(p["refinedBorder"]["cvContentRectNorm"]) & _one_of(p["refinedBorder"]["source"], BORDER_SOURCES))
+        out["version-tag"] = c("structureVersion") == f"{namespace}/structure/v3"
+        out["ids"] = c("id").isNotNull() & c("documentFingerprint").isNotNull() & c("createdAtIso").isNotNull() & c("cvAdapter.name").isNotNull() & c("cvAdapter.version").isNotNull()
+        out["surface"] = _all(c("pages"), lambda p: _finite(p["pageIndex"]) & _finite(p["pageSurface"]["pageIndex"]) & _finite(p["pageSurface"]["surfaceWidth"]) & _finite(p["pageSurface"]["surfaceHeight"]))
+        out["frames"] = _all(c("pages"), lambda p: _rect(p["border"]["rectNorm"]) & _rect(p["refinedBorder"]["rectNorm"]) & _rect(p["refinedBorder"]["cvContentRectNorm"]) & _one_of(p["refinedBorder"]["source"], BORDER_SOURCES) & _finite(p["refinedBorder"]["influencedByBBoxCount"]) & p["refinedBorder"]["containsAllSavedBBoxes"].isNotNull())
         out["mode"] = _all(c("pages"), lambda p: _one_of(p["cvExecutionMode"], CV_MODES))
-        out["objects"] = _all(c("pages"), lambda p: _all(p["objectHierarchy"]["objects"], lambda o: o["objectId"].isNotNull() & _rect(o["objectRectNorm"]) & _finite(o["confidence"]) & _strings(o["childObjectIds"])))
-        out["anchors"] = _all(c("pages"), lambda p: _all(p["fieldRelationships"], lambda f: _prefix_of(f["fieldAnchors"]["objectAnchors"]["rank"], ANCHOR_RANKS) & _prefix_of(f["fieldAnchors"]["stableObjectAnchors"]["label"], ANCHOR_LABELS)))
+        out["objects"] = _all(c("pages"), lambda p: _all(p["objectHierarchy"]["objects"], lambda o: o["objectId"].isNotNull() & _rect(o["objectRectNorm"]) & _rect(o["bbox"]) & _finite(o["confidence"]) & _finite(o["depth"]) & _strings(o["childObjectIds"])))
+
+        def related(r: Column) -> Column:
+            return _one_of(r["relationKind"], RELATION_KINDS) & _finite(r["fallbackOrder"]) & _ratios(r["relativeRect"]) & r["fromObjectId"].isNotNull() & r["toObjectId"].isNotNull()
+
+        def to_frames(r: Column) -> Column:
+            return _all(r["objectToRefinedBorder"], lambda x: x["objectId"].isNotNull() & _ratios(x["relativeRect"])) & _ratios(r["refinedBorderToBorder"]["relativeRect"])
+
+        out["relations"] = _all(c("pages"), lambda p: _all(p["pageAnchorRelations"]["objectToObject"], lambda x: related(x) & _finite(x["distance"])) & to_frames(p["pageAnchorRelations"]))
+
+        def anchored(f: Column) -> Column:
+            a = f["fieldAnchors"]
+            named = _prefix_of(a["objectAnchors"]["rank"], ANCHOR_RANKS) & _prefix_of(a["stableObjectAnchors"]["label"], ANCHOR_LABELS)
+            placed = _all(a["objectAnchors"], lambda x: x["objectId"].isNotNull() & _ratios(x["relativeFieldRect"])) & _all(a["stableObjectAnchors"], lambda x: x["objectId"].isNotNull() & _finite(x["distance"]) & _ratios(x["relativeFieldRect"]))
+            edges = _ratios(a["refinedBorderAnchor"]["relativeFieldRect"]) & _finite(a["refinedBorderAnchor"]["distanceToEdge"]) & _ratios(a["borderAnchor"]["relativeFieldRect"]) & _finite(a["borderAnchor"]["distanceToEdge"])
+            graph = _all(f["objectAnchorGraph"], lambda x: related(x) & _one_of(x["fromAnchor"], ANCHOR_LABELS) & _one_of(x["toAnchor"], ANCHOR_LABELS))
+            return f["fieldId"].isNotNull() & named & placed & edges & graph
+
+        out["anchors"] = _all(c("pages"), lambda p: _all(p["fieldRelationships"], anchored))
+
+        def legacy(f: Column) -> Column:
+            place = f["relativePositionWithinParent"]
+            inside = place.isNull() | (_finite(place["xRatio"]) & _finite(place["yRatio"]) & _finite(place["widthRatio"]) & _finite(place["heightRatio"]))
+            return _all(f["nearestObjects"], lambda x: x["objectId"].isNotNull() & _finite(x["distance"])) & inside & _finite(f["distanceToBorder"]) & _finite(f["distanceToRefinedBorder"])
+
+        out["legacy"] = _all(c("pages"), lambda p: _all(p["fieldRelationships"], legacy))
+        sensitivity = c("cvSensitivityValues")
+        out["profile"] = sensitivity.isNull() | (_finite(sensitivity["adaptiveThresholdC"]) & _finite(sensitivity["cannyAutoSigma"]) & _finite(sensitivity["darkPageNormalizedThresholdFloor"]))
     elif kind == "transformation":
         out["confidence"] = _finite(c("overallConfidence"))
         out["matches"] = _all(c("pages"), lambda p: _all(p["objectMatches"], lambda m: _all(m["basis"], lambda b: _one_of(b, BASES)) & _finite(m["confidence"]) & _strings(m["notes"]) & _strings(m["warnings"])))
@@ -192,7 +284,7 @@ def parse(raw: DataFrame, kind: str) -> DataFrame:
     doc = F.from_json("text", SCHEMAS[kind])
     json = raw.withColumn("doc", doc).withColumn("_json", F.try_parse_json("text"))
     parsed = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
-    typed = _typed(F.col("_json"), json.schema["doc"].dataType)
+    typed = _typed(F.col("_json"), kind, json.schema["doc"].dataType)
     return json.withColumn("parsed", parsed).withColumn("typed", typed).drop("_json")
 
 
