@@ -238,9 +238,9 @@ def tmpl_frames(s, sf):
     return f.select(*TPL, F.col("c_cv").alias("c_refined"), "c_cv", F.lit("cv-content").alias("c_source"), R.full_page().alias("c_border"))
 
 
-def rt_frames(s, sf):
+def rt_frames(s, sf, objects=None):
     """Documents of a few customers have no usable content and fall back to the full page."""
-    f = rt_flat(s, sf).groupBy(*PAGE).agg(R.union_agg(F.col("r")).alias("_u"))
+    f = (rt_flat(s, sf) if objects is None else objects).groupBy(*PAGE).agg(R.union_agg(F.col("r")).alias("_u"))
     full = F.col("doc_id") % 10 == 3
     frame = F.when(full, R.full_page()).otherwise(F.col("_u"))
     return f.select(
@@ -405,7 +405,7 @@ def root_scores(s, sf):
     return p.withColumn("score", F.round(M.weighted_score(M.CROSS_DOCUMENT, F.col("s_parent")), 9))
 
 
-_ROOT_SQL = f"""{PAIRS_SQL}, rs AS (SELECT doc_id, template_id, page_index, config_id, runtime_id, cx, cy, cw, ch, rx, ry, rw, rh, round({clamp01('0.15::DOUBLE * s_position + 0.2::DOUBLE * s_size + 0.1::DOUBLE * s_aspect + 0.25::DOUBLE + 0.3::DOUBLE * s_border')}, 9) AS score
+_ROOT_SQL = f"""{PAIRS_SQL}, rs AS MATERIALIZED (SELECT doc_id, template_id, page_index, config_id, runtime_id, cx, cy, cw, ch, rx, ry, rw, rh, round({clamp01('0.15::DOUBLE * s_position + 0.2::DOUBLE * s_size + 0.1::DOUBLE * s_aspect + 0.25::DOUBLE + 0.3::DOUBLE * s_border')}, 9) AS score
    FROM pairs WHERE {_FLOORS})"""
 _GREEDY_SQL = f"""{_ROOT_SQL}, go AS (SELECT doc_id, list([config_id, runtime_id] ORDER BY score DESC, config_id, runtime_id) AS ps FROM rs WHERE score >= 0.75::DOUBLE GROUP BY 1),
  gr AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: [p]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k[1] = x[1][1] OR k[2] = x[1][2])) > 0 THEN acc ELSE list_concat(acc, x) END) AS chosen FROM go),
@@ -420,7 +420,7 @@ add("M10_assign_optimal", lambda s, sf: M.assign_optimal(root_scores(s, sf), PAG
 add(
     "M12_flag_ambiguous",
     lambda s, sf: M.flag_ambiguous(M.rivals(root_scores(s, sf), PAGE), 0.02).select(*ID, "rival_id", rnd(F.col("confidence")).alias("confidence"), F.size("warnings").alias("n_warnings")),
-    f"""WITH {_ROOT_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, config_id ORDER BY score DESC, runtime_id) AS n FROM rs),
+    f"""WITH {_ROOT_SQL}, rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, config_id ORDER BY score DESC, runtime_id) AS n FROM rs),
       rv AS (SELECT a.*, b.runtime_id AS rival_id, b.score AS rival_score FROM rk a LEFT JOIN rk b ON a.doc_id = b.doc_id AND a.config_id = b.config_id AND b.n = CASE WHEN a.n = 1 THEN 2 ELSE 1 END)
       SELECT doc_id, config_id, runtime_id, rival_id, {r6("CASE WHEN abs(score - rival_score) < 0.02::DOUBLE THEN score * 0.85::DOUBLE ELSE score END", "confidence")},
       CASE WHEN abs(score - rival_score) < 0.02::DOUBLE THEN 1 ELSE 0 END AS n_warnings FROM rv""",
@@ -646,8 +646,8 @@ def levels(s, sf):
     d_ = docs(s, sf)
     refined = C.level_refined(d_, tmpl_frames(s, sf), rt_frames(s, sf))
     border = C.level_border(d_, tmpl_frames(s, sf), rt_frames(s, sf))
-    # Some documents lack the border summary and get the identity fallback.
-    return refined, border.where(F.col("doc_id") % 7 != 2)
+    # Some documents have a border summary without a transform and get the identity fallback.
+    return refined, border.withColumn("affine", F.when(F.col("doc_id") % 7 != 2, F.col("affine")))
 
 
 def ordered(s, sf):

@@ -102,7 +102,7 @@ add(
 _SCAN = f"NOT coalesce(confirmed, false), {K.area('')} DESC, object_id"
 
 
-_PXBD = "b AS (SELECT doc_id, page_index, object_id, CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y, CAST(pw AS DOUBLE) AS w, CAST(ph AS DOUBLE) AS h, confirmed FROM fx_detections)"
+_PXBD = "b AS MATERIALIZED (SELECT doc_id, page_index, object_id, CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y, CAST(pw AS DOUBLE) AS w, CAST(ph AS DOUBLE) AS h, confirmed FROM fx_detections)"
 add(
     "D6_nms",
     lambda s, sf: boxes.nms(_det(s, sf)).select("doc_id", "page_index", "object_id"),

@@ -205,7 +205,7 @@ def _legacy(s, sf):
 add("P10_resolve_legacy", lambda s, sf: _box(_legacy(s, sf), "doc_id", "field_id", F.col("legacy.tier").alias("tier"), F.col("legacy.label").alias("label"), col="legacy.box"))
 add(
     "P16_project_template",
-    lambda s, sf: _box(L.project_template(G.docs(s, sf), G.tmpl_flat(s, sf), G.chains_c(s, sf), G.matches(s, sf), consensus(s, sf).where(F.col("doc_id") % 5 != 1), *G.levels(s, sf)), "doc_id", "config_id", "source", "matched", rnd(F.col("confidence")).alias("confidence"), col="rect"),
+    lambda s, sf: _box(L.project_template(G.docs(s, sf), G.tmpl_flat(s, sf), G.chains_c(s, sf), G.matches(s, sf), consensus(s, sf).withColumn("affine", F.when(F.col("doc_id") % 5 != 1, F.col("affine"))), *G.levels(s, sf)), "doc_id", "config_id", "source", "matched", rnd(F.col("confidence")).alias("confidence"), col="rect"),
     f"""WITH {CAND_SQL}, {_CONS},
      own AS (SELECT DISTINCT r.doc_id, r.template_id, r.page_index, t.object_id AS config_id, t.x, t.y, t.w, t.h FROM fx_runtime r JOIN fx_template t ON r.template_id = t.template_id AND r.page_index = t.page_index),
      anc AS (SELECT m.doc_id, a.object_id AS config_id, m.sx, m.sy, m.tx, m.ty, m.confidence FROM ta a JOIN wm m ON m.template_id = a.template_id AND m.page_index = a.page_index AND m.config_id = a.ancestor_id QUALIFY row_number() OVER (PARTITION BY m.doc_id, a.object_id ORDER BY a.distance) = 1),

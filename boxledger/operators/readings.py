@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boxledger.functions import rect
 from boxledger.functions.text import norm_confidence, tidy_text
+from boxledger.operators.spatial import NORM_LEVELS, stab_join
 
 DEFAULT_PADDING = 0.004
 MIN_CROP_PIXELS = 0.5
@@ -67,6 +68,26 @@ def attach_readings(
     )
 
 
+def text_at(requests: DataFrame, texts: DataFrame) -> DataFrame:
+    """The recognised text of every request that any text of its page lies in: (doc_id, field_id, raw_text, confidence, error).
+
+    ``texts``: PAGE, x, y (a point, page units), raw_text, confidence, error. A request (``bbox``) reads the texts whose
+    point lies in its box, from top to bottom and left to right, with the lowest confidence and the first error among them.
+    Points meet boxes through the page grid, so a page full of text costs no more than its neighbourhoods.
+    """
+    boxes = requests.select("doc_id", "page_index", "field_id", "bbox")
+    points = texts.select("doc_id", "page_index", "x", "y", "raw_text", F.col("confidence").alias("_conf"), "error")
+    everywhere = F.lit(NORM_LEVELS[0]), F.lit(NORM_LEVELS[1])
+    met = stab_join(points, boxes, ["doc_id", "page_index"], F.col("x"), F.col("y"), *everywhere, F.col("bbox"), 0.0, NORM_LEVELS)
+    b = F.col("bbox")
+    inside = (F.col("x") >= b["x"]) & (F.col("x") <= rect.right(b)) & (F.col("y") >= b["y"]) & (F.col("y") <= rect.bottom(b))
+    place = F.struct("y", "x", "raw_text")  # the texts inside one field are few
+    parts = F.array_sort(F.collect_list(place))
+    return met.where(inside).groupBy("doc_id", "field_id").agg(
+        F.array_join(F.transform(parts, lambda t: t["raw_text"]), " ").alias("raw_text"), F.min("_conf").alias("confidence"), F.min_by("error", F.when(F.col("error").isNotNull(), place)).alias("error")
+    )
+
+
 def with_reader(requests: DataFrame, reader: Callable, percent_confidence: bool = True) -> DataFrame:
     """R-5: plug a user's vectorized recogniser into the plan.
 
