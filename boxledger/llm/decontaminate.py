@@ -76,7 +76,7 @@ def literals(window: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, min_literals: int, short_words: int) -> DataFrame:
-    """(h, size, item_id, item_at, item_end, slots, n_windows): all windows of plain words, and template windows with slots.
+    """(h, w, size, item_id, item_at, item_end, slots, n_windows): all windows of plain words, and template windows with slots.
 
     ``item_at`` and ``item_end`` are places in the plain words, those at which the first and last word of the window end: the
     words before a name may seem to belong to it in one text and not in the other. A shorter item is one window of its own length. Template
@@ -99,12 +99,54 @@ def benchmark_windows(benchmark: DataFrame, window: int, min_literals: int, shor
     kept = rich.join(some, F.col("document_id") == F.col("_item")).where((F.col("enough") | ~F.col("any_enough")) & has_slots(F.col("w")))
     plainly = cuts("raw", F.col("i")).withColumn("item_end", F.col("i") + F.col("size") - 1).join(some, F.col("document_id") == F.col("_item"), "left")
     n = F.coalesce("n_windows", F.size("words") - F.col("size") + 1)
-    columns = ["size", F.col("document_id").alias("item_id"), "item_at", "item_end"]
+    columns = ["w", "size", F.col("document_id").alias("item_id"), "item_at", "item_end"]
     return kept.select(F.xxhash64("w").alias("h"), *columns, F.lit(True).alias("slots"), "n_windows").unionByName(
         plainly.select(F.xxhash64("w").alias("h"), *columns, F.lit(False).alias("slots"), n.alias("n_windows"))
     )
 
 
+def anchored(found: DataFrame) -> DataFrame:
+    """The windows of ``found`` with their ``anchor`` and its place ``anchor_at`` (from 0): the word that fewest windows have.
+
+    A text has a window only where it has the window's anchor, so windows are cut around anchors alone. Placeholders are
+    taken last, then longer words first, as they are rarer in texts.
+    """
+    words = found.withColumn("_key", F.xxhash64("h", "size", "item_id", "item_at", "slots")).select("_key", "slots", F.posexplode("w").alias("anchor_at", "anchor"))
+    counts = words.groupBy("slots", "anchor").agg(F.count("*").alias("_n"))
+    typed = F.col("anchor").isin(NUMBER, NAME, UNIT)
+    best = F.min(F.struct(typed.alias("typed"), "_n", (-F.length("anchor")).alias("short"), "anchor_at", "anchor"))
+    chosen = words.join(counts, ["slots", "anchor"]).groupBy("_key").agg(best.alias("_b")).select("_key", "_b.anchor", "_b.anchor_at")
+    return found.withColumn("_key", F.xxhash64("h", "size", "item_id", "item_at", "slots")).join(chosen, "_key").drop("_key", "w")
+
+
+def _hits_at_anchors(canon: DataFrame, found: DataFrame) -> DataFrame:
+    """Windows of documents that equal a window of ``found``, which is small: its anchors are looked up word by word."""
+    words = canon.select("document_id", "raw", "canon", "ends", F.posexplode(F.concat("raw", "canon")).alias("p", "anchor"))
+    words = words.withColumn("slots", F.col("p") >= F.size("raw"))
+    spots = words.join(F.broadcast(cut(anchored(found))), ["anchor", "slots"])  # at most BROADCAST_WINDOWS rows
+    own = F.when(F.col("slots"), F.col("canon")).otherwise(F.col("raw"))
+    start = F.col("p") - F.when(F.col("slots"), F.size("raw")).otherwise(0) - F.col("anchor_at") + 1
+    inside = (start >= 1) & (start + F.col("size") - 1 <= F.size(own))
+    same = F.xxhash64(F.slice(own, F.greatest(start, F.lit(1)), F.col("size"))) == F.col("h")
+    at = F.when(F.col("slots"), F.element_at("ends", start)).otherwise(start)
+    return spots.where(inside & same).select("document_id", at.alias("at"), "size", "item_id", "item_at", "item_end", "slots", "n_windows")
+
+
+def _hits_of_all(canon: DataFrame, found: DataFrame) -> DataFrame:
+    """The same for a benchmark of any size: all windows of the documents are shuffled to those of the items."""
+    hits = None
+    for (size,) in found.select("size").distinct().orderBy("size").collect():  # at most ``window`` sizes
+        own = found.where(F.col("size") == size).drop("w")
+        plainly = F.transform(windows(F.col("raw"), size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("raw", i, size)).alias("h")))  # noqa: B023
+        # A template window without slots is one of plain words.
+        slotted = F.filter(windows(F.col("canon"), size), lambda i: has_slots(F.slice("canon", i, size)))  # noqa: B023
+        typed = F.transform(slotted, lambda i: F.struct(F.element_at("ends", i).alias("at"), F.xxhash64(F.slice("canon", i, size)).alias("h")))  # noqa: B023
+        seen = canon.select("document_id", F.explode(F.concat(plainly, typed)).alias("s")).select("document_id", "s.at", "s.h")
+        part = seen.join(own, "h").drop("h")
+        hits = part if hits is None else hits.unionByName(part)
+    return hits
+
+
 def _aligned(hits: DataFrame) -> DataFrame:
     """Windows that follow each other, as rows with a ``stretch``: those of one diagonal, and those of diagonals that lie close.
 
@@ -156,22 +198,10 @@ def contaminated(
 
 def _contaminated(documents: DataFrame, benchmark: DataFrame, window: int, min_literals: int, min_windows: int, short_words: int) -> DataFrame:
     found = cut(benchmark_windows(benchmark, window, min_literals, short_words))
-    sizes = [r[0] for r in found.select("size").distinct().orderBy("size").collect()]  # at most `window` sizes
     rows = texts(documents).where(F.col("document_id").isNotNull())
     canon = with_templates(rows)
     # The benchmark is broadcast only while its counted windows stay below the bound, else both sides are shuffled.
-    small = found.count() <= BROADCAST_WINDOWS
-    hits = None
-    for size in sizes or [window]:
-        own = found.where(F.col("size") == size)
-        own = F.broadcast(own) if small else own
-        plainly = F.transform(windows(F.col("raw"), size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("raw", i, size)).alias("h"), F.lit(False).alias("typed")))  # noqa: B023
-        # A template window without slots is one of plain words.
-        slotted = F.filter(windows(F.col("canon"), size), lambda i: has_slots(F.slice("canon", i, size)))  # noqa: B023
-        typed = F.transform(slotted, lambda i: F.struct(F.element_at("ends", i).alias("at"), F.xxhash64(F.slice("canon", i, size)).alias("h"), F.lit(True).alias("typed")))  # noqa: B023
-        seen = canon.select("document_id", F.explode(F.concat(plainly, typed)).alias("s")).select("document_id", "s.at", "s.h")
-        part = seen.join(own, "h").drop("h")
-        hits = part if hits is None else hits.unionByName(part)
+    hits = _hits_at_anchors(canon, found) if found.count() <= BROADCAST_WINDOWS else _hits_of_all(canon, found)
     template_hits = F.when(F.col("typed").isNotNull(), F.struct("item_at", "at", "typed"))
     runs = _aligned(hits).groupBy("document_id", "item_id", "stretch").agg(
         F.count_distinct("item_at").alias("n"), _enough(F.lit(True), min_windows).alias("enough"), _enough(F.col("same"), min_windows).alias("unchanged"), F.collect_list(template_hits).alias("hits")

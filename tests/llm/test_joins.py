@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boxledger.llm import decontaminate, line_dedup, shingle_join
+from boxledger.llm import decontaminate, line_dedup, queries, shingle_join
 from boxledger.llm.common import document_texts
 from tests.llm.forms import AWKWARD, documents, with_clashes, words
 
@@ -252,3 +252,8 @@ def test_dedup_query_hashes_kept_text(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {d: (n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute_dedup(rows)}
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in queries.op3_line_dedup(spark, sf).select(F.col("*")).collect()} == want
+
+
+def test_large_benchmarks_are_shuffled_with_the_same_result(spark, monkeypatch):
+    read = lambda bound: sorted(map(tuple, queries.op8_decontaminate(spark, "/root/testdata/sf0.001").collect())) if monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound) is None else None
+    assert read(500_000) == read(-1) != []
