@@ -49,7 +49,7 @@ SINGLE_FROM = 5  # words of a shingle from which on lists hold single shingles
 SPARE = 1
 RANGE = 1.35  # ratio of the largest to the smallest size of a size range
 SHORT_LIST = 8  # members of a list that gives all its pairs
-BITMAP = 1024  # bits
+BITMAP = 1024  # bits, at least
 LARGEST_BOUNDARY = 40
 ORDER_SAMPLE = 32_000  # documents
 HEAVY_DOCUMENTS = 2  # sampled documents that make a shingle heavy
@@ -226,12 +226,19 @@ def shingle_order(documents: DataFrame, shingle: int) -> Broadcast:
     return documents.sparkSession.sparkContext.broadcast(heavy_shingles(documents, shingle) if shingle >= SINGLE_FROM else None)
 
 
-def bitmaps(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the sets, rows x BITMAP / 64."""
-    rows = len(borders) - 1
-    bit = (mix(grams ^ U(0x5BD1E995)) & U(BITMAP - 1)).astype(np.int64)
-    odd = np.bincount(row_of(borders) * BITMAP + bit, minlength=rows * BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, BITMAP), axis=1).view(np.uint64)
+def bitmaps(grams: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of the sets as 64-bit words, and their row borders.
+
+    A bitmap has at least ``BITMAP`` bits and as many as the set has elements, a power of two: on a shorter one the
+    differences of large sets would cancel out. One of half the length is the two halves laid over each other.
+    """
+    sizes = np.diff(borders)
+    bits = np.maximum(BITMAP, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    row = row_of(borders)
+    place = (mix(grams ^ U(0x5BD1E995)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(first[row] + place, minlength=int(first[-1])) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64), first // 64
 
 
 def _lists(values: np.ndarray, borders: np.ndarray) -> pa.ListArray:
@@ -257,9 +264,9 @@ def set_table(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
             sig, row = signatures(grams, borders, percent, small, heavy.value)
             order = np.argsort(row, kind="stable")
             sig_borders = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-            bits = bitmaps(grams, borders)
+            bits, bit_borders = bitmaps(grams, borders)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(borders)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), _lists(bits.ravel(), np.arange(batch.num_rows + 1) * bits.shape[1]), _lists(sig[order], sig_borders)],
+                [batch.column(0), pa.array(np.diff(borders)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), _lists(bits, bit_borders), _lists(sig[order], sig_borders)],
                 names=["document_id", "n_shingles", "f1", "f2", "bits", "signatures"],
             )
 
@@ -286,7 +293,13 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("document_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("x"))
     right = sets.select(F.col("document_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y"))
     near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+
+    def folded(own: str, other: str) -> Column:
+        half = (F.size(own) / 2).cast("int")
+        return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(own))
+
+    # Sizes that may link differ by less than two, so their bitmaps by one halving at most.
+    apart = F.aggregate(F.zip_with(folded("x", "y"), folded("y", "x"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + F.coalesce(k, F.lit(0)))
     return near.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 

@@ -98,8 +98,23 @@ def test_linked_sets_share_a_signature():
                 for heavy in (None, np.sort(np.concatenate([a[::3], b[::2]]))):
                     sig, row = shingle_join.signatures(grams, borders, percent, small, heavy)
                     assert np.intersect1d(sig[row == 0], sig[row == 1]).size
-                x, y = shingle_join.bitmaps(grams, borders)
-                assert int(np.bitwise_count(x ^ y).sum()) <= union - both
+                bits, at = shingle_join.bitmaps(grams, borders)
+                assert int(np.bitwise_count(bits[: at[1]] ^ bits[at[1] :]).sum()) <= union - both
+
+
+def test_bitmaps_of_large_sets_fold_onto_those_of_smaller_ones(spark):
+    """Sets on both sides of a power of two: equal up to few elements, and unrelated ones of their size."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 2**63, 4400).astype(np.uint64)
+    b, c = a[:4000], rng.integers(0, 2**63, 4000).astype(np.uint64)
+    bits, at = shingle_join.bitmaps(np.concatenate([np.sort(x) for x in (a, b, c)]), np.array([0, 4400, 8400, 12400]))
+    assert np.diff(at).tolist() == [128, 64, 64]
+    half = bits[:64] ^ bits[64:128]
+    assert int(np.bitwise_count(half ^ bits[128:192]).sum()) <= 400 < 1000 < int(np.bitwise_count(half ^ bits[192:]).sum())
+    rows = [(i, n, bits[at[i] : at[i + 1]].view(np.int64).tolist()) for i, n in enumerate((4400, 4000, 4000))]
+    sets = spark.createDataFrame(rows, "document_id bigint, n_shingles bigint, bits array<bigint>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a bigint, b bigint")
+    assert [tuple(r) for r in shingle_join.plausible(pairs, sets, 80).collect()] == [(0, 1)]
 
 
 def test_empty_table_has_no_components(spark):
