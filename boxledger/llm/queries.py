@@ -41,7 +41,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", "role", "text")
-    pairs = chat_format.preference_format(chat_format.stale_answer_pairs(turns))
+    pairs = chat_format.preference_format(chat_format.preference_pairs(turns))
     return pairs.select(
         F.col("pair_id").alias("conv_id"),
         F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"),
@@ -168,31 +168,35 @@ WITH turns AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
   FROM conversations WHERE conv_id IS NOT NULL
+), opening AS (
+  SELECT conv_id, md5(length(role) || ':' || role || text) AS k, substr(md5(CAST(conv_id AS VARCHAR)), 1, 1) AS part FROM turns WHERE i = 1
+), partner AS (
+  SELECT conv_id, lead(conv_id) OVER (PARTITION BY k, part ORDER BY conv_id) AS other FROM opening
 ), answers AS (
   SELECT conv_id, max(i) AS last, min(i) AS first FROM turns WHERE role = 'assistant' GROUP BY conv_id
+), rejected AS (
+  SELECT p.conv_id, t.i, t.role, t.text FROM partner p JOIN turns t ON t.conv_id = p.other
+  UNION ALL SELECT p.conv_id, t.i, t.role, CASE WHEN t.i < a.last THEN t.text WHEN a.first < a.last THEN f.text ELSE '' END
+  FROM partner p JOIN turns t ON t.conv_id = p.conv_id JOIN answers a ON a.conv_id = p.conv_id JOIN turns f ON f.conv_id = a.conv_id AND f.i = a.first
+  WHERE p.other IS NULL AND t.i <= a.last
+  UNION ALL SELECT p.conv_id, t.i, t.role, t.text FROM partner p JOIN turns t ON t.conv_id = p.conv_id
+  WHERE p.other IS NULL AND p.conv_id NOT IN (SELECT conv_id FROM answers)
 ), sides AS (
-  SELECT t.conv_id, t.i, a.last, t.role, t.text AS chosen, CASE WHEN t.i < a.last THEN t.text WHEN a.first < a.last THEN f.text ELSE '' END AS rejected
-  FROM turns t JOIN answers a USING (conv_id) JOIN turns f ON f.conv_id = a.conv_id AND f.i = a.first WHERE t.i <= a.last
-), marked AS (
-  SELECT *, chosen = rejected AS same FROM sides
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.i, r.i) AS i, c.role AS crole, r.role AS rrole,
+    '<|im_start|>' || c.role || chr(10) || c.text || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || r.role || chr(10) || r.text || '<|im_end|>' || chr(10) AS r,
+    length(c.text) + 11 AS nc, length(r.text) + 11 AS nr, c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
+  FROM turns c FULL JOIN rejected r ON r.conv_id = c.conv_id AND r.i = c.i
 ), per AS (
-  SELECT conv_id,
-    max(last) - max(CASE WHEN NOT same THEN 1 ELSE 0 END) AS k, bool_or(NOT same) AS decided
-  FROM marked GROUP BY conv_id
-), drawn AS (
-  SELECT m.conv_id, m.i, p.k, p.decided, m.role,
-    '<|im_start|>' || m.role || chr(10) || m.chosen || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || m.role || chr(10) || m.rejected || '<|im_end|>' || chr(10) AS r,
-    length(m.chosen) + 11 AS nc, length(m.rejected) + 11 AS nr
-  FROM marked m JOIN per p USING (conv_id)
+  SELECT conv_id, coalesce(min(i) FILTER (WHERE NOT same) - 1, max(i)) AS k, bool_or(NOT same) AS decided FROM sides GROUP BY conv_id
 )
 SELECT conv_id, CAST(max(k) AS BIGINT) AS n_prompt_turns,
   sha256(coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE i <= k), '')) AS prompt_sha256,
   sha256(coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE i > k), '')) AS chosen_sha256,
   sha256(coalesce(string_agg(r, '' ORDER BY i) FILTER (WHERE i > k), '')) AS rejected_sha256,
-  CAST(coalesce(sum(nc) FILTER (WHERE i > k AND role = 'assistant'), 0) AS BIGINT) AS chosen_learnt,
-  CAST(coalesce(sum(nr) FILTER (WHERE i > k AND role = 'assistant'), 0) AS BIGINT) AS rejected_learnt,
+  CAST(coalesce(sum(nc) FILTER (WHERE i > k AND crole = 'assistant'), 0) AS BIGINT) AS chosen_learnt,
+  CAST(coalesce(sum(nr) FILTER (WHERE i > k AND rrole = 'assistant'), 0) AS BIGINT) AS rejected_learnt,
   bool_or(decided) AS decided
-FROM drawn GROUP BY conv_id""",
+FROM sides JOIN per USING (conv_id) GROUP BY conv_id""",
     "op13_prefix_trie": r"""
 WITH tab AS (
   SELECT list(v ORDER BY i) AS t FROM (

@@ -1,5 +1,6 @@
 """HTML extraction and chat formatting."""
 
+import hashlib
 import itertools
 import random
 
@@ -100,11 +101,31 @@ def test_preference_format_matches_brute_force(spark):
     assert chat_format.preference_format(turns.limit(0)).count() == 0
 
 
-def test_stale_answers(spark):
+def test_every_conversation_gives_a_pair(spark):
     rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "only"), (None, 0, "assistant", "x")]
-    conversations = spark.createDataFrame(rows, "conversation_id bigint, turn int, role string, text string")
-    got = {r.pair_id: r for r in chat_format.preference_format(chat_format.stale_answer_pairs(conversations)).collect()}
-    assert set(got) == {1, 2}
+    conversations = spark.createDataFrame(rows, "conversation_id bigint, turn int, role string, text string").selectExpr("*", "1 AS part", "2 AS partner", "3 AS ts")
+    got = {r.pair_id: r for r in chat_format.preference_format(chat_format.preference_pairs(conversations)).collect()}
+    assert set(got) == {1, 2, 3}
     assert (got[1].n_prompt_turns, got[1].rejected) == (3, "<|im_start|>assistant\na1<|im_end|>\n")
+    assert got[1].chosen == "<|im_start|>assistant\na2<|im_end|>\n<|im_start|>user\nbye<|im_end|>\n"
     assert got[2].rejected == "<|im_start|>assistant\n<|im_end|>\n" and got[2].decided
-    assert chat_format.stale_answer_pairs(conversations.where(F.lit(False))).count() == 0
+    assert (got[3].prompt, got[3].chosen, got[3].rejected, got[3].decided) == ("<|im_start|>user\nonly<|im_end|>\n", "", "", False)
+    assert chat_format.preference_pairs(conversations.where(F.lit(False))).count() == 0
+
+
+def test_partners_share_the_first_turn_and_part_later(spark):
+    """A hot first turn: every conversation has at most one partner, and they part at any turn."""
+    rng = random.Random(4)
+    talks = {c: [("user", "hello"), *[(rng.choice(["assistant", "user"]), rng.choice("xy")) for _ in range(rng.randrange(0, 5))]] for c in range(200)}
+    rows = [(c, i, r, t) for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conversation_id bigint, turn int, role string, text string").repartition(3)
+    got = chat_format.preference_format(chat_format.preference_pairs(df)).collect()
+    assert len(got) == 200 and {r.n_prompt_turns for r in got} >= {1, 2, 3}
+    parts = {}
+    for c in talks:
+        parts.setdefault(hashlib.md5(str(c).encode()).hexdigest()[0], []).append(c)
+    follows = {a: b for ids in parts.values() for a, b in zip(ids, ids[1:])}  # noqa: B905
+    for r in got:
+        if r.pair_id in follows:
+            k, prompt, chosen, rejected = brute_format(talks[r.pair_id], talks[follows[r.pair_id]])
+            assert (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) == (k, prompt, chosen, rejected)
