@@ -129,3 +129,49 @@ def test_partners_share_the_first_turn_and_part_later(spark):
         if r.pair_id in follows:
             k, prompt, chosen, rejected = brute_format(talks[r.pair_id], talks[follows[r.pair_id]])
             assert (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) == (k, prompt, chosen, rejected)
+
+
+LONG = "<p>This is a rather long sentence of the story that goes on for a while and ends with a stop.</p>"
+
+
+def test_no_class_word_takes_an_article_away():
+    line = LONG[3:-4]
+    assert html_text.main_text(f'<div class="layout with-sidebar"><article>{LONG}</article></div>') == line
+    assert html_text.main_text(f'<div id="main" class="has-sidebar">{LONG}{LONG}</div>') == f"{line}\n{line}"
+    assert html_text.main_text(f'<article><div class="post-body share-enabled">{LONG}</div></article>') == line
+    assert html_text.main_text('<article><p class="has-comments">hello there you</p></article>') == "hello there you"
+    assert html_text.main_text(f'<aside class="sidebar"><main>{LONG}</main></aside>') == line
+    assert html_text.main_text(f'<div id="comments"><article>{LONG}</article></div><article><p>Me.</p></article>') == "Me."
+    assert html_text.main_text(f'<div><a href="x">Home</a> | <a href="y">About</a></div>{LONG}') == line
+
+
+def given_pages() -> list[str]:
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+
+
+def test_cut_is_right_where_thresholds_are_wrong():
+    """Pages without landmarks and classes whose every other paragraph is a plain div: neighbours tell what its look does not."""
+    pages = given_pages()
+    rows = html_text.np.array([r for p in pages[:100] for r in html_text.training_blocks(p)])
+    weights = html_text.logistic(rows[:, :-1], rows[:, -1])
+    wrong_alone = wrong_cut = total = 0
+    for page in pages[100:]:
+        truth = [r[-1] > 0 for r in html_text.training_blocks(page)]
+        bare = html_text.re.sub(r"<(/?)(?:nav|footer|article)\b", r"<\1div", html_text.re.sub(r' class="[^"]*"', "", page))
+        pieces = bare.split("<p>")
+        bare = pieces[0] + "".join(f"<div>{x.replace('</p>', '</div>')}" if k % 2 else f"<p>{x}" for k, x in enumerate(pieces[1:]))
+        blocks = html_text.blocks_of(bare)
+        assert len(blocks) == len(truth)
+        alone = [html_text.block_odds(b, weights) > 0 for b in blocks]
+        cut = html_text.minimum_cut([html_text.block_costs(b, weights) for b in blocks], html_text.ties_of(blocks))
+        wrong_alone += sum(a != t for a, t in zip(alone, truth, strict=True))
+        wrong_cut += sum(a != t for a, t in zip(cut, truth, strict=True))
+        total += len(blocks)
+    assert wrong_cut < 0.5 * wrong_alone and wrong_alone > 0.02 * total, (wrong_cut, wrong_alone, total)
+
+
+def test_weights_without_articles_are_the_given_ones(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>no article here</p>"), (2, "v", None)], "page_id bigint, url string, html string")
+    assert (html_text.fit_blocks(pages) == html_text.UNTRAINED).all()
