@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Character maps and junk classes that decide cleaned cells.
@@ -53,32 +56,53 @@ def stage1(c: Column, field_type: Column) -> Column:
     return F.when(field_type == "numeric", stage1_numeric(c)).when(field_type == "text", stage1_text(c)).otherwise(c)
 
 
-def stage1b_steps(c: Column, compat_ascii_nbsp: bool = False) -> dict[str, Column]:
-    """K-3: the value after each edge-cleanup step, in order.
+def _edge_steps(compat_ascii_nbsp: bool) -> dict[str, Callable[[Column], Column]]:
+    """The edge cleanup step by step, each a function of the value after the step before.
 
     ``compat_ascii_nbsp`` treats the plain space as the "no-break" character: the value is the
     same except that real no-break spaces inside a cell stay, and the reason code fires on any space.
     """
-    nbsp = " " if compat_ascii_nbsp else NO_BREAK_SPACE
-    steps = {"nbsp": F.regexp_replace(c, nbsp, " ")}
-    steps["zero_width"] = F.regexp_replace(steps["nbsp"], ZERO_WIDTH, "")
-    steps["multi"] = F.regexp_replace(steps["zero_width"], MULTI_SPACE, " ")
-    steps["trim"] = F.regexp_replace(steps["multi"], TRIM, "")
-    steps["lead"] = F.regexp_replace(steps["trim"], LEADING_JUNK, "")
-    isolated = F.regexp_replace(steps["lead"], TRAILING_ISOLATED, "")
-    steps["trail"] = F.regexp_replace(isolated, TRAILING_JUNK, "")
-    steps["final"] = F.regexp_replace(steps["trail"], TRIM, "")
+
+    def without(*patterns: str) -> Callable[[Column], Column]:
+        return lambda c: reduce(lambda v, p: F.regexp_replace(v, p, ""), patterns, c)
+
+    return {
+        "nbsp": lambda c: F.regexp_replace(c, " " if compat_ascii_nbsp else NO_BREAK_SPACE, " "),
+        "zero_width": without(ZERO_WIDTH),
+        "multi": lambda c: F.regexp_replace(c, MULTI_SPACE, " "),
+        "trim": without(TRIM),
+        "lead": without(LEADING_JUNK),
+        "trail": without(TRAILING_ISOLATED, TRAILING_JUNK),
+        "final": without(TRIM),
+    }
+
+
+def stage1b_steps(c: Column, compat_ascii_nbsp: bool = False) -> dict[str, Column]:
+    """K-3: the value after each edge-cleanup step, in order, as nested expressions of ``c``."""
+    steps: dict[str, Column] = {}
+    for name, step in _edge_steps(compat_ascii_nbsp).items():
+        c = steps[name] = step(c)
     return steps
 
 
+def with_steps(df: DataFrame, column: str, compat_ascii_nbsp: bool = False) -> tuple[DataFrame, dict[str, Column]]:
+    """K-3 as one column for each step, so that what looks at several steps computes none of them twice."""
+    steps = {}
+    for name, step in _edge_steps(compat_ascii_nbsp).items():
+        df = df.withColumn(f"_step_{name}", step(F.col(column)))
+        column = f"_step_{name}"
+        steps[name] = F.col(column)
+    return df, steps
+
+
 def stage1b(c: Column, compat_ascii_nbsp: bool = False) -> Column:
     """K-3: cleaned value only."""
     return stage1b_steps(c, compat_ascii_nbsp)["final"]
 
 
-def reason_codes(raw: Column, substituted: Column, compat_ascii_nbsp: bool = False) -> Column:
-    """K-4: codes of the steps that changed the cell, in step order."""
-    s = stage1b_steps(substituted, compat_ascii_nbsp)
+def reason_codes(raw: Column, substituted: Column, compat_ascii_nbsp: bool = False, steps: dict[str, Column] | None = None) -> Column:
+    """K-4: codes of the steps that changed the cell, in step order. ``steps``: of ``with_steps``, where they are columns."""
+    s = stage1b_steps(substituted, compat_ascii_nbsp) if steps is None else steps
     nbsp = " " if compat_ascii_nbsp else NO_BREAK_SPACE
     early_trim = s["trim"] != s["multi"]
     late_trim = ~early_trim & (s["final"] != s["trail"])

@@ -32,7 +32,8 @@ def audit_cells(ledger: DataFrame, types: dict[str, str], compat_ascii_nbsp: boo
         ),
     )
     sub = raw.withColumn("_sub", text.stage1(F.col("raw_value"), F.col("field_type")))
-    out = sub.withColumn("clean_value", text.stage1b(F.col("_sub"), compat_ascii_nbsp))
+    out, steps = text.with_steps(sub, "_sub", compat_ascii_nbsp)
+    out = out.withColumn("clean_value", steps["final"])
     return out.select(
         "document_id",
         "field_id",
@@ -40,7 +41,7 @@ def audit_cells(ledger: DataFrame, types: dict[str, str], compat_ascii_nbsp: boo
         "raw_value",
         "clean_value",
         text.change_type(F.col("raw_value"), F.col("_sub"), F.col("clean_value")).alias("change_type"),
-        text.reason_codes(F.col("raw_value"), F.col("_sub"), compat_ascii_nbsp).alias("reason_codes"),
+        text.reason_codes(F.col("raw_value"), F.col("_sub"), compat_ascii_nbsp, steps).alias("reason_codes"),
     )
 
 
